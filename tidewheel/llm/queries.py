@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import simhash, toxicity
+from tidewheel.llm import html_text, media, packing, rans, secrets, simhash, toxicity, urls
 from tidewheel.llm.common import table
 
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -27,5 +35,39 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_simhash": op3_simhash}
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op7_token_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, frequencies = rans.write_blocks(table(spark, sf_dir, "documents"))
+    return rans.read_blocks(blocks, frequencies, with_ids=False)
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_read(table(spark, sf_dir, "documents"))
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_media": op2_media,
+    "op3_simhash": op3_simhash,
+    "op4_packing": op4_packing,
+    "op5_url_rules": op5_url_rules,
+    "op6_secrets": op6_secrets,
+    "op7_token_rans": op7_token_rans,
+    "op8_html_text": op8_html_text,
+}
 ORACLES: dict[str, str] = {}
