@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import html_text, media, packing, rans, secrets, simhash, toxicity, urls
+from tidewheel.llm import html_text, media, mixing, packing, rans, secrets, simhash, toxicity, urls
 from tidewheel.llm.common import table
 
 URL_RULES = (
@@ -60,6 +60,11 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.taken(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_media": op2_media,
@@ -69,5 +74,6 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_token_rans": op7_token_rans,
     "op8_html_text": op8_html_text,
+    "op9_mixing": op9_mixing,
 }
 ORACLES: dict[str, str] = {}
