@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import WORD
+from tidewheel.llm.common import WORD, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
@@ -128,9 +128,11 @@ def taken(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         words(docs["text"].cast("string")).alias("size"),
         _mark(docs).alias("mark"),
     )
+    rows = written(rows, "mixing-sizes")  # four plans below read these narrow rows instead of the texts
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     block_size = F.greatest(F.ceil(F.sum("target").over(W.partitionBy()) / slots), F.lit(1)).cast("long")
     goals = goals.select(F.col("source").alias("_s"), "source_size", "target", block_size.alias("block_size"))
+    goals = written(goals, "mixing-targets")
     placed = _placed(rows)
     placed = placed.join(goals, placed["source"].eqNullSafe(goals["_s"])).drop("_s")
     # A source's stream is repeated up to CAP times; a document's words lie in these blocks of it.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import html_text, media, mixing, packing, rans, secrets, simhash, toxicity, urls
+from tidewheel.llm import ann, html_text, media, mixing, packing, rans, secrets, simhash, toxicity, urls
 from tidewheel.llm.common import table
 
 URL_RULES = (
@@ -65,6 +65,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_media": op2_media,
@@ -75,5 +80,6 @@ QUERIES = {
     "op7_token_rans": op7_token_rans,
     "op8_html_text": op8_html_text,
     "op9_mixing": op9_mixing,
+    "op10_ann": op10_ann,
 }
 ORACLES: dict[str, str] = {}
