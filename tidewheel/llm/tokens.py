@@ -2,17 +2,17 @@
 
 The tokenizer drops white space and never lets a token span it, so a text's
 ids are those of its white-space-free chunks one after another. Chunks repeat
-far more than texts, so each worker remembers a bounded number of them. New
-chunks of letters, with or without ASCII punctuation behind them, are encoded
-many at a time: each is one or two words to the tokenizer, and the last token
-of a word tells its end. Other chunks are encoded by themselves.
+far more than texts, so each worker remembers a bounded number of them. A new
+chunk of Latin letters with or without ASCII punctuation behind it is two
+words to the tokenizer, which lower-cases letters; both are remembered too.
+New words of letters are encoded many at a time, and the last token of a word
+tells its end. Other chunks are encoded by themselves.
 
 Cases: null counts as empty; an empty or blank text has the end id alone.
 """
 
 from __future__ import annotations
 
-import string
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,19 +23,57 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 END = 2
-#: Chunks that a worker remembers.
+#: Chunks, and words of them, that a worker remembers.
 MEMORY = 600_000
 #: Chunks that are encoded as one text.
 TOGETHER = 400
 #: Bytes of text that are split at once.
-PORTION = 8 << 20
+PORTION = 16 << 20
 WORD_END = "</w>"
+#: Letters whose lower case is one letter in any library, and then ASCII punctuation.
+PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 
 def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Lexicon:
+    """Ids by key: key k has the ids pool[starts[k] : starts[k + 1]]."""
+
+    def __init__(self, first: list[int]):
+        self.known: dict[str, int] = {}
+        self.pool = np.array(first, dtype=np.uint32)
+        self.starts = np.array([0, len(first)], dtype=np.int64)
+
+    def add(self, keys: list[str], ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        first = len(self.starts) - 1
+        self.known.update(zip(keys, range(first, first + len(keys)), strict=True))
+        if keys:
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
+            self.pool = np.concatenate([self.pool, *ids])
+
+    def places(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all places one after another, and how many each has."""
+        starts = self.starts[places]
+        sizes = self.starts[places + 1] - starts
+        after = np.cumsum(sizes)
+        at = np.arange(after[-1] if len(after) else 0)
+        at += np.repeat(starts - after + sizes, sizes)
+        return self.pool[at], sizes
+
+    def trim(self, keys: list[str], count: int) -> None:
+        """Forget the latest keys where the lexicon is full; count had been known before."""
+        if len(self.known) > MEMORY:
+            for key in keys:
+                del self.known[key]
+            self.starts = self.starts[: count + 1]
+            self.pool = self.pool[: self.starts[-1]]
+
+
 class Encoder:
     def __init__(self, path: str, end: int = END):
         self.tokenizer = Tokenizer.from_file(path)
@@ -44,65 +82,77 @@ class Encoder:
         self.last = np.zeros(self.size, dtype=bool)
         for token, i in vocabulary.items():
             self.last[i] = token.endswith(WORD_END)
-        # Chunk k has the ids pool[starts[k] : starts[k + 1]]; chunk 0 is the end id.
-        self.known: dict[str, int] = {}
-        self.pool = np.array([end], dtype=np.uint32)
-        self.starts = np.array([0, 1], dtype=np.int64)
+        self.chunks = Lexicon([end])  # place 0: the end id
+        self.words = Lexicon([])  # place 0: nothing
+        self.words.known[""] = 0
+
+    def _exact(self, keys: list[str], into: Lexicon) -> None:
+        found = [np.array(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch_fast(keys, add_special_tokens=False)]
+        into.add(keys, found, [np.array([len(x)]) for x in found])
+
+    def _learn_marks(self, new: list[str]) -> None:
+        self._exact(new, self.words)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn_words(self, new: list[str]) -> None:
         order: list[str] = []
         ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
-        words = [1 if c.isalpha() else 2 if c.rstrip(string.punctuation).isalpha() else 0 for c in new]
-        plain, counts = [c for c, n in zip(new, words, strict=True) if n], [n for n in words if n]
-        odd = [c for c, n in zip(new, words, strict=True) if not n]
-        cut = range(0, len(plain), TOGETHER)
-        found = self.tokenizer.encode_batch_fast([" ".join(plain[i : i + TOGETHER]) for i in cut], add_special_tokens=False)
-        for i, coded in zip(cut, found, strict=True):
+        odd: list[str] = []
+        groups = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
+        for group, coded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             got = np.array(coded.ids, dtype=np.uint32)
             ends = np.flatnonzero(self.last[got]) + 1
-            which = np.cumsum(counts[i : i + TOGETHER]) - 1
-            if len(ends) != which[-1] + 1:
-                odd.extend(plain[i : i + TOGETHER])
-                continue
-            order.extend(plain[i : i + TOGETHER]), ids.append(got), sizes.append(np.diff(ends[which], prepend=0))
-        for chunk, coded in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            order.append(chunk), ids.append(np.array(coded.ids, dtype=np.uint32)), sizes.append(np.array([len(coded.ids)]))
-        first = len(self.starts) - 1
-        self.known.update(zip(order, range(first, first + len(order)), strict=True))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
-        self.pool = np.concatenate([self.pool, *ids])
-
-    def _forget(self, new: list[str], chunks: int) -> None:
-        for chunk in new:
-            del self.known[chunk]
-        self.starts = self.starts[: chunks + 1]
-        self.pool = self.pool[: self.starts[-1]]
+            if len(ends) == len(group) and ends[-1] == len(got):
+                order.extend(group), ids.append(got), sizes.append(np.diff(ends, prepend=0))
+            else:
+                odd.extend(group)
+        self.words.add(order, ids, sizes)
+        self._exact(odd, self.words)
+
+    def _learn(self, chunks: pa.Array, new: list[str]) -> None:
+        split = pc.extract_regex(chunks, PLAIN)
+        fits = split.is_valid()
+        plain = np.flatnonzero(fits.to_numpy(zero_copy_only=False))
+        fresh: list[str] = []
+        count = len(self.words.starts) - 1
+        if len(plain):
+            pairs = []
+            for part, learn in ((pc.utf8_lower(pc.struct_field(split, "word")), self._learn_words), (pc.struct_field(split, "marks"), self._learn_marks)):
+                coded = part.filter(fits).dictionary_encode()
+                keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+                unseen = [k for k in keys if k not in self.words.known]
+                learn(unseen)
+                fresh.extend(unseen)
+                pairs.append(self.words.places(keys)[coded.indices.to_numpy()])
+            ids, sizes = self.words.gather(np.stack(pairs, axis=1).ravel())
+            self.chunks.add([new[i] for i in plain.tolist()], [ids], [sizes.reshape(-1, 2).sum(axis=1)])
+        if len(plain) < len(new):
+            odd = np.delete(np.arange(len(new)), plain)
+            self._exact([new[i] for i in odd.tolist()], self.chunks)
+        self.words.trim(fresh, count)
 
     def _portion(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        unique = coded.dictionary.to_pylist()
-        new = [c for c in unique if c not in self.known]
-        before = len(self.starts) - 1
+        unique = coded.dictionary.to_numpy(zero_copy_only=False)
+        known, count = self.chunks.known.get, len(self.chunks.starts) - 1
+        place = np.array([known(c, -1) for c in unique.tolist()], dtype=np.int64)
+        unseen = np.flatnonzero(place < 0)
+        new = unique[unseen].tolist()
         if new:
-            self._learn(new)
-        place = np.fromiter(map(self.known.__getitem__, unique), dtype=np.int64, count=len(unique))
+            self._learn(coded.dictionary.take(pa.array(unseen)), new)
+            place[unseen] = self.chunks.places(new)
         ends = np.cumsum(pc.list_value_length(split).to_numpy())
-        chunks = np.insert(place[coded.indices.to_numpy()], ends, 0)
-        starts = self.starts[chunks]
-        sizes = self.starts[chunks + 1] - starts
-        after = np.cumsum(sizes)
-        ids = self.pool[np.arange(after[-1] if len(after) else 0) + np.repeat(starts - after + sizes, sizes)]
-        if len(self.known) > MEMORY:
-            self._forget(new, before)
-        return ids, np.diff(after[ends + np.arange(len(ends))], prepend=0)
+        ids, sizes = self.chunks.gather(np.insert(place[coded.indices.to_numpy()], ends, 0))
+        after = np.cumsum(sizes)[ends + np.arange(len(ends))]
+        self.chunks.trim(new, count)
+        return ids, np.diff(after, prepend=0)
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For portions of a string array: the first row, all their ids (unsigned, 32 bits), and the ids of each row, end id included."""
         low = 0
         while low < len(texts):
-            n = 4096
+            n = 8192
             while n > 1 and _bytes(texts.slice(low, n)) > PORTION:
                 n //= 2
             yield low, *self._portion(texts.slice(low, n))
