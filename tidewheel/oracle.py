@@ -1,3 +1,5 @@
-"""SQL twins of the named queries."""
+"""SQL twins of the named queries, for an engine that knows ANSI SQL and lists."""
 
-ORACLES: dict = {}
+from tidewheel.plans import evaluations, graphs, markets, mines, panels, profiles
+
+ORACLES = {k: q for m in (panels, profiles, evaluations, mines, markets, graphs) for k, q in m.ORACLES.items()}

@@ -1,3 +1,5 @@
-"""Named queries over the registered tables."""
+"""All named queries over the registered tables."""
 
-QUERIES: dict = {}
+from tidewheel.plans import evaluations, graphs, markets, mines, panels, profiles
+
+QUERIES = {k: f for m in (panels, profiles, evaluations, mines, markets, graphs) for k, f in m.QUERIES.items()}
