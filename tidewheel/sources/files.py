@@ -21,7 +21,7 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
 
 def read_baskets(spark: SparkSession, path: str) -> DataFrame:
     """One basket a line: items split at commas, trimmed, not empty, distinct and sorted; empty baskets go."""
-    items = F.array_sort(F.array_distinct(F.filter(F.transform(F.split("value", ","), F.trim), lambda x: x != "")))
+    items = F.array_sort(F.array_distinct(F.filter(F.transform(F.split("value", ","), lambda x: F.trim(x)), lambda x: x != "")))
     return spark.read.text(path).select(items.alias("items")).where(F.size("items") > 0)
 
 
