@@ -147,9 +147,9 @@ def cost_curve(df: DataFrame, y: str, score: str, cost_fn: float, cost_fp: float
 def alert_budgets(df: DataFrame, y: str, score: str, budgets: Sequence[float]) -> DataFrame:
     """For each share of rows that may alert: the score's quantile, what it catches, recall and precision."""
     cuts = F.percentile(F.col(score), F.array(*[F.lit(1 - b) for b in budgets]))
-    pairs = df.agg(F.arrays_zip(F.array(*map(F.lit, budgets)).alias("budget"), cuts.alias("cut")).alias("z")).select(F.explode("z").alias("z"))
-    limits = pairs.select(F.col("z.budget").alias("budget"), F.col("z.cut").alias("threshold"))
-    rows = by_score(df, y, score).crossJoin(F.broadcast(limits)).where("score >= threshold")
+    limits = df.agg(F.arrays_zip(F.array(*map(F.lit, budgets)).alias("budget"), cuts.alias("cut")).alias("limits"))
+    rows = by_score(df, y, score).join(F.broadcast(limits)).select("*", F.explode("limits").alias("z")).where("score >= z.cut")
+    rows = rows.withColumns({"budget": F.col("z.budget"), "threshold": F.col("z.cut")})
     one = rows.groupBy("budget", "threshold").agg(F.max("tp").alias("caught"), F.max(F.col("tp") + F.col("fp")).alias("alerts"), F.max("p").alias("p"))
     return one.select("budget", "threshold", "caught", "alerts", ratio(F.col("caught"), F.col("p")).alias("recall"), ratio(F.col("caught"), F.col("alerts")).alias("precision"))
 
@@ -183,8 +183,8 @@ def conformal(calibration: DataFrame, test: DataFrame, actual: str, predicted: s
     else:
         levels_used = list(levels)
     cut = calibration.agg(F.percentile(residual, F.array(*map(F.lit, levels_used))).alias("q"))
-    half = cut.select(F.explode(F.arrays_zip(F.array(*map(F.lit, levels)).alias("level"), F.col("q").alias("half"))).alias("z")).select("z.level", "z.half")
-    rows = test.crossJoin(F.broadcast(half))
+    bands = cut.select(F.arrays_zip(F.array(*map(F.lit, levels)).alias("level"), F.col("q").alias("half")).alias("bands"))
+    rows = test.join(F.broadcast(bands)).select("*", F.explode("bands").alias("z")).withColumns({"level": F.col("z.level"), "half": F.col("z.half")})
     low, high = F.greatest(F.col(predicted) - F.col("half"), F.lit(0.0)), F.col(predicted) + F.col("half")
     inside = F.col(actual).between(low, high).cast("double")
     one = rows.groupBy("level", "half").agg(F.avg(inside).alias("coverage"), F.avg(high - low).alias("mean_width"))

@@ -53,14 +53,14 @@ def cycles(edges: DataFrame, most: int = 64) -> DataFrame:
 
 def fingerprints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """name, level, digest: a digest of the node's name and the sorted digests of its parents, level by level."""
-    known = levels(nodes, edges)
+    known = levels(nodes, edges).cache()
     depth = known.agg(F.max("level")).first()[0]
     done = known.where("level = 0").select("name", "level", F.sha2("name", 256).alias("digest"))
     for level in range(1, (depth or 0) + 1):
         ups = edges.join(done.select(F.col("name").alias("parent"), "digest"), "parent")
         joined = ups.groupBy(F.col("child").alias("name")).agg(F.array_join(F.array_sort(F.collect_list("digest")), ",").alias("up"))
         here = known.where(F.col("level") == level).join(joined, "name")
-        done = done.union(here.select("name", "level", F.sha2(F.concat_ws("|", "name", "up"), 256)))
+        done = done.union(here.select("name", "level", F.sha2(F.concat_ws("|", "name", "up"), 256))).cache()
     return done
 
 

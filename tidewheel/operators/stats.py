@@ -14,7 +14,8 @@ from tidewheel.functions import ratio
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """All cells of two columns' values: a, b, n; pairs that do not occur have zero."""
     counts = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    grid = counts.select("a").distinct().crossJoin(counts.select("b").distinct())  # values of two categories, not rows
+    values = counts.agg(F.collect_set("a").alias("x"), F.collect_set("b").alias("y"))  # of two categories, not rows
+    grid = values.select(F.explode("x").alias("a"), "y").select("a", F.explode("y").alias("b"))
     return grid.join(counts, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
