@@ -1,5 +1,5 @@
 """All named queries over the registered tables."""
 
-from tidewheel.plans import evaluations, graphs, markets, mines, panels, profiles
+from tidewheel.plans import evaluations, graphs, markets, mines, panels, profiles, shapes
 
-QUERIES = {k: f for m in (panels, profiles, evaluations, mines, markets, graphs) for k, f in m.QUERIES.items()}
+QUERIES = {k: f for m in (panels, profiles, evaluations, mines, markets, graphs, shapes) for k, f in m.QUERIES.items()}
