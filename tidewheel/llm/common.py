@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +48,34 @@ def written(df: DataFrame, label: str, compression: str | None = None) -> DataFr
 def text_of(docs: DataFrame, column: str = "text") -> Column:
     """The text as string; null counts as empty."""
     return F.coalesce(docs[column].cast("string"), F.lit(""))
+
+
+T = TypeVar("T")
+_kept: dict[Hashable, object] = {}
+
+
+def kept(key: Hashable, make: Callable[[], T]) -> T:
+    """What a worker process keeps between its tasks: one large thing at a time.
+
+    Workers outlive queries. What an earlier operator kept is dropped here, so
+    that memory is bounded by the largest operator and not by their sum.
+    """
+    if key not in _kept:
+        _kept.clear()
+        release()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def keep_nothing() -> None:
+    """For operators that keep nothing: drop what an earlier one kept."""
+    kept("nothing", dict)
+
+
+def release() -> None:
+    """Give freed memory back to the system, which allocators would keep for the worker's next task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
