@@ -23,7 +23,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, net)
     return scored.select(
         "doc_id",
-        (toxicity.remainder(F.col("doc_id")) == 2).alias("held_out"),
+        F.coalesce(toxicity.remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
         "flagged",
@@ -82,4 +82,11 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_ann": op10_ann,
 }
-ORACLES: dict[str, str] = {}
+RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+ORACLES: dict[str, str] = {
+    "op5_url_rules": f"""WITH r AS (SELECT * FROM (VALUES {RULES}) t(v, h, p)),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u)
+SELECT page_id, host, path, m.h || m.p AS rule, coalesce(m.v, 'allow') AS verdict FROM s LEFT JOIN LATERAL
+(SELECT h, p, v FROM r WHERE (s.host = h OR ends_with(s.host, '.' || h)) AND starts_with(s.path, p) ORDER BY length(h) + length(p) DESC LIMIT 1) m ON true""",
+}
