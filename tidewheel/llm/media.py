@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewheel.llm.common import text_of, written
+from tidewheel.llm.common import keep_nothing, text_of, written
 
 UNIT = 576
 WIDTH = 96
@@ -151,6 +151,7 @@ def cosine_hash(image: np.ndarray) -> str:
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep_nothing()
     for batch in batches:
         for low in range(0, batch.num_rows, 1024):
             part = batch.slice(low, 1024)

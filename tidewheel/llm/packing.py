@@ -31,10 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tidewheel.llm import tokens
-from tidewheel.llm.common import text_of
+from tidewheel.llm.common import release, text_of
 
 TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 1 << 16
+#: Windows that are written at once, and dealt to step groups among themselves.
+WINDOWS = 256
 #: Pieces that fill a gap before a document is cut.
 FILLS = 3
 
@@ -170,8 +172,11 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Itera
             names, ends = batch.column(0).slice(low, len(sizes)).to_pylist(), np.cumsum(sizes).tolist()
             raw = ids.astype("<u4").tobytes()
             docs = [Piece(i, raw[4 * (b - n) : 4 * b], 0, n) for i, n, b in zip(names, sizes.tolist(), ends, strict=True)]
-            yield rows(packer.add(docs))
+            full = packer.add(docs)
+            for at in range(0, len(full), WINDOWS):
+                yield rows(full[at : at + WINDOWS])
     yield rows(packer.finish())
+    release()
 
 
 NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "step_group")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm import tokens
-from tidewheel.llm.common import text_of, written
+from tidewheel.llm.common import release, text_of, written
 
 BITS = 16
 LANES = 4096
@@ -202,6 +202,7 @@ def _raw_blocks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
                     yield block()
     if parts:
         yield block()
+    release()
 
 
 def _ids(raw: bytes, n: int) -> np.ndarray:

@@ -14,7 +14,6 @@ Cases: null counts as empty; an empty or blank text has the end id alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -22,13 +21,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from tidewheel.llm.common import kept
+
 END = 2
 #: Chunks, and words of them, that a worker remembers.
-MEMORY = 600_000
+MEMORY = 120_000
 #: Chunks that are encoded as one text.
 TOGETHER = 400
 #: Bytes of text that are split at once.
-PORTION = 16 << 20
+PORTION = 4 << 20
 WORD_END = "</w>"
 #: Letters whose lower case is one letter in any library, and then ASCII punctuation.
 PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
@@ -61,8 +62,8 @@ class Lexicon:
         starts = self.starts[places]
         sizes = self.starts[places + 1] - starts
         after = np.cumsum(sizes)
-        at = np.arange(after[-1] if len(after) else 0)
-        at += np.repeat(starts - after + sizes, sizes)
+        at = np.arange(after[-1] if len(after) else 0, dtype=np.int32)  # a portion's ids and the pool are far below 2^31
+        at += np.repeat((starts - after + sizes).astype(np.int32), sizes)
         return self.pool[at], sizes
 
     def trim(self, keys: list[str], count: int) -> None:
@@ -163,7 +164,6 @@ def _bytes(texts: pa.Array) -> int:
     return pc.sum(pc.binary_length(texts)).as_py() or 0
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, end: int = END) -> Encoder:
     """One per worker process; reused by later tasks of the same worker."""
-    return Encoder(path, end)
+    return kept(("tokens", path, end), lambda: Encoder(path, end))
