@@ -47,6 +47,8 @@ LEAST_STEPS = 32
 INTERVAL = 64
 BLOCK_TOKENS = 1 << 18
 TABLE_SYMBOLS = 1 << 15
+#: Chunks that a worker remembers, and bytes of text that it splits at once.
+MEMORY, PORTION = 500_000, 16 << 20
 HEAD = struct.Struct("<4sQ9I")
 MAGIC = b"TWR1"
 
@@ -176,7 +178,7 @@ RAW = "shard long, start long, n_tokens long, doc_ids array<bigint>, lengths arr
 
 
 def _raw_blocks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    coder = tokens.encoder(path)
+    coder = tokens.encoder(path, memory=MEMORY, portion=PORTION)
     kind = "<u2" if coder.size <= 1 << 16 else "<u4"
     shard, start = TaskContext.get().partitionId(), 0
     doc_ids: list[int | None] = []

@@ -42,7 +42,8 @@ def default_path() -> str:
 class Lexicon:
     """Ids by key: key k has the ids pool[starts[k] : starts[k + 1]]."""
 
-    def __init__(self, first: list[int]):
+    def __init__(self, first: list[int], memory: int):
+        self.memory = memory
         self.known: dict[str, int] = {}
         self.pool = np.array(first, dtype=np.uint32)
         self.starts = np.array([0, len(first)], dtype=np.int64)
@@ -68,7 +69,7 @@ class Lexicon:
 
     def trim(self, keys: list[str], count: int) -> None:
         """Forget the latest keys where the lexicon is full; count had been known before."""
-        if len(self.known) > MEMORY:
+        if len(self.known) > self.memory:
             for key in keys:
                 del self.known[key]
             self.starts = self.starts[: count + 1]
@@ -76,15 +77,16 @@ class Lexicon:
 
 
 class Encoder:
-    def __init__(self, path: str, end: int = END):
+    def __init__(self, path: str, end: int = END, memory: int | None = None, portion: int = PORTION):
+        memory, self.portion = MEMORY if memory is None else memory, portion
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
         self.last = np.zeros(self.size, dtype=bool)
         for token, i in vocabulary.items():
             self.last[i] = token.endswith(WORD_END)
-        self.chunks = Lexicon([end])  # place 0: the end id
-        self.words = Lexicon([])  # place 0: nothing
+        self.chunks = Lexicon([end], memory)  # place 0: the end id
+        self.words = Lexicon([], memory)  # place 0: nothing
         self.words.known[""] = 0
 
     def _exact(self, keys: list[str], into: Lexicon) -> None:
@@ -154,7 +156,7 @@ class Encoder:
         low = 0
         while low < len(texts):
             n = 8192
-            while n > 1 and _bytes(texts.slice(low, n)) > PORTION:
+            while n > 1 and _bytes(texts.slice(low, n)) > self.portion:
                 n //= 2
             yield low, *self._portion(texts.slice(low, n))
             low += n
@@ -164,6 +166,6 @@ def _bytes(texts: pa.Array) -> int:
     return pc.sum(pc.binary_length(texts)).as_py() or 0
 
 
-def encoder(path: str, end: int = END) -> Encoder:
-    """One per worker process; reused by later tasks of the same worker."""
-    return kept(("tokens", path, end), lambda: Encoder(path, end))
+def encoder(path: str, end: int = END, memory: int = MEMORY, portion: int = PORTION) -> Encoder:
+    """One per worker process; reused by later tasks of the same worker. More memory and larger portions take less time."""
+    return kept(("tokens", path, end, memory, portion), lambda: Encoder(path, end, memory, portion))
