@@ -5,7 +5,8 @@ Three patterns give the base spans. Beside them, values in credential context
 number of guesses that builds them: a dynamic programme over all cuts into
 common words, dates, repeats, keyboard walks, sequences and brute-force spans
 takes the cheapest sum of log10 costs. A value of 10^COST guesses or more that
-no base span touches is a span of kind guess.
+no single base span covers completely is a span of kind guess, of the whole
+value; it may overlap base spans, and redaction cuts their union.
 
 Spans count code points, ends exclusive; the span of an assignment is the
 whole match. Kinds at one start come in the order of KINDS.
@@ -115,7 +116,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     base = sorted((a, b) for _, a, b in found)
     for m in CONTEXT.finditer(text):
         a, b = m.span(1)
-        if not any(x < b and a < y for x, y in base) and guesses(m[1]) >= COST:
+        if not any(x <= a and b <= y for x, y in base) and guesses(m[1]) >= COST:
             found.append(("guess", a, b))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
