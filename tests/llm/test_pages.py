@@ -126,3 +126,22 @@ def test_large_hosts_are_sharded(spark, monkeypatch):
         monkeypatch.setattr(html_text, "SHARD_PAGES", 8)
         monkeypatch.setattr(html_text, "BROADCAST_HOSTS", broadcast)
         assert len(set(texts(html_text.main_text(make(spark, rows))).values())) == 1
+
+
+def test_results_do_not_depend_on_shards(spark, monkeypatch):
+    notice = "<div>this notice of eight or more words stands on some pages only</div>"
+    rare = "<div>a passage which just two of all the pages of this host share</div>"
+    rows = []
+    for i in range(60):
+        own = f"<div>page {i} says things of its own like {' '.join(f'w{i}x{j}' for j in range(9))}</div>"
+        rows.append((i, f"http://big.example/{i}", (notice if i % 7 == 0 else "") + own + (rare if i in (3, 40) else "")))
+    rows += [(100 + i, f"http://big.example/copy/{i}", "<div>copies of one page are no evidence against each other at all</div>") for i in range(20)]
+    rows += [(200 + i, f"http://other.example/{i}", notice if i == 0 else f"<div>small {i}</div>") for i in range(3)]
+    results = []
+    for pages in (1000, 8, 1):
+        monkeypatch.setattr(html_text, "SHARD_PAGES", pages)
+        results.append(sorted(html_text.main_text(make(spark, rows)).collect()))
+    assert results[0] == results[1] == results[2]
+    found = {r["page_id"]: r["text"] for r in results[1]}
+    assert "this notice" not in found[7] and "page 7 says" in found[7] and "a passage" not in found[3] + found[40]
+    assert found[100].startswith("copies of one page") and found[200].startswith("this notice")
