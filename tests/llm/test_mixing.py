@@ -92,3 +92,18 @@ def test_runs_without_python(spark, sf_dir):
     docs = corpus(spark)
     plan = mixing.taken(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("slots", [8, 64, 1 << 12])
+def test_sources_smaller_than_a_block_give_their_targets(spark, slots):
+    sizes = [("big", 400, 50), ("mid", 30, 40), ("tiny", 3, 5), ("tiny2", 1, 9), (None, 2, 7), ("w", 1, 1)]
+    rows = [(s, " ".join(["w"] * n)) for s, docs, n in sizes for _ in range(docs)]
+    docs = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string")
+    took, goal = defaultdict(int), {}
+    for r in mixing.taken(docs, slots).collect():
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        took[r["source"]] += r["taken"]
+        goal[r["source"]] = r["target"]
+    assert len(goal) == len(sizes) and all(abs(took[s] - want) <= 0.5 for s, want in goal.items())
+    copies = {r["source"]: r["count"] for r in mixing.mixed(docs, slots).groupBy("source").count().collect()}
+    assert set(copies) == set(goal)

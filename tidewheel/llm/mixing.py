@@ -7,7 +7,11 @@ sources by a golden-ratio sequence: the fractional part of n times the golden
 ratio falls into one of the intervals that the targets cut from [0, 1). Slots
 are ranked within their source and slot k takes block k of the source, whose
 documents stand in the order of a hash, repeated as often as the target asks.
-A document's taken words are what the taken blocks hold of it.
+The points give a source a few blocks more or less than its target asks:
+what is too much is cut, what lacks is added in slots after the others, and of
+the last block only the words up to the target (rounded) are taken. So every
+source gives its target exactly, be it less than a block. A document's taken
+words are what the taken blocks hold of it.
 
 Running sums and ranks are taken in two levels, over hash buckets and within
 them, so that no task holds a whole source. The number of slots is fixed, so
@@ -67,35 +71,49 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     return rows.withColumn("target", F.least("most", F.coalesce(fits * F.col("weight"), F.col("most")))).select("source", "source_size", "weight", "target")
 
 
+def wanted() -> Column:
+    """The words that a source gives: its target, rounded."""
+    return F.round("target").cast("long")
+
+
 def schedule(mix_targets: DataFrame, slots: int = SLOTS) -> DataFrame:
     """Slots as (source, block, slot): slot n takes the block of its rank within its source.
 
     mix_targets has source, target and block_size; as many of the slots are
-    dealt as the sum of targets fills.
+    dealt as the sum of targets fills. A source has as many blocks as its target
+    needs, the last one for a part perhaps.
     """
     spark = mix_targets.sparkSession
     order = W.orderBy(F.col("source").isNull(), "source")
     total = F.sum("target").over(W.partitionBy())
     upto = F.sum("target").over(order.rowsBetween(W.unboundedPreceding, 0))
     share = ((upto - F.col("target")) / total).alias("low"), (upto / total).alias("high")
-    cuts = mix_targets.where("target > 0").select("source", *share, F.ceil(total / F.col("block_size")).alias("used"))
+    needs = F.ceil(wanted() / F.col("block_size")).cast("long").alias("needs")
+    cuts = mix_targets.where("target > 0").select("source", *share, F.ceil(total / F.col("block_size")).alias("used"), needs)
     cells = cuts.select(
         "source",
         "low",
         "high",
         "used",
+        "needs",
         F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))).alias("cell"),
     )
     point = (F.col("id") * F.lit(GOLDEN)) % F.lit(TURN) / F.lit(float(TURN))
     points = spark.range(1, slots + 1).select(F.col("id").alias("slot"), point.alias("point"))
     dealt = points.withColumn("cell", F.floor(F.col("point") * CELLS)).join(cells, "cell").where("point >= low and point < high and slot <= used")
-    dealt = dealt.select("source", "slot", F.floor(F.col("slot") / RUN).alias("run"))
+    dealt = dealt.select("source", "slot", "needs", F.floor(F.col("slot") / RUN).alias("run"))
     runs = dealt.groupBy("source", "run").agg(F.count(F.lit(1)).alias("n"))
     first = F.sum("n").over(W.partitionBy("source").orderBy("run")) - F.col("n")
+    runs_of = runs.groupBy(F.col("source").alias("_source")).agg(F.sum("n").alias("got"))
     runs = runs.select(F.col("source").alias("_source"), F.col("run").alias("_run"), first.alias("first"))
     ranked = dealt.join(runs, dealt["source"].eqNullSafe(runs["_source"]) & (dealt["run"] == runs["_run"]))
     rank = F.row_number().over(W.partitionBy("source", "run").orderBy("slot"))
-    return ranked.select("source", (F.col("first") + rank - 1).cast("long").alias("block"), "slot")
+    ranked = ranked.select("source", (F.col("first") + rank - 1).cast("long").alias("block"), "slot", "needs").where("block < needs").drop("needs")
+    got = F.coalesce("got", F.lit(0))
+    lacks = cuts.join(runs_of, cuts["source"].eqNullSafe(runs_of["_source"]), "left").select("source", "used", got.alias("got"), (F.col("needs") - got).alias("lack")).where("lack > 0")
+    before = F.sum("lack").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("lack")
+    added = lacks.select("source", "got", (F.col("used") + before + 1).alias("slot"), F.explode(F.sequence(F.lit(0), F.col("lack") - 1)).alias("k"))
+    return ranked.unionByName(added.select("source", (F.col("got") + F.col("k")).cast("long").alias("block"), (F.col("slot") + F.col("k")).cast("long").alias("slot")))
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -141,7 +159,7 @@ def taken(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     spread = passes.select("*", F.explode(F.expr("sequence(at div block_size, (at + size - 1) div block_size)")).alias("part"))
     low = F.greatest(F.col("at"), F.col("part") * F.col("block_size"))
     high = F.least(F.col("at") + F.col("size"), (F.col("part") + 1) * F.col("block_size"))
-    pieces = spread.select(*ROW, "part", (high - low).alias("n"))
+    pieces = spread.select(*ROW, "part", F.greatest(F.least(high, wanted()) - low, F.lit(0)).alias("n"))
     plan = schedule(goals.select(F.col("_s").alias("source"), "target", "block_size"), slots).select(F.col("source").alias("_s"), F.col("block").alias("_b"), "slot")
     met = pieces.join(plan, pieces["source"].eqNullSafe(plan["_s"]) & (pieces["part"] == plan["_b"]), "left")
     got = F.sum(F.when(F.col("slot").isNotNull(), F.col("n")).otherwise(0)).cast("long").alias("taken")
