@@ -12,9 +12,9 @@ Spans count code points, ends exclusive; the span of an assignment is the
 whole match. Kinds at one start come in the order of KINDS.
 
 Cases: null and empty texts have no spans; repeated rows and null ids are
-kept; very long texts are scanned whole (a value's cost is exact up to
-LONGEST characters and more than COST beyond); an empty table gives an empty
-result; other columns are not read.
+kept; very long texts are scanned whole, and values of any length are priced
+whole (costs below COST are exact, others count as infinite); an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -41,7 +42,6 @@ CONTEXT = re.compile(
 )
 #: log10 of guesses from which a value counts as a secret.
 COST = 9.0
-LONGEST = 64
 LEAST_ASSIGN = 12
 
 # Common parts of passwords, the most usual first.
@@ -95,19 +95,142 @@ def _span_cost(part: str) -> float:
 ROWS_OF = {c: i for i, row in enumerate(ROWS) for c in row}
 
 
+#: Spans up to this length are priced one by one; words and dates are no longer.
+SHORT = max(10, *map(len, WORDS))
+
+
+def _reach(s: int, n: int, fits: Callable[[int], bool]) -> int:
+    """The end of the run from s on in which each character fits to the one before."""
+    e = s + 1
+    while e < n and fits(e):
+        e += 1
+    return e
+
+
+class _Runs:
+    """Walks, sequences and repeats of more than SHORT characters in a value.
+
+    A run is found once and expanded from its first start. A later start within
+    it is expanded only where it is not dearer for all ends, which is rare, so
+    the work is in proportion to the value.
+    """
+
+    def __init__(self, value: str) -> None:
+        self.value, self.n = value, len(value)
+        self.low = [low if len(low := c.lower()) == 1 else c for c in value]
+        self.walk = self.steps = (0, 0, math.inf)  # end of the run, the start it was expanded from, the cost there
+        self.turns: list[int] = []
+        self.from_turn = 0
+        self.periods: dict[int, int] = {}
+        self.repeats: dict[tuple[int, int], tuple[int, int, float]] = {}
+
+    def walks(self, s: int, more: float) -> Iterator[tuple[int, float]]:
+        low, (end, anchor, least) = self.low, self.walk
+        if s >= end - 1:
+            end = _reach(s, self.n, lambda e: low[e] == low[e - 1] or frozenset((low[e - 1], low[e])) in NEAR)
+            anchor, least, self.from_turn, self.turns = s, math.inf, s, [0]
+            for a, c in zip(low[s : end - 2], low[s + 2 : end], strict=False):
+                self.turns.append(self.turns[-1] + (frozenset((a, c)) not in NEAR and a != c and ROWS_OF.get(a) != ROWS_OF.get(c)))
+            self.walk = end, s, math.inf
+        if end - s <= SHORT:
+            return
+        before = self.turns[s - self.from_turn]
+        if more >= least + math.log10((s - anchor + SHORT + 1) / (SHORT + 1)) + math.log10(4) * (before - self.turns[anchor - self.from_turn]):
+            return
+        self.walk = end, s, more
+        for e in range(s + SHORT + 1, end + 1):
+            yield e, more + math.log10(47 * (e - s)) + math.log10(4) * (1 + self.turns[e - 2 - self.from_turn] - before)
+
+    def sequences(self, s: int, more: float) -> Iterator[tuple[int, float]]:
+        low, (end, anchor, least) = self.low, self.steps
+        if s >= end - 1:
+            step = ord(low[s + 1]) - ord(low[s]) if s + 1 < self.n else 9
+            end = s + 1
+            if abs(step) <= 2 and self.value[s].isalnum():
+                end = _reach(s, self.n, lambda e: ord(low[e]) - ord(low[e - 1]) == step and self.value[e].isalnum())
+            anchor, least = s, math.inf
+            self.steps = end, s, math.inf
+        if end - s <= SHORT or more >= least + math.log10((s - anchor + SHORT + 1) / (SHORT + 1)) + 1:  # alphabets differ by less than ten times
+            return
+        self.steps = end, s, more
+        seen: dict[str, None] = {}
+        size, kinds = 0, set()
+        for e in range(s, end):
+            c = self.value[e]
+            kind = (c.isdigit(), c.islower(), c.isupper())
+            if kind not in kinds:
+                kinds.add(kind)
+                seen[c] = None
+                size = _alphabet("".join(seen))
+            if e + 1 - s > SHORT:
+                yield e + 1, more + math.log10(size * (e + 1 - s) * 2)
+
+    def _units(self, s: int) -> Iterator[tuple[int, int]]:
+        """Units that are no repeats themselves and stand at s twice or more, as (length, end of the repeats).
+
+        While one of length p reaches to e, no other one is of e - s - p characters or fewer.
+        """
+        value, n, p = self.value, self.n, 1
+        head = value[s : s + SHORT + 1]
+        while s + 2 * p <= n:
+            if p > SHORT:
+                p = value.find(head, s + p) - s
+                if p <= SHORT or s + 2 * p > n:
+                    return
+            end = self.periods.get(p, 0)
+            if s + 2 * p > end and value.startswith(value[s : s + p], s + p):
+                end = self.periods[p] = _reach(s + 2 * p - 1, n, lambda e, p=p: value[e] == value[e - p])
+            elif s + 2 * p > end:
+                p += 1
+                continue
+            yield p, end
+            p = max(p + 1, end - s - p + 1)
+
+    def repeated(self, s: int, more: float) -> Iterator[tuple[int, float]]:
+        for p, end in self._units(s):
+            least_times = max(2, SHORT // p + 1)
+            if s + least_times * p > end:
+                continue
+            ran, anchor, least = self.repeats.get((p, s % p), (0, 0, math.inf))
+            if ran == end and more >= least + math.log10(((s - anchor) / p + least_times) / least_times):
+                continue
+            self.repeats[p, s % p] = end, s, more
+            unit = more + _unit_guesses(self.value[s : s + p])
+            if unit < COST:
+                for times in range(least_times, (end - s) // p + 1):
+                    yield s + times * p, unit + math.log10(times)
+
+
 def guesses(value: str) -> float:
-    """log10 of the guesses of the cheapest cut of value into spans; each further span doubles them."""
-    value = value[:LONGEST]
-    n = len(value)
+    """log10 of the guesses of the cheapest cut of value into spans, or infinity from COST on; each further span doubles them."""
+    n, last, runs = len(value), 0, _Runs(value)
     best = [0.0] + [math.inf] * n
-    for end in range(1, n + 1):
-        for start in range(end):
-            part = value[start:end]
-            cost = min(_span_cost(part), len(part) * math.log10(_alphabet(part)))
-            best[end] = min(best[end], best[start] + cost + (math.log10(2) if start else 0))
+    for start in range(n):
+        if start > last:  # no cut below COST comes this far
+            return math.inf
+        more = best[start] + (math.log10(2) if start else 0)
+        if more >= COST:
+            continue
+        for end in range(start + 1, min(start + SHORT, n) + 1):
+            cost = more + _short_cost(value[start:end])
+            if cost < COST:
+                best[end], last = min(best[end], cost), max(last, end)
+        for family in (runs.walks, runs.sequences, runs.repeated):
+            for end, cost in family(start, more):
+                if cost >= COST:
+                    break
+                best[end], last = min(best[end], cost), max(last, end)
     return best[n]
 
 
+_unit_guesses = lru_cache(1024)(guesses)
+
+
+@lru_cache(1 << 14)
+def _short_cost(part: str) -> float:
+    return min(_span_cost(part), len(part) * math.log10(_alphabet(part)))
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """All spans as (kind, start, end), by start and then kind."""
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
