@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -91,16 +93,14 @@ def test_copies_are_no_evidence(spark):
     assert found[1] == found[2] != ""
 
 
-def test_suffix_array_equals_sorting():
-    rng = np.random.default_rng(2)
-    stream = rng.integers(0, 3, 300)
+@pytest.mark.parametrize("kinds", [1, 3, 50])
+def test_suffix_array_equals_sorting(kinds):
+    stream = np.append(np.random.default_rng(2).integers(0, kinds, 300), kinds)
     order, common = html_text.suffix_array(stream)
-    k = html_text.LEAST_RUN
-    keys = [tuple(stream[i : i + k].tolist()) for i in order]
-    assert keys == sorted(keys)
-    for a, b, c in zip(keys, keys[1:], common[1:], strict=False):
-        same = next((i for i in range(k) if i >= len(a) or i >= len(b) or a[i] != b[i]), k)
-        assert min(same, k) == min(c, k)
+    suffixes = [stream[i:].tolist() for i in order]
+    assert suffixes == sorted(suffixes)
+    for a, b, c in zip(suffixes, suffixes[1:], common[1:], strict=False):
+        assert c == next(i for i in range(len(stream)) if i >= len(a) or i >= len(b) or a[i] != b[i])
 
 
 def test_coverage_equals_brute_force():
@@ -120,12 +120,44 @@ def test_coverage_equals_brute_force():
         assert np.array_equal(cover, want)
 
 
-def test_large_hosts_are_sharded(spark, monkeypatch):
-    rows = [(i, f"http://big.example/{i}", PAGE.format(i)) for i in range(40)]
-    for broadcast in (10_000, -1):
-        monkeypatch.setattr(html_text, "SHARD_PAGES", 8)
-        monkeypatch.setattr(html_text, "BROADCAST_HOSTS", broadcast)
-        assert len(set(texts(html_text.main_text(make(spark, rows))).values())) == 1
+def test_unmarked_pages_by_hand(spark):
+    """No page marks an article: menus and notices that pages of a host share go, runs of any length that one page has stay."""
+    menu = "<ul><li><a href='/'>Home</a><li><a href='/n'>News of the day</a><li><a>Sports and games</a><li>About</ul>"
+    foot = "<p>All rights reserved by the owners of this site since 1999</p>"
+    bodies = ["<h1>First</h1><p>Alpha beta gamma.<p>Short.", "<h1>Second</h1><p>Delta <b>epsilon</b> zeta eta theta iota kappa lambda mu.", "<p>Third page says: All rights reserved by nobody &amp; no one."]
+    rows = [(i, f"http://h.example/{i}", f"<html><body><div>{menu}</div><div>{b}</div>{foot}</body></html>") for i, b in enumerate(bodies)]
+    found = html_text.main_text(make(spark, rows))
+    assert found.columns[:4] == ["page_id", "url", "text", "n_chars"]
+    assert texts(found) == {
+        0: "First\nAlpha beta gamma.\nShort.",
+        1: "Second\nDelta epsilon zeta eta theta iota kappa lambda mu.",
+        2: "Third page says: All rights reserved by nobody & no one.",
+    }
+    assert all(r["by_repeats"] and r["n_covered"] == 20 and r["n_chars"] == len(r["text"]) for r in found.collect())
+
+
+def test_marked_pages_are_evidence_but_keep_their_articles(spark):
+    passage = "<p>a passage of ten words that two of the articles share</p>"
+    notice = "<p>this site will be closed for repairs on next sunday morning</p>"
+    rows = [(i, f"http://h.example/{i}", f"{notice}<article>{passage}<p>{i}</p></article>") for i in range(2)]
+    rows += [(2, "http://h.example/2", f"{notice}<p>news</p>")]
+    found = texts(html_text.main_text(make(spark, rows)))
+    assert found == {0: "a passage of ten words that two of the articles share\n0", 1: "a passage of ten words that two of the articles share\n1", 2: "news"}
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<b>", "</i>", "<b></i>", "<", "<p>", "<li>", "<table><b></i>", "<!--", "<a x=\"", "<a x='", "&#0", "&#9", "<i class=ad>", "<div class ", "</p "])
+@pytest.mark.parametrize("end", ["", ">"])
+def test_broken_markup_takes_linear_time(piece, end):
+    n = 250_000 // len(piece)
+    begin = time.process_time()
+    html_text.blocks(piece * n + end)
+    assert time.process_time() - begin < 5  # quadratic work would take minutes
+
+
+def test_a_long_broken_page(spark):
+    rows = [(1, "http://a/1", "<a " * 350_000), (2, "http://a/2", "<article>" + "word " * 300_000 + "&#" + "9" * 6000 + ";<b"), (3, "http://a/3", "&#x0000041;&#065;")]
+    found = texts(html_text.main_text(make(spark, rows)))
+    assert found[1].startswith("<a <a") and len(found[2].split(" ")) == 300_001 and found[3] == "AA"
 
 
 def test_results_do_not_depend_on_shards(spark, monkeypatch):
@@ -138,8 +170,8 @@ def test_results_do_not_depend_on_shards(spark, monkeypatch):
     rows += [(100 + i, f"http://big.example/copy/{i}", "<div>copies of one page are no evidence against each other at all</div>") for i in range(20)]
     rows += [(200 + i, f"http://other.example/{i}", notice if i == 0 else f"<div>small {i}</div>") for i in range(3)]
     results = []
-    for pages in (1000, 8, 1):
-        monkeypatch.setattr(html_text, "SHARD_PAGES", pages)
+    for tokens in (1 << 19, 200, 1):
+        monkeypatch.setattr(html_text, "SHARD_TOKENS", tokens)
         results.append(sorted(html_text.main_text(make(spark, rows)).collect()))
     assert results[0] == results[1] == results[2]
     found = {r["page_id"]: r["text"] for r in results[1]}
