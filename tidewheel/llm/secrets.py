@@ -1,12 +1,16 @@
 """Secrets in texts: fixed patterns, and values that would be hard to guess.
 
-Three patterns give the base spans. Beside them, values in credential context
-(a word for a password, a sign of assignment, a value) are priced by the least
-number of guesses that builds them: a dynamic programme over all cuts into
-common words, dates, repeats, keyboard walks, sequences and brute-force spans
-takes the cheapest sum of log10 costs. A value of 10^COST guesses or more that
-no single base span covers completely is a span of kind guess, of the whole
-value; it may overlap base spans, and redaction cuts their union.
+Three patterns give the base spans. Beside them, every value in credential
+context (a word for a password, a sign of assignment, a value) is priced by the
+least number of guesses that builds it: a dynamic programme over all cuts into
+words, dates, repeats, keyboard walks, sequences and brute-force spans takes
+the cheapest sum of log10 costs. A value of 10^COST guesses or more is a span
+of kind guess, of the whole value, whether or not base spans overlap it;
+redaction cuts the union.
+
+Words are ranked: some usual in passwords and in prose about them, then the
+DICTIONARY words that most documents hold. What follows a sign of assignment
+is left out of that count, so that a secret that many copies repeat is no word. The dictionary is the only thing that comes to the driver.
 
 Spans count code points, ends exclusive; the span of an assignment is the
 whole match. Kinds at one start come in the order of KINDS.
@@ -22,15 +26,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import keep_nothing, text_of
+from tidewheel.llm.common import keep_nothing, kept, text_of
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -43,16 +47,22 @@ CONTEXT = re.compile(
 #: log10 of guesses from which a value counts as a secret.
 COST = 9.0
 LEAST_ASSIGN = 12
+#: Bound on the words of a corpus that are ranked, the documents that a word needs, and its letters.
+DICTIONARY, LEAST_DOCUMENTS, LETTERS = 1 << 16, 3, (3, 20)
+#: What is assigned, whatever to, and words; and the number of them that a task holds before it hands counts on.
+WORD_OR_VALUE, HELD_WORDS = re.compile(r"""[:=]\s{0,8}["']?[^\s"']+|[^\W\d_]{3,}"""), 200_000
 
-# Common parts of passwords, the most usual first.
+# Common parts of passwords, the most usual first, and words that follow a word for a password in prose.
 WORDS = (
     "password pass secret admin login welcome qwerty dragon master monkey letmein hello shadow sunshine princess football baseball "
     "iloveyou trustno superman batman michael jordan jennifer hunter ranger soccer hockey killer pepper summer winter spring autumn "
     "love test user root guest changeme default access token key example demo temp sample value none null true false string your here "
     "company office house happy flower freedom cookie cheese orange purple yellow silver golden diamond computer internet google server "
-    "database system service the and for you this that"
+    "database system service the and for you this that "
+    "required optional mandatory invalid valid expired missing empty unknown hidden public private identifier parameter generator generated "
+    "number field string text type format length name change reset forgot forgotten create update delete refresh bearer based authentication "
+    "authorization expires renewal provider manager store storage settings please contact never always"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 LEET = str.maketrans("0134578@$!", "oieastbasi")
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 NEAR = {frozenset((a, b)) for row in ROWS for a, b in zip(row, row[1:], strict=False)} | {
@@ -67,36 +77,11 @@ def _alphabet(part: str) -> int:
     return size + 33 * any(not c.isalnum() for c in part) or 26
 
 
-def _span_cost(part: str) -> float:
-    """The least log10 of guesses for the part as one span, brute force apart."""
-    low, best, n = part.lower(), math.inf, len(part)
-    for word in {low, low.translate(LEET)}:
-        if word in RANK:
-            case = sum(c.isupper() for c in part)
-            extra = 0 if not case else 1 if case == n or case == 1 and part[0].isupper() else math.comb(n, case)
-            best = min(best, math.log10(RANK[word] * (1 + extra) * (1 + (word != low))))
-    if n >= 4 and DATE.fullmatch(part):
-        best = min(best, math.log10(150 * (1 if n == 4 else 366 * (1 + (not part.isdigit())))))
-    if n >= 3:
-        pairs = list(zip(low, low[1:], strict=False))
-        if all(a == b or frozenset((a, b)) in NEAR for a, b in pairs):
-            turns = 1 + sum(frozenset((a, c)) not in NEAR and a != c and ROWS_OF.get(a) != ROWS_OF.get(c) for a, c in zip(low, low[2:], strict=False))
-            best = min(best, math.log10(47 * n * 4**turns))
-        steps = {ord(b) - ord(a) for a, b in pairs}
-        if len(steps) == 1 and abs(next(iter(steps))) <= 2 and part.isalnum():
-            best = min(best, math.log10(_alphabet(part) * n * 2))
-    for unit in range(1, n // 2 + 1):
-        if n % unit == 0 and part[:unit] * (n // unit) == part:
-            best = min(best, guesses(part[:unit]) + math.log10(n // unit))
-            break
-    return best
-
-
 ROWS_OF = {c: i for i, row in enumerate(ROWS) for c in row}
 
 
 #: Spans up to this length are priced one by one; words and dates are no longer.
-SHORT = max(10, *map(len, WORDS))
+SHORT = max(LETTERS[1], *map(len, WORDS))
 
 
 def _reach(s: int, n: int, fits: Callable[[int], bool]) -> int:
@@ -115,8 +100,8 @@ class _Runs:
     the work is in proportion to the value.
     """
 
-    def __init__(self, value: str) -> None:
-        self.value, self.n = value, len(value)
+    def __init__(self, value: str, unit_guesses: Callable[[str], float]) -> None:
+        self.value, self.n, self.unit_guesses = value, len(value), unit_guesses
         self.low = [low if len(low := c.lower()) == 1 else c for c in value]
         self.walk = self.steps = (0, 0, math.inf)  # end of the run, the start it was expanded from, the cost there
         self.turns: list[int] = []
@@ -195,52 +180,90 @@ class _Runs:
             if ran == end and more >= least + math.log10(((s - anchor) / p + least_times) / least_times):
                 continue
             self.repeats[p, s % p] = end, s, more
-            unit = more + _unit_guesses(self.value[s : s + p])
+            unit = more + self.unit_guesses(self.value[s : s + p])
             if unit < COST:
                 for times in range(least_times, (end - s) // p + 1):
                     yield s + times * p, unit + math.log10(times)
 
 
-def guesses(value: str) -> float:
-    """log10 of the guesses of the cheapest cut of value into spans, or infinity from COST on; each further span doubles them."""
-    n, last, runs = len(value), 0, _Runs(value)
-    best = [0.0] + [math.inf] * n
-    for start in range(n):
-        if start > last:  # no cut below COST comes this far
-            return math.inf
-        more = best[start] + (math.log10(2) if start else 0)
-        if more >= COST:
-            continue
-        for end in range(start + 1, min(start + SHORT, n) + 1):
-            cost = more + _short_cost(value[start:end])
-            if cost < COST:
-                best[end], last = min(best[end], cost), max(last, end)
-        for family in (runs.walks, runs.sequences, runs.repeated):
-            for end, cost in family(start, more):
-                if cost >= COST:
-                    break
-                best[end], last = min(best[end], cost), max(last, end)
-    return best[n]
-
-
-_unit_guesses = lru_cache(1024)(guesses)
+class Prices:
+    """Costs of values, with the words in the order of their ranks."""
+
+    def __init__(self, words: Sequence[str] = ()) -> None:
+        self.rank = {w: i for i, w in enumerate(dict.fromkeys([*WORDS, *words]), 1)}
+        self.short: dict[str, float] = {}
+        self.units: dict[str, float] = {}
+
+    def span(self, part: str) -> float:
+        """The least log10 of guesses for the part as one span, brute force apart."""
+        low, best, n = part.lower(), math.inf, len(part)
+        for word in {low, low.translate(LEET)}:
+            if word in self.rank:
+                case = sum(c.isupper() for c in part)
+                extra = 0 if not case else 1 if case == n or case == 1 and part[0].isupper() else math.comb(n, case)
+                best = min(best, math.log10(self.rank[word] * (1 + extra) * (1 + (word != low))))
+        if n >= 4 and DATE.fullmatch(part):
+            best = min(best, math.log10(150 * (1 if n == 4 else 366 * (1 + (not part.isdigit())))))
+        if n >= 3:
+            pairs = list(zip(low, low[1:], strict=False))
+            if all(a == b or frozenset((a, b)) in NEAR for a, b in pairs):
+                turns = 1 + sum(frozenset((a, c)) not in NEAR and a != c and ROWS_OF.get(a) != ROWS_OF.get(c) for a, c in zip(low, low[2:], strict=False))
+                best = min(best, math.log10(47 * n * 4**turns))
+            steps = {ord(b) - ord(a) for a, b in pairs}
+            if len(steps) == 1 and abs(next(iter(steps))) <= 2 and part.isalnum():
+                best = min(best, math.log10(_alphabet(part) * n * 2))
+        for unit in range(1, n // 2 + 1):
+            if n % unit == 0 and part[:unit] * (n // unit) == part:
+                best = min(best, self.guesses(part[:unit]) + math.log10(n // unit))
+                break
+        return best
+
+    def _kept(self, memory: dict[str, float], part: str, cost: Callable[[str], float]) -> float:
+        if part not in memory:
+            if len(memory) >= 1 << 16:
+                memory.clear()
+            memory[part] = cost(part)
+        return memory[part]
+
+    def short_cost(self, part: str) -> float:
+        return self._kept(self.short, part, lambda p: min(self.span(p), len(p) * math.log10(_alphabet(p))))
+
+    def unit_guesses(self, unit: str) -> float:
+        return self._kept(self.units, unit, self.guesses) if len(unit) <= SHORT else self.guesses(unit)
+
+    def guesses(self, value: str) -> float:
+        """log10 of the guesses of the cheapest cut of value into spans, or infinity from COST on; each further span doubles them."""
+        n, last, runs = len(value), 0, _Runs(value, self.unit_guesses)
+        best = [0.0] + [math.inf] * n
+        for start in range(n):
+            if start > last:  # no cut below COST comes this far
+                return math.inf
+            more = best[start] + (math.log10(2) if start else 0)
+            if more >= COST:
+                continue
+            for end in range(start + 1, min(start + SHORT, n) + 1):
+                cost = more + self.short_cost(value[start:end])
+                if cost < COST:
+                    best[end], last = min(best[end], cost), max(last, end)
+            for family in (runs.walks, runs.sequences, runs.repeated):
+                for end, cost in family(start, more):
+                    if cost >= COST:
+                        break
+                    best[end], last = min(best[end], cost), max(last, end)
+        return best[n]
 
 
-@lru_cache(1 << 14)
-def _short_cost(part: str) -> float:
-    return min(_span_cost(part), len(part) * math.log10(_alphabet(part)))
+def priced(text: str, prices: Prices) -> list[tuple[int, int, float]]:
+    """Each value in credential context as (start, end, log10 of guesses)."""
+    return [(*m.span(1), prices.guesses(m[1])) for m in CONTEXT.finditer(text)]
 
 
-def scan(text: str) -> list[tuple[str, int, int]]:
-    """All spans as (kind, start, end), by start and then kind."""
+def scan(text: str, values: list[tuple[int, int, float]]) -> list[tuple[str, int, int]]:
+    """All spans as (kind, start, end), by start and then kind; values are the text's priced ones."""
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
     found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    base = sorted((a, b) for _, a, b in found)
-    for m in CONTEXT.finditer(text):
-        a, b = m.span(1)
-        if not any(x <= a and b <= y for x, y in base) and guesses(m[1]) >= COST:
-            found.append(("guess", a, b))
+    found += [("guess", a, b) for a, b, cost in values if cost >= COST]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -248,29 +271,70 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-COLUMNS = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
+COLUMNS = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, priced string"
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and the documents that hold them, counted in parts of bounded size."""
     keep_nothing()
+    counts: Counter[str] = Counter()
+
+    def hand_on() -> pa.RecordBatch:
+        kept_words = [w for w in counts if LETTERS[0] <= len(w) <= LETTERS[1] and w[0] not in ":="]
+        columns = [pa.array(kept_words, type=pa.string()), pa.array([counts[w] for w in kept_words], type=pa.int64())]
+        counts.clear()
+        return pa.RecordBatch.from_arrays(columns, ["word", "n"])
+
+    for batch in batches:
+        for text in batch.column(0):
+            counts.update(set(WORD_OR_VALUE.findall(text.as_py().lower())))
+            if len(counts) >= HELD_WORDS:
+                yield hand_on()
+    yield hand_on()
+
+
+def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
+    """The words of letters that most documents hold, by falling number of documents and then by the word; at most size."""
+    counts = docs.select(text_of(docs).alias("text")).mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in counts.where(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "word").limit(size).collect()]
+
+
+def _prices(words: list[str]) -> Prices:
+    return kept(("secrets", len(words), hash(tuple(words))), lambda: Prices(words))
+
+
+def _scan(batches: Iterator[pa.RecordBatch], words: list[str]) -> Iterator[pa.RecordBatch]:
+    prices = _prices(words)
     for batch in batches:
-        rows = [scan(t) for t in batch.column(1).to_pylist()]
-        counts = [pa.array([sum(s[0] == k for s in r) for r in rows], type=pa.int64()) for k in KINDS]
-        digests = [hashlib.sha256(_joined([s for s in r if s[0] != "guess"]).encode()).hexdigest() for r in rows]
-        arrays = [batch.column(0), *counts, pa.array(digests, type=pa.string()), pa.array([_joined(r) for r in rows], type=pa.string())]
+        texts = batch.column(1).to_pylist()
+        values = [priced(t, prices) for t in texts]
+        rows = [scan(t, v) for t, v in zip(texts, values, strict=True)]
+        counts = {k: pa.array([sum(s[0] == k for s in r) for r in rows], type=pa.int64()) for k in KINDS}
+        arrays = [
+            batch.column(0),
+            *(counts[k] for k in KINDS[:3]),
+            pa.array([hashlib.sha256(_joined([s for s in r if s[0] != "guess"]).encode()).hexdigest() for r in rows], type=pa.string()),
+            pa.array([_joined(r) for r in rows], type=pa.string()),
+            counts["guess"],
+            pa.array([",".join(f"{a}:{b}:{cost:.2f}" for a, b, cost in v) for v in values], type=pa.string()),
+        ]
         yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in COLUMNS.split(", ")])
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, counts by kind, the digest of the base spans, and all spans."""
+def find(docs: DataFrame, words: list[str] | None = None) -> DataFrame:
+    """Per row of docs: doc_id, counts by kind, the digest of the base spans, all spans, and each priced value as start:end:cost.
+
+    words are the ranked ones of a corpus, docs' own unless given.
+    """
+    words = dictionary(docs) if words is None else words
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return rows.mapInArrow(_scan, COLUMNS)
+    return rows.mapInArrow(lambda batches: _scan(batches, words), COLUMNS)
 
 
-def redact(text: str, mark: str = "[secret]") -> str:
+def redact(text: str, prices: Prices, mark: str = "[secret]") -> str:
     """The text with its secrets replaced; of an assignment only the value goes."""
     cuts = []
-    for kind, a, b in scan(text):
+    for kind, a, b in scan(text, priced(text, prices)):
         if kind == "assign":
             a = b - len(ASSIGN.match(text, a)[2])
         cuts.append((a, b))
@@ -282,15 +346,15 @@ def redact(text: str, mark: str = "[secret]") -> str:
     return "".join(out) + text[at:] if cuts else text
 
 
-def redacted(text: Column) -> Column:
+def redacted(text: Column, words: list[str]) -> Column:
     def each(texts: pd.Series) -> pd.Series:
-        keep_nothing()
-        return texts.map(lambda t: None if t is None else redact(t))
+        prices = _prices(words)
+        return texts.map(lambda t: None if t is None else redact(t, prices))
 
     return F.pandas_udf(each, "string")(text)
 
 
 def redact_all(docs: DataFrame) -> DataFrame:
-    """docs with secrets replaced in text and n_chars counted anew; null texts stay null."""
-    out = docs.withColumn("text", redacted(docs["text"]))
+    """docs with secrets replaced in text and n_chars counted anew; null texts stay null. Words are ranked in docs."""
+    out = docs.withColumn("text", redacted(docs["text"].cast("string"), dictionary(docs)))
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
