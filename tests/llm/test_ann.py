@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm import ann, queries
 
-SMALL = ann.Settings(sample=600, part=32, shard=100, queries=7, epochs=20)
+SMALL = ann.Settings(sample=300, part=32, leaf=100, queries=7, epochs=20)
 
 
 def slow(rows, asks, k=10):
@@ -36,6 +36,37 @@ def test_recall_and_exact_scores(spark):
     assert hits >= 0.9 * 10 * len(want)
 
 
+def test_few_parts_are_searched_where_vectors_have_structure(spark):
+    """Parts of several levels: recall against brute force, and the share of vectors that queries meet."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 24)) * 3
+    rows = [(i, (centres[i % 60] + rng.normal(0, 0.5, 24)).astype(np.float32).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    s = ann.Settings(sample=1024, part=64, leaf=300, epochs=30)
+    found = ann.search(df, F.col("vec_id") % 10 == 0, 10, s).collect()
+    want = slow(rows, lambda i: i % 10 == 0)
+    hits = sum((r["score"], r["vec_id"]) in want[r["query_id"]] for r in found)
+    scanned = {r["query_id"]: r["scanned"] for r in found}
+    assert len(found) == 10 * len(want) and hits >= 0.9 * len(found)
+    assert sum(scanned.values()) < 0.4 * len(rows) * len(want)
+
+
+def test_repeated_queries_answer_once(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(120)]
+    once = search(spark, rows)
+    more = [*rows, rows[0], rows[0], rows[10], *[(5, rows[0][1])] * 3]
+    found, want = search(spark, more), slow(more, lambda i: i % 10 == 0)
+    assert set(found) == set(once) and found[0][:3] == [(0.0, 5)] * 3
+    assert all(found[q] == sorted(set(want[q])) if len(set(want[q])) == 10 else [s for s, _ in found[q]] == [s for s, _ in want[q]] for q in (0, 10, 20))
+
+
+def test_the_usual_length_decides(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 9)] + [(10, [1.0, 2.0, 3.0]), (20, [5.0, 1.0]), (30, [1.0])]
+    found = search(spark, rows)
+    assert set(found) == {20} and found[20][0] == (0.0, 5) and len(found[20]) == 8
+
+
 def test_a_hot_vector_is_searched_whole(spark):
     rng = np.random.default_rng(2)
     hot = rng.normal(size=8).astype(np.float32).tolist()

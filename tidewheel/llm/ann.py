@@ -1,43 +1,51 @@
 """Nearest neighbours by learned partitions.
 
-A bounded, documented sample of vectors (Settings.sample rows) gives a graph
-of near neighbours, which recursive bisection cuts into parts of equal size:
-each half starts from a spectral order and is refined by swaps that save cut
-edges. A small network learns the part from the vector. It then routes every
-vector to its most probable part, and every query to its most probable parts,
-where exact distances rerank all vectors. How much probability these parts
-have to hold is measured on sampled vectors that training does not see: as
-much as finds the share Settings.recall of their neighbours. Where vectors
-have little structure that is most of the parts, and a search is near to brute
-force; where they have much it is few.
-
-A part's vectors are dealt to shards of bounded size, and so are the queries
-that visit it, so that no task holds a hot part; a query meets each vector of
-its parts once. Each meeting keeps the nearest ones of its shard and a window
-over a query's few survivors gives the answer. Only the sample and one count
-per part come to the driver.
-
-Cases: vectors that are null, empty, all zero, of another length than the
-first sampled one, or that hold null or non-finite components take no part, as
-queries or candidates; repeated vectors are candidates of their own and ties
-go to the smaller id; a query's own id is no candidate; null ids take no part;
-with fewer candidates than asked for all found are returned; an empty table
-gives an empty result; other columns are not read.
+A bounded sample of vectors (Settings.sample rows) gives a graph of near
+neighbours, which recursive bisection cuts into parts of equal size: each half
+starts from a spectral order and is refined by swaps that save cut edges. A
+small network learns the part from the vector. It then routes every vector to
+its most probable part, and every query to its most probable parts. How much
+probability these parts have to hold is measured on sampled vectors that
+training does not see: as much as finds the share Settings.recall of their
+neighbours. Where vectors have little structure that is most of the parts, and
+a search is near to brute force; where they have much it is few.
+
+Parts grow in number with the table: a part of more than Settings.leaf vectors
+is sampled and split again by a network of its own, level by level, and routed
+likewise; the networks of a level are fitted in parallel, one part in a task.
+In the last parts exact distances rerank all vectors.
+
+Of equal vectors only those of the k + 1 smallest ids are indexed, as ties go
+to the smaller id: no others can be among anyone's k nearest. So copies fill
+no part. A part that cannot be split is dealt to shards of bounded size, and a
+query goes to each of its shards; a part is repeated only where more than
+Settings.queries queries visit it. Each meeting keeps the nearest ones, and a
+window over a query's few survivors gives the answer. One network, and whether
+any part is too large, is all that comes to the driver.
+
+Cases: vectors that are null, empty, all zero, of another length than most
+(the smallest of the most frequent lengths), or that hold null or non-finite
+components take no part, as queries or candidates; repeated vectors are
+candidates of their own and ties go to the smaller id; rows of a query's own
+id are no candidates; repeated rows ask once, and an id with several vectors
+asks with each; null ids take no part; with fewer candidates than asked for all
+found are returned; an empty table gives an empty result; other columns are
+not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import written
+from tidewheel.llm.common import remove, written, written_at
 
 
 @dataclass(frozen=True)
@@ -53,9 +61,10 @@ class Settings:
     #: Share of neighbours that a query's parts should hold, and the least number of parts.
     recall: float = 0.97
     least: int = 2
-    #: Vectors and queries of a shard.
-    shard: int = 4096
-    queries: int = 512
+    #: Vectors of a part that is not split again, queries that meet a part at once, and the most levels of parts.
+    leaf: int = 1 << 15
+    queries: int = 1 << 15
+    levels: int = 10
     seed: int = 5
 
 
@@ -182,21 +191,17 @@ def valid(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(vector, lambda v: v != 0)
 
 
-def _matrix(column: pd.Series | list) -> np.ndarray:
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in column])
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The rows of a column of vectors of one length without nulls."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def fit(vectors: DataFrame, s: Settings = Settings()) -> Router | None:
-    """The router learned from a sample of vectors (vec_id, embedding); None without any."""
-    rows = vectors.orderBy(F.xxhash64("vec_id", F.lit(s.seed)), "vec_id").limit(s.sample).collect()
-    if not rows:
-        return None
-    rows = sorted((r for r in rows if len(r["embedding"]) == len(rows[0]["embedding"])), key=lambda r: r["vec_id"])
-    x = _matrix([r["embedding"] for r in rows])
-    # Copies of one vector would fill parts of their own; the partition is of distinct vectors.
-    x = np.unique(x, axis=0)
+def learn(x: np.ndarray, s: Settings = Settings()) -> Router:
+    """The router learned from sampled vectors; of one part where they are too few."""
+    x = np.unique(x, axis=0)  # copies of one vector would fill parts of their own
     parts = 1
-    while 2 * parts * s.part <= len(x):
+    while 2 * parts * s.part <= len(x) and 2 * parts < FAN:
         parts *= 2
     order = np.random.default_rng(s.seed).permutation(len(x))
     held, used = x[order[: len(x) // 8]], x[order[len(x) // 8 :]]
@@ -205,63 +210,147 @@ def fit(vectors: DataFrame, s: Settings = Settings()) -> Router | None:
     return router
 
 
-def _routed(vectors: DataFrame, router: Router, mass: float, least: int) -> Column:
-    def parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for v in batches:
-            yield pd.Series(router.route(_matrix(v), mass, least) if len(v) else [], dtype=object)
-
-    return F.pandas_udf(parts, "array<int>")(vectors["embedding"])
-
+#: Parts have number FAN * (number of the part that they split) + 1 + place.
+FAN = 64
+POINTS = "id long, mark long, times long, asks boolean, embedding array<double>, node long, done boolean"
+ROUTERS = "node long, router binary"
+NEAREST = "query_id long, mark long, vec_id long, score double, met long"
+
+
+def _fit(s: Settings) -> Callable[[pa.Table], pa.Table]:
+    def fit(group: pa.Table) -> pa.Table:
+        chosen = group.sort_by([("place", "ascending"), ("id", "ascending")]).slice(0, s.sample)
+        router = learn(_matrix(chosen["embedding"]), s)
+        raw = pickle.dumps(router) if router.parts > 1 else None
+        return pa.table({"node": pa.array([group["node"][0].as_py()], pa.int64()), "router": pa.array([raw], pa.binary())})
+
+    return fit
+
+
+def _route(points: pa.Table, router: Router, s: Settings) -> pa.Table:
+    """Points in their parts: a vector in its most probable one, a query in as many as hold the router's mass."""
+    if not points.num_rows:
+        return points
+    x, asks = _matrix(points["embedding"]), points["asks"].to_numpy()
+    parts = [[int(p)] for p in router.probabilities(x).argmax(axis=1)]
+    asking = np.flatnonzero(asks)
+    for i, found in zip(asking.tolist(), router.route(x[asking], router.mass, s.least) if len(asking) else [], strict=True):
+        parts[i] = found
+    rows = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    node = points["node"].to_numpy()[rows] * FAN + 1 + np.concatenate(parts)
+    out = points.select(["id", "mark", "times", "asks", "embedding"]).take(pa.array(rows))
+    return out.append_column("node", pa.array(node, pa.int64())).append_column("done", pa.array(np.zeros(len(rows), dtype=bool)))
+
+
+def _split(points: DataFrame, large: DataFrame, routers: DataFrame, s: Settings) -> DataFrame:
+    """Points of parts that have a router, in the parts of the next level; dealt to groups of bounded size."""
+    salts = large.select("node", F.greatest(F.ceil(F.col("points") / s.leaf), F.lit(1)).cast("long").alias("salts"))
+    routers = routers.join(salts, "node").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    dealt = points.join(salts, "node").withColumn("salt", F.pmod(F.xxhash64("id", "mark"), F.col("salts")))
+    names = [c.split()[0] for c in POINTS.split(", ")]
+
+    def split(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not right.num_rows:
+            return left.select(names).slice(0, 0)
+        return _route(left.select(names), pickle.loads(right["router"][0].as_py()), s).select(names)
+
+    return dealt.select(*names, "salt").groupBy("node", "salt").cogroup(routers.select("node", "salt", "router").toDF("node", "salt", "router").groupBy("node", "salt")).applyInArrow(split, POINTS)
+
+
+def _split_root(points: DataFrame, raw: bytes, s: Settings) -> DataFrame:
+    """Points in the parts of the first level; one router is sent to all tasks and nothing is shuffled."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        router = pickle.loads(raw)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 4096):
+                yield from _route(pa.Table.from_batches([batch.slice(low, 4096)]), router, s).combine_chunks().to_batches()
+
+    return points.mapInArrow(split, POINTS)
+
+
+def partition(points: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """points (columns of POINTS, all in part 0) in their last parts, written."""
+    points, path = written_at(points, "ann-points")
+    for level in range(s.levels):
+        sizes = points.where("not done").groupBy("node").agg(F.count(F.lit(1)).alias("points"), F.count_if(~F.col("asks")).alias("n"))
+        large = sizes.where(F.col("n") > (s.leaf if level else 0))
+        place = F.pmod(F.xxhash64("id", F.lit(s.seed)), F.lit(1 << 30)).alias("place")
+        drawn = points.where("not asks and not done").join(large, "node").select("node", "id", place, "embedding", "n")
+        drawn = drawn.where(F.col("place") < F.lit(1.25 * s.sample * (1 << 30)) / F.col("n")).drop("n")
+        routers = written(drawn.groupBy("node").applyInArrow(_fit(s), ROUTERS).where("router is not null"), "ann-routers")
+        first = routers.first()
+        if first is None:
+            break
+        if level == 0:
+            moved = _split_root(points, first["router"], s)
+        else:
+            stay = points.join(routers.select("node"), "node", "left_anti").withColumn("done", F.lit(True))
+            moved = stay.select(*points.columns).unionByName(_split(points, large, routers, s))
+        (points, path), old = written_at(moved, "ann-points"), path
+        remove(points.sparkSession, old)
+    return points
 
-NEAREST = "query_id long, vec_id long, score double"
 
+def _meet(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The k nearest candidates of each query that meets them; the first of a query's rows has the number that it met."""
 
-def _meet(k: int):
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        out: list[list] = [[], [], [], [], []]
         if left.num_rows and right.num_rows:
-            ids, x = left["vec_id"].to_numpy(), _matrix(left["embedding"].to_pylist())
-            queries, y = right["query_id"].to_numpy(), _matrix(right["embedding"].to_pylist())
+            times = np.minimum(left["times"].to_numpy(), k)
+            ids, x = np.repeat(left["id"].to_numpy(), times), np.repeat(_matrix(left["embedding"]), times, axis=0)
+            queries, marks, y = right["id"].to_numpy(), right["mark"].to_numpy(), _matrix(right["embedding"])
             norms = (x * x).sum(axis=1)
-            for query, q in zip(queries.tolist(), y, strict=True):
-                rough = norms - 2 * (x @ q)
-                near = np.arange(len(ids))
-                if len(ids) > 2 * k + 2:
-                    slack = 1e-9 * (float(norms.max()) + float(q @ q))
-                    near = np.flatnonzero(rough <= np.partition(rough, k)[k] + slack)  # k others besides the query itself
-                near = near[ids[near] != query]
-                exact = np.sqrt(((x[near] - q) ** 2).sum(axis=1))
-                for i in np.lexsort((ids[near], exact))[:k]:
-                    out["query_id"].append(query), out["vec_id"].append(int(ids[near[i]])), out["score"].append(float(exact[i]))
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+            step = max(1, (1 << 21) // len(ids))
+            for low in range(0, len(queries), step):
+                part = y[low : low + step]
+                rough = norms[None] - 2 * part @ x.T
+                for j, q in enumerate(part):
+                    query, near = int(queries[low + j]), np.flatnonzero(ids != queries[low + j])
+                    if len(near) > 2 * k:
+                        slack = 1e-9 * (float(norms.max()) + float(q @ q))
+                        others = rough[j][near]
+                        near = near[others <= np.partition(others, k)[k] + slack]
+                    exact = np.sqrt(((x[near] - q) ** 2).sum(axis=1))
+                    for n, i in enumerate(np.lexsort((ids[near], exact))[:k].tolist()):
+                        row = query, int(marks[low + j]), int(ids[near[i]]), float(exact[i]), 0 if n else len(ids)
+                        for column, value in zip(out, row, strict=True):
+                            column.append(value)
+        names = [c.split() for c in NEAREST.split(", ")]
+        return pa.table({n: pa.array(v, pa.float64() if t == "double" else pa.int64()) for (n, t), v in zip(names, out, strict=True)})
 
     return nearest
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 10, s: Settings = Settings()) -> DataFrame:
-    """For each valid row for which queries holds, its k nearest other rows: query_id, rank, vec_id, score."""
-    rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("embedding"), queries.alias("asks"))
-    rows = rows.where(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
-    router = fit(rows.select("vec_id", "embedding"), s)
-    if router is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("embedding") == router.dim)
-    index = written(rows.select("vec_id", "embedding", _routed(rows, router, 0.0, 1)[0].alias("part"), "asks"), "ann-index")
-    asked = index.where("asks").select("vec_id", "embedding")
-    asked = written(asked.select(F.col("vec_id").alias("query_id"), "embedding", F.explode(_routed(asked, router, router.mass, s.least)).alias("part")), "ann-queries")
-    shards = {r["part"]: -(-r["n"] // s.shard) for r in index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    tables = {r["part"]: -(-r["n"] // s.queries) for r in asked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    def of(counts: dict[int, int]) -> Column:
-        return F.element_at(F.array(*[F.lit(int(counts.get(p, 0))) for p in range(router.parts)]), F.col("part") + 1)
-
-    def deal(key: str, counts: dict[int, int]) -> Column:
-        return F.pmod(F.xxhash64(key, F.lit(s.seed)), F.greatest(of(counts), F.lit(1))).cast("int")
-
-    candidates = index.where(of(tables) > 0).withColumn("shard", deal("vec_id", shards)).withColumn("desk", F.explode(F.sequence(F.lit(0), of(tables) - 1)))
-    visits = asked.where(of(shards) > 0).withColumn("desk", deal("query_id", tables)).withColumn("shard", F.explode(F.sequence(F.lit(0), of(shards) - 1)))
-    keys = ["part", "shard", "desk"]
-    candidates, visits = candidates.select(*keys, "vec_id", "embedding"), visits.select(*keys, "query_id", "embedding")
+    """For each valid row for which queries holds, its k nearest other rows: query_id, rank, vec_id, score, and scanned, the vectors that it met."""
+    rows = vectors.select(vectors["vec_id"].cast("long").alias("id"), vectors["embedding"].cast("array<double>").alias("embedding"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    rows = rows.where(F.col("id").isNotNull() & valid(F.col("embedding")))
+    length = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
+    rows = rows.where(F.size("embedding") == (length["dim"] if length else 0))
+    rows = rows.select("id", F.transform("embedding", lambda v: v + 0.0).alias("embedding"), "asks")
+    once = rows.groupBy("id", "embedding").agg(F.count(F.lit(1)).alias("times"), F.max("asks").alias("asks"))
+    once, path = written_at(once.select("id", F.xxhash64("embedding").alias("mark"), "times", "asks", "embedding"), "ann-vectors")
+    least = F.row_number().over(W.partitionBy("mark", "embedding").orderBy("id"))
+    index = once.withColumn("least", least).where(F.col("least") <= k + 1).drop("least").withColumn("asks", F.lit(False))
+    points = index.unionByName(once.where("asks")).select(*once.columns, F.lit(0).cast("long").alias("node"), F.lit(False).alias("done"))
+    points = partition(points, s)
+    remove(points.sparkSession, path)
+    leaves = points.groupBy("node").agg(F.count_if(~F.col("asks")).alias("n"), F.count_if("asks").alias("q")).where("n > 0 and q > 0")
+
+    def groups(of: str, size: int) -> Column:
+        return F.greatest(F.ceil(F.col(of) / size), F.lit(1)).cast("long")
+
+    leaves = leaves.select("node", groups("n", 2 * s.leaf).alias("shards"), groups("q", s.queries).alias("desks"))
+    met_by = points.join(leaves, "node")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("desks") - 1)).alias("desk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard")
+    dealt = F.xxhash64("id", "mark", F.lit(s.seed))
+    candidates = met_by.where("not asks").select("node", F.pmod(dealt, F.col("shards")).alias("shard"), every[0], "id", "times", "embedding")
+    visits = met_by.where("asks").select("node", every[1], F.pmod(dealt, F.col("desks")).alias("desk"), "id", "mark", "embedding")
+    keys = ["node", "shard", "desk"]
+    visits = visits.toDF(*visits.columns)  # columns of its own, as both sides come from one table
     met = candidates.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInArrow(_meet(k), NEAREST)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    mine = W.partitionBy("query_id", "mark")
+    ranked = met.withColumn("scanned", F.sum("met").over(mine)).withColumn("rank", F.row_number().over(mine.orderBy("score", "vec_id")).cast("int"))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "scanned")
