@@ -33,6 +33,17 @@ def test_urls_by_hand(spark):
     assert urls.judge(pages.where(F.lit(False)), RULES).count() == 0
 
 
+def test_long_hosts_and_many_nameless_urls(spark):
+    hosts = ["a." * 50_000 + "example.org", "x" * 100_000 + ".com", "." * 60_000, "com" + "." * 9]
+    pages = spark.createDataFrame([(i, f"https://{h}/es/{'d/' * 20_000}") for i, h in enumerate(hosts)] + [(9, None)] * 500, "page_id long, url string")
+    begin = time.time()
+    rows = urls.judge(pages, RULES).collect()
+    assert time.time() - begin < 30 and len(rows) == 504
+    for r in rows:
+        if r["page_id"] < 9:
+            assert (r["host"], r["path"], r["rule"], r["verdict"]) == slow_judge(f"https://{hosts[r['page_id']]}/es/{'d/' * 20_000}")
+
+
 def test_precedence_of_like_rules(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
     rules = [("allow", "a.b", "/"), ("block", "b", "/c"), ("allow", "b", "/c")]

@@ -1,15 +1,17 @@
 """Rules over hosts and paths, matched through hashed expressions of each url.
 
 A rule names a host, which its subdomains share, and the start of a path. Each
-url is expanded into expressions: every suffix of its host's labels with every
-start of its path whose length some rule has. Expressions meet rules in an
+url is expanded into expressions: every suffix of its host with as many labels
+as some rule's host has, with every start of its path whose length some rule
+has. Expressions meet rules in an
 equi-join on a short prefix of their digest; the full digest confirms a match,
 and of the matching rules the longest (host and path together) decides, then
 the longer host, then a block. Where no rule fits, the default decides.
 
 Cases: a null url, or one without "://", has an empty host and path and takes
-the default; equal urls are judged once and repeated rows are kept; very long
-urls expand by rules' lengths only; ids may be null; an empty table gives an
+the default and is not joined; equal urls are judged once and repeated rows are
+kept; very long urls, of long hosts or paths, expand by the rules' labels and
+lengths only; ids may be null; an empty table gives an
 empty result; other columns are not read.
 """
 
@@ -47,10 +49,11 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow") -> Da
     """Per row of pages: page_id, host, path, rule (host and path, else null), verdict."""
     host, path = split_url(pages["url"].cast("string"))
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    urls = rows.select("host", "path").where("host != ''").distinct()
+    named = rows.where("host != ''")
+    urls = named.select("host", "path").distinct()
     lengths = sorted({len(p) for _, _, p in rules})
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    labels = sorted({h.count(".") + 1 for _, h, _ in rules})
+    suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in labels]))
     starts = F.array_distinct(F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n)))
     expressions = (
         urls.select("host", "path", F.explode(suffixes).alias("suffix"), starts.alias("starts"))
@@ -66,5 +69,6 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow") -> Da
         F.col("rule_verdict").alias("verdict"),
     )
     best = matches.groupBy("host", "path").agg(F.max(order).alias("best"))
-    judged = rows.join(best, ["host", "path"], "left")
-    return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    judged = named.join(best, ["host", "path"], "left").select(*rows.columns, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    nameless = rows.where("host = ''").select(*rows.columns, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    return judged.select("page_id", "host", "path", "rule", "verdict").unionByName(nameless)
