@@ -107,3 +107,35 @@ def test_sources_smaller_than_a_block_give_their_targets(spark, slots):
     assert len(goal) == len(sizes) and all(abs(took[s] - want) <= 0.5 for s, want in goal.items())
     copies = {r["source"]: r["count"] for r in mixing.mixed(docs, slots).groupBy("source").count().collect()}
     assert set(copies) == set(goal)
+
+
+def slow_takes(rows, slots):
+    """Words that the mix takes of each row: whole rounds of the source's stream of documents, then its start."""
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+    goal, out = slow_targets(sizes), []
+    for source, total in sizes.items():
+        want, mine = int(goal[source] + 0.5), [r for r in rows if r["source"] == source]
+        for r in sorted(mine, key=lambda r: r["start"]):
+            ahead = [max(0, min(want - p * total - r["start"], r["size"])) for p in range(2)]
+            out.append((r["doc_id"], sum(ahead)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("slots", [16, 1 << 10, 1 << 20])
+def test_takes_equal_brute_force(spark, slots):
+    rows = mixing.taken(corpus(spark, 150), slots).collect()
+    for source in {r["source"] for r in rows}:  # starts follow each other without gaps
+        at = 0
+        for r in sorted((r for r in rows if r["source"] == source), key=lambda r: (r["start"], r["size"])):
+            assert r["start"] == at
+            at += r["size"]
+    assert sorted((r["doc_id"], r["taken"]) for r in rows) == slow_takes(rows, slots)
+
+
+def test_clashing_names_are_kept(spark):
+    names = "doc_id long, text string, source string, mark int, copies string, row int, mine int, copy int, _tw_id int"
+    docs = spark.createDataFrame([(i, "a b c", "s", 1, "x", 2, 3, 4, i) for i in range(8)], names)
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns and {(r["copies"], r["row"], r["copy"]) for r in mixed.collect()} == {("x", 2, 4)}

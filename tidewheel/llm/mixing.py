@@ -170,12 +170,12 @@ def taken(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
 def mixed(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """The rows of docs as often as the mix takes them, in whole documents: taken over size, rounded."""
     rows = taken(docs, slots).where("size > 0").groupBy("doc_id", "mark")
-    copies = rows.agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("_tw_copies"), F.count(F.lit(1)).alias("_tw_rows")).where("_tw_copies > 0")
-    copies = copies.select(F.col("doc_id").alias("_tw_id"), F.col("mark").alias("_tw_mark"), "_tw_copies", "_tw_rows")
-    marked = docs.withColumn("_tw_own", docs["doc_id"].cast("long")).withColumn("_tw_hash", _mark(docs))
-    joined = marked.join(copies, marked["_tw_own"].eqNullSafe(copies["_tw_id"]) & (marked["_tw_hash"] == copies["_tw_mark"]))
-    # Rows that are alike share their copies evenly.
-    rank = F.row_number().over(W.partitionBy("_tw_id", "_tw_mark").orderBy("source"))
-    mine = F.expr("_tw_copies div _tw_rows") + F.when(F.col("_tw_rank") <= F.col("_tw_copies") % F.col("_tw_rows"), 1).otherwise(0)
-    counted = joined.withColumn("_tw_rank", rank).withColumn("_tw_mine", mine.cast("int")).where("_tw_mine > 0")
-    return counted.withColumn("_tw_copy", F.explode(F.sequence(F.lit(1), F.col("_tw_mine")))).select(*docs.columns)
+    copies = rows.agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("copies"), F.count(F.lit(1)).alias("alike")).where("copies > 0")
+    copies = copies.select(F.col("doc_id").alias("id"), "mark", "copies", "alike")
+    held = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("own"), docs["source"].cast("string").alias("source"), _mark(docs).alias("mark"))
+    # The join and the window share one shuffle, by mark. Rows that are alike share their copies evenly.
+    joined = held.join(copies, "mark").where(F.col("own").eqNullSafe(F.col("id")))
+    rank = F.row_number().over(W.partitionBy("mark", "own").orderBy("source"))
+    mine = F.expr("copies div alike") + F.when(F.col("rank") <= F.col("copies") % F.col("alike"), 1).otherwise(0)
+    counted = joined.withColumn("rank", rank).withColumn("mine", mine.cast("int")).where("mine > 0")
+    return counted.select("row", F.explode(F.sequence(F.lit(1), F.col("mine"))).alias("copy")).select("row.*")
