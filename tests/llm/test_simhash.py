@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import ODD
-from tidewheel.llm import simhash
+from tidewheel.llm import common, simhash
 from tidewheel.llm.components import connected_components
 
 
@@ -105,3 +105,35 @@ def test_long_texts_count_in_chunks(monkeypatch):
 @pytest.mark.parametrize("text", ["a", "a b", "A B C", "é b c d"])
 def test_short_texts(text):
     assert simhash.fingerprint(text.encode()) == slow_print(text)
+
+
+def test_tables_of_rounds_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    assert connected_components(edges, "a", "b").where("root != 0").count() == 0
+    assert len(list(tmp_path.glob("components-*"))) == 1
+
+
+def test_clashing_names_are_kept(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 5, 6, 7), (1, "a b c d", 5, 6, 7), (2, "a b c d", 8, 9, 0), (3, "x y z", 1, 2, 3)], "doc_id long, text string, key int, stays int, row int")
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(1, "a b c d", 5, 6, 7), (3, "x y z", 1, 2, 3)]
+
+
+def test_a_shared_folder_is_asked_for_on_clusters(monkeypatch):
+    class Session:
+        def __init__(self, **conf):
+            self.values = conf
+            self.conf = self
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+        def set(self, key, value):
+            self.values[key] = value
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session(**{"spark.master": "spark://host:7077"}))
+    assert common.shared_dir(Session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:/x/"})) == "hdfs:/x"
+    local = Session(**{"spark.master": "local[2]"})
+    assert common.shared_dir(local) == common.shared_dir(local)

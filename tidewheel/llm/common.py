@@ -57,14 +57,6 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """The name, with underscores before it until df has no such column, in any case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 def text_of(docs: DataFrame, column: str = "text") -> Column:
     """The text as string; null counts as empty."""
     return F.coalesce(docs[column].cast("string"), F.lit(""))

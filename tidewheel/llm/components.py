@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import written
+from tidewheel.llm.common import remove, written_at
 
 
 def _largest(edges: DataFrame) -> DataFrame:
@@ -32,13 +32,15 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
     """Columns node, root: for each node of an edge, the smallest node that it reaches.
 
     Rounds of the alternating star method; each cuts the lineage with a table
-    in the shared folder. The number of rounds grows with the logarithm of the
+    in the shared folder and deletes the one before. The number of rounds grows with the logarithm of the
     number of nodes, so the bound is never met in practice; meeting it raises.
     """
     now = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u != v")
-    seen = None
+    seen = path = None
     for _ in range(rounds):
-        now = written(_smallest(_largest(now)), "components")
+        (now, path), old = written_at(_smallest(_largest(now)), "components"), path
+        if old:
+            remove(edges.sparkSession, old)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewheel.llm.components import connected_components
@@ -139,9 +140,12 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null ids count as larger than any other. All columns of docs are returned.
     """
+    prints = near_duplicates(docs, id_col, text_col)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("stay")
-    stay = near_duplicates(docs, id_col, text_col).groupBy("root").agg(least)
-    stay = stay.select(F.col("stay.doc_id").alias("_tw_stay"), F.col("stay.text_hash").alias("_tw_text"))
-    rows = docs.withColumn("_tw_id", F.col(id_col).cast("long")).withColumn("_tw_hash", F.xxhash64(text_of(docs, text_col)))
-    kept = rows.join(stay, F.col("_tw_id").eqNullSafe(F.col("_tw_stay")) & (F.col("_tw_hash") == F.col("_tw_text")), "left_semi")
-    return kept.dropDuplicates(["_tw_id", "_tw_hash"]).select(*docs.columns)
+    stay = prints.groupBy("root").agg(least).select(F.xxhash64("stay.doc_id", "stay.text_hash").alias("key"), F.col("stay.doc_id").alias("stays"), F.col("stay.text_hash").alias("stays_hash"))
+    own, own_hash = docs[id_col].cast("long"), F.xxhash64(text_of(docs, text_col))
+    rows = docs.select(F.struct("*").alias("row"), own.alias("own"), own_hash.alias("own_hash"), F.xxhash64(own, own_hash).alias("key"))
+    # The join and the window share one shuffle, by key; repeated rows meet there.
+    met = rows.join(stay, "key").where(F.col("own").eqNullSafe(F.col("stays")) & (F.col("own_hash") == F.col("stays_hash")))
+    first = F.row_number().over(W.partitionBy("key", "own", "own_hash").orderBy("key"))
+    return met.withColumn("first", first).where("first = 1").select("row.*")
