@@ -5,12 +5,16 @@ of a document is routed to the shortest tier that holds it. Tiers are packed
 from the longest to the shortest: a document opens a window of its tier, the
 gap takes the longest pieces of shorter tiers that fit, and what is left of it
 is filled by cutting one more document, whose rest is routed again. So every
-window is full. Windows of a tier are dealt to step groups of equal tokens in
-snake order of their attention cost.
+window is full. Windows of a tier wait until they fill several step groups of
+STEP_TOKENS tokens, to which they are dealt in snake order of their attention
+cost: groups hold windows of one length, equal tokens and like costs.
 
 A task packs the rows that it reads and nothing is shuffled. What is left at
 its end, less than one window of the longest tier, is cut into full windows
-whose lengths are powers of two.
+whose lengths are powers of two. These and the windows that still wait share a
+task's last groups, the longest first into the emptiest: as few groups as hold
+them, of nearly equal tokens and at most STEP_TOKENS. Only these last groups
+mix lengths or hold fewer tokens than the others.
 
 Cases: null and empty texts are the end id alone; repeated rows and ids are
 packed once each; very long texts are cut over as many windows as they fill;
@@ -20,8 +24,10 @@ are unique and follow the input's partitions.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,8 +41,8 @@ from tidewheel.llm.common import release, text_of
 
 TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 1 << 16
-#: Windows that are written at once, and dealt to step groups among themselves.
-WINDOWS = 256
+#: Step groups of a tier that windows are dealt to at once.
+GROUPS = 4
 #: Pieces that fill a gap before a document is cut.
 FILLS = 3
 
@@ -55,9 +61,12 @@ class Piece:
         return Piece(self.doc_id, self.ids, self.start + n, self.length - n)
 
 
+Window = list[Piece]
+
+
 class Packer:
-    def __init__(self, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS):
-        self.tiers, self.step_tokens = tiers, step_tokens
+    def __init__(self, tiers: tuple[int, ...] = TIERS):
+        self.tiers = tiers
         self.lengths: list[int] = []
         self.pool: list[Piece] = []
         self.total = 0
@@ -73,7 +82,7 @@ class Packer:
         self.total -= self.lengths.pop(at)
         return self.pool.pop(at)
 
-    def add(self, pieces: list[Piece]) -> list[list[Piece]]:
+    def add(self, pieces: list[Piece]) -> list[Window]:
         """Take documents in; return the windows that are full."""
         top, full = self.tiers[-1], []
         for p in pieces:
@@ -92,7 +101,7 @@ class Packer:
             full.append(self._fill(window))
         return full
 
-    def _fill(self, window: int) -> list[Piece]:
+    def _fill(self, window: int) -> Window:
         row = [self._take(len(self.pool) - 1)]
         gap = window - row[0].length
         for _ in range(FILLS):
@@ -109,7 +118,7 @@ class Packer:
             gap -= n
         return row
 
-    def finish(self) -> list[list[Piece]]:
+    def finish(self) -> list[Window]:
         """Cut what is left into windows whose lengths are powers of two."""
         out = []
         while self.total:
@@ -124,42 +133,68 @@ class Packer:
             out.append(row)
         return out
 
-    def steps(self, windows: list[list[Piece]]) -> list[int]:
-        """A step group for each window: one length in a group, as many tokens in each, and like attention costs."""
-        lengths = [sum(p.length for p in w) for w in windows]
-        costs = [sum(p.length**2 for p in w) for w in windows]
-        group, first = [0] * len(windows), 0
-        for n in sorted(set(lengths)):
-            mine = sorted((i for i, x in enumerate(lengths) if x == n), key=lambda i: -costs[i])
-            groups = -(-len(mine) * n // self.step_tokens)
-            for k, i in enumerate(mine):
-                turn, at = divmod(k, groups)
-                group[i] = first + (at if turn % 2 == 0 else groups - 1 - at)
-            first += groups
-        return group
+
+def _length(window: Window) -> int:
+    return sum(p.length for p in window)
+
+
+def _cost(window: Window) -> int:
+    return sum(p.length**2 for p in window)
+
+
+class Steps:
+    """Deals windows to step groups, numbered from first on."""
+
+    def __init__(self, first: int = 0, step_tokens: int = STEP_TOKENS):
+        self.next, self.step_tokens = first, step_tokens
+        self.waiting: dict[int, list[Window]] = defaultdict(list)
+
+    def add(self, windows: list[Window]) -> Iterator[list[tuple[int, Window]]]:
+        """Take windows in; of those that fill whole groups, each with its group."""
+        for w in windows:
+            n = _length(w)
+            mine = self.waiting[n]
+            mine.append(w)
+            if len(mine) * n >= GROUPS * self.step_tokens:
+                del self.waiting[n]
+                mine.sort(key=_cost, reverse=True)
+                turns = (divmod(k, GROUPS) for k in range(len(mine)))
+                yield [(self.next + (at if turn % 2 == 0 else GROUPS - 1 - at), w) for (turn, at), w in zip(turns, mine, strict=True)]
+                self.next += GROUPS
+
+    def finish(self, tails: list[Window]) -> list[tuple[int, Window]]:
+        """What waits, and the task's last windows, in groups of nearly equal tokens."""
+        left = sorted([*tails, *(w for mine in self.waiting.values() for w in mine)], key=lambda w: (_length(w), _cost(w)), reverse=True)
+        groups = -(-sum(map(_length, left)) // self.step_tokens)
+        loads, out = [(0, 0, g) for g in range(self.next, self.next + groups)], []
+        for w in left:
+            tokens_, cost, group = heapq.heappop(loads)
+            heapq.heappush(loads, (tokens_ + _length(w), cost + _cost(w), group))
+            out.append((group, w))
+        self.waiting.clear()
+        self.next += groups
+        return out
 
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     encode = tokens.encoder(path).encode
     packer, base = Packer(), TaskContext.get().partitionId() << 40
-    sequence = group = base
+    steps, sequence = Steps(base), base
 
-    def rows(windows: list[list[Piece]]) -> pa.RecordBatch:
-        nonlocal sequence, group
+    def rows(dealt: list[tuple[int, Window]]) -> pa.RecordBatch:
+        nonlocal sequence
         columns: list[list] = [[] for _ in range(9)]
-        steps = packer.steps(windows)
-        for step, window in zip(steps, windows, strict=True):
+        for group, window in dealt:
             offset = 0
             for p in window:
                 ids = p.ids[4 * p.start : 4 * (p.start + p.length)]
-                row = (p.doc_id, p.start, p.length, zlib.crc32(ids), len(p.ids) // 4, sequence, offset, group + step)
+                row = (p.doc_id, p.start, p.length, zlib.crc32(ids), len(p.ids) // 4, sequence, offset, group)
                 for column, value in zip(columns, row, strict=False):
                     column.append(value)
                 if with_ids:
                     columns[8].append(np.frombuffer(ids, dtype="<i4"))
                 offset += p.length
             sequence += 1
-        group += max(steps, default=-1) + 1
         arrays = [pa.array(c, type=pa.int64()) for c in columns[:8]]
         names = list(NAMES)
         if with_ids:
@@ -172,10 +207,8 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Itera
             names, ends = batch.column(0).slice(low, len(sizes)).to_pylist(), np.cumsum(sizes).tolist()
             raw = ids.astype("<u4").tobytes()
             docs = [Piece(i, raw[4 * (b - n) : 4 * b], 0, n) for i, n, b in zip(names, sizes.tolist(), ends, strict=True)]
-            full = packer.add(docs)
-            for at in range(0, len(full), WINDOWS):
-                yield rows(full[at : at + WINDOWS])
-    yield rows(packer.finish())
+            yield from map(rows, steps.add(packer.add(docs)))
+    yield rows(steps.finish(packer.finish()))
     release()
 
 
