@@ -40,8 +40,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, frequencies = rans.write_blocks(table(spark, sf_dir, "documents"))
-    return rans.read_blocks(blocks, frequencies, with_ids=False)
+    return rans.read_blocks(spark, rans.write_blocks(table(spark, sf_dir, "documents")), with_ids=False)
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,13 @@ The table: u32 symbols; symbols x (u32 token, u32 frequency); the last symbol
 is the escape for tokens beyond the table, which a block lists as they are.
 Frequencies sum to 65536.
 
+A folder holds all that decoding needs: blocks (Parquet rows of start,
+n_tokens, n_docs, first_doc, last_doc, n_bytes, crc32, payload) and table (one
+row of crc32, payload). The manifest is the blocks' narrow columns with the
+file that holds each; a block can be read and decoded alone.
+
 Cases: null and empty texts are the end id alone; repeated ids and rows are
-kept, in the order of their texts; null ids come first; very long texts make
+kept, in the order of a hash of their texts; null ids come first; very long texts make
 long blocks; an empty table gives no blocks and an empty result; other columns
 are not read.
 """
@@ -29,17 +34,18 @@ are not read.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import tokens
-from tidewheel.llm.common import release, text_of, written
+from tidewheel.llm.common import release, remove, shared_dir, text_of, written_at
 
 BITS = 16
 LANES = 4096
@@ -223,25 +229,30 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["token", "n"])
 
 
+BLOCKS = "start long, n_tokens long, n_docs long, first_doc long, last_doc long, n_bytes long, crc32 long, payload binary"
+
+
 def _to_blocks(batches: Iterator[pa.RecordBatch], raw_table: bytes, bases: dict[int, int]) -> Iterator[pa.RecordBatch]:
     table = Table.from_bytes(raw_table)
     for batch in batches:
         for r in batch.to_pylist():
-            start = bases[r["shard"]] + r["start"]
-            payload = to_block(start, list(zip(r["doc_ids"], r["lengths"], strict=True)), _ids(r["ids"], r["n_tokens"]), table)
-            yield pa.RecordBatch.from_arrays([pa.array([start]), pa.array([payload], type=pa.binary())], ["start", "payload"])
+            start, docs = bases[r["shard"]] + r["start"], r["doc_ids"]
+            payload = to_block(start, list(zip(docs, r["lengths"], strict=True)), _ids(r["ids"], r["n_tokens"]), table)
+            row = start, r["n_tokens"], len(docs), docs[0], docs[-1], len(payload), zlib.crc32(payload)
+            yield pa.RecordBatch.from_arrays([*(pa.array([v], type=pa.int64()) for v in row), pa.array([payload], type=pa.binary())], [c.split()[0] for c in BLOCKS.split(", ")])
 
 
-def write_blocks(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, bytes]:
-    """Encode all texts; returns the table of blocks (start, payload), written, and the frequency table's bytes.
+def write_blocks(docs: DataFrame, path: str | None = None) -> str:
+    """Encode all texts; returns the folder, of its own in the shared one, that holds blocks and table.
 
     To the driver come one count per token of the vocabulary and one total per
     task, never tokens or documents.
     """
     path = path or tokens.default_path()
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    raw = written(ordered.mapInArrow(lambda b: _raw_blocks(b, path), RAW), "rans-raw", compression="zstd")
+    spark, text = docs.sparkSession, text_of(docs)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    ordered = rows.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").select("doc_id", "text")
+    raw, raw_path = written_at(ordered.mapInArrow(lambda b: _raw_blocks(b, path), RAW), "rans-raw", compression="zstd")
     counts = raw.select("n_tokens", "ids").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     table = Table.counted({r["token"]: r["n"] for r in counts.collect()})
     bases, total = {}, 0
@@ -249,8 +260,17 @@ def write_blocks(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, b
         bases[r["shard"]] = total
         total += r["n"]
     coded = table.to_bytes()
-    blocks = raw.mapInArrow(lambda b: _to_blocks(b, coded, bases), "start long, payload binary")
-    return written(blocks, "rans-blocks", compression="none"), coded
+    folder = f"{shared_dir(spark)}/rans-{uuid.uuid4().hex}"
+    spark.createDataFrame([(table.crc, coded)], "crc32 long, payload binary").coalesce(1).write.parquet(f"{folder}/table")
+    raw.mapInArrow(lambda b: _to_blocks(b, coded, bases), BLOCKS).write.parquet(f"{folder}/blocks", compression="none")
+    remove(spark, raw_path)
+    return folder
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Per block of the folder its place in the stream, its documents, size and checksum, and its file; payloads are not read."""
+    blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
+    return blocks.select(*(c for c in blocks.columns if c != "payload"), F.col("_metadata.file_path").alias("file"))
 
 
 def _read(batches: Iterator[pa.RecordBatch], raw_table: bytes, with_ids: bool) -> Iterator[pa.RecordBatch]:
@@ -274,7 +294,18 @@ def _read(batches: Iterator[pa.RecordBatch], raw_table: bytes, with_ids: bool) -
             yield pa.RecordBatch.from_arrays(arrays, names)
 
 
-def read_blocks(blocks: DataFrame, table: bytes, with_ids: bool = True) -> DataFrame:
-    """Per document of the blocks: doc_id, start, n_tokens, ids_crc32, and ids."""
+def read_table(spark: SparkSession, folder: str) -> bytes:
+    """The folder's table; raises ValueError where its checksum fails."""
+    row = spark.read.schema("crc32 long, payload binary").parquet(f"{folder}/table").first()
+    if row is None or zlib.crc32(row["payload"]) != row["crc32"]:
+        raise ValueError("the table is damaged")
+    return bytes(row["payload"])
+
+
+def read_blocks(spark: SparkSession, folder: str, with_ids: bool = True, start: int | None = None) -> DataFrame:
+    """Per document of the folder's blocks, or of the one at start: doc_id, start, n_tokens, ids_crc32, and ids."""
+    table = read_table(spark, folder)
+    blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
+    blocks = blocks if start is None else blocks.where(F.col("start") == start)
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     return blocks.select("payload").mapInArrow(lambda b: _read(b, table, with_ids), schema)
