@@ -142,7 +142,7 @@ def test_words_of_the_corpus_are_cheap(docs_of):
     found = {r["doc_id"]: r for r in secrets.find(docs_of(rows)).collect()}
     assert found[9]["n_guess"] == 1 and found[9]["priced"].endswith(":inf") and found[9]["priced"].count(":") == 4
     assert secrets.Prices(words).guesses("bergschuhverleih") < 9 <= PRICES.guesses("bergschuhverleih")
-    assert secrets.dictionary(docs_of(rows), size=1) == ["token"]
+    assert [secrets.dictionary(docs_of(rows), size=n) for n in (1, 2, 3, 4)] == [[], words[:2], words[:2], words]
 
 
 def test_every_value_in_context_is_priced(spark, sf_dir):

@@ -9,7 +9,7 @@ of kind guess, of the whole value, whether or not base spans overlap it;
 redaction cuts the union.
 
 Words are ranked: some usual in passwords and in prose about them, then the
-DICTIONARY words that most documents hold. What follows a sign of assignment
+at most DICTIONARY words that most documents hold. What follows a sign of assignment
 is left out of that count, so that a secret that many copies repeat is no word. The dictionary is the only thing that comes to the driver.
 
 Spans count code points, ends exclusive; the span of an assignment is the
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import keep_nothing, kept, text_of
+from tidewheel.llm.common import keep_nothing, kept, remove, text_of, written_at
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -294,9 +294,24 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
-    """The words of letters that most documents hold, by falling number of documents and then by the word; at most size."""
+    """The words of letters that most documents hold, by falling number of documents and then by the word.
+
+    Words of like numbers (to a 64th of a doubling) are taken together, as many
+    such levels from the top as have at most size words in all. Only the
+    levels' sizes, some hundreds, and these words come to the driver.
+    """
     counts = docs.select(text_of(docs).alias("text")).mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.where(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "word").limit(size).collect()]
+    level = F.floor(F.log2("n") * 64).cast("int").alias("level")
+    counts, path = written_at(counts.where(F.col("n") >= LEAST_DOCUMENTS).select("word", "n", level), "secrets-words")
+    room, least = size, None
+    for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("level")).collect():
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["level"]
+    found = counts.where(F.col("level") >= F.lit(least)).collect() if least is not None else []
+    remove(docs.sparkSession, path)
+    return [r["word"] for r in sorted(found, key=lambda r: (-r["n"], r["word"]))]
 
 
 def _prices(words: list[str]) -> Prices:
