@@ -144,14 +144,31 @@ def cost_curve(df: DataFrame, y: str, score: str, cost_fn: float, cost_fp: float
     )
 
 
-def alert_budgets(df: DataFrame, y: str, score: str, budgets: Sequence[float]) -> DataFrame:
-    """For each share of rows that may alert: the score's quantile, what it catches, recall and precision."""
-    cuts = F.percentile(F.col(score), F.array(*[F.lit(1 - b) for b in budgets]))
-    limits = df.agg(F.arrays_zip(F.array(*map(F.lit, budgets)).alias("budget"), cuts.alias("cut")).alias("limits"))
-    rows = by_score(df, y, score).join(F.broadcast(limits)).select("*", F.explode("limits").alias("z")).where("score >= z.cut")
-    rows = rows.withColumns({"budget": F.col("z.budget"), "threshold": F.col("z.cut")})
-    one = rows.groupBy("budget", "threshold").agg(F.max("tp").alias("caught"), F.max(F.col("tp") + F.col("fp")).alias("alerts"), F.max("p").alias("p"))
-    return one.select("budget", "threshold", "caught", "alerts", ratio(F.col("caught"), F.col("p")).alias("recall"), ratio(F.col("caught"), F.col("alerts")).alias("precision"))
+def alert_budgets(df: DataFrame, y: str, score: str, budgets: Sequence[int]) -> DataFrame:
+    """For each number of alerts that can be handled: the score's quantile that leaves so many, what it catches, recall and precision.
+
+    The quantile of 1 - budget / rows lies between two neighbours in the order
+    of scores. Each distinct score knows the places that its rows fill, so both
+    are looked up in the table of distinct scores.
+    """
+    rows = by_score(df, y, score)
+    n = F.col("p") + F.col("q")
+    place = (n - 1) * F.greatest(F.lit(0.0), 1 - F.col("alerts") / n.cast("double"))
+    first = n - F.col("tp") - F.col("fp")
+    held = rows.select("*", F.explode(F.array(*[F.lit(b).cast("long") for b in budgets])).alias("alerts")).withColumns({"place": place, "first": first})
+
+    def at(where: Column) -> Column:
+        return F.max(F.when((F.col("first") <= where) & (where < F.col("first") + F.col("pos") + F.col("neg")), F.col("score")))
+
+    low, high = F.floor("place"), F.least(F.floor("place") + 1, n - 1)
+    cuts = held.groupBy("alerts").agg(at(low).alias("low"), at(high).alias("high"), F.max(F.col("place") - low).alias("part"))
+    cuts = cuts.select("alerts", (F.col("low") + F.col("part") * (F.col("high") - F.col("low"))).alias("threshold"))
+    kept = held.join(F.broadcast(cuts), "alerts").where("score >= threshold")
+    one = kept.groupBy("alerts", "threshold").agg(F.max("tp").alias("caught"), F.max(F.col("tp") + F.col("fp")).alias("flagged"), F.max("p").alias("p"))
+    return one.select(
+        "alerts", "threshold", "caught", "flagged",
+        ratio(F.col("caught"), F.greatest(F.col("p"), F.lit(1))).alias("recall"), ratio(F.col("caught"), F.greatest(F.col("flagged"), F.lit(1))).alias("precision"),
+    )
 
 
 def regression_report(df: DataFrame, actual: str, predicted: str, baseline: str, zero: float = 1e-9, most_zero: float = 0.05) -> DataFrame:

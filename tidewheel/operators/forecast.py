@@ -38,11 +38,17 @@ def baselines(series: DataFrame, origins: Sequence[int], horizon: int, period: i
 
 
 def mase(forecasts: DataFrame, series: DataFrame, period: int) -> DataFrame:
-    """Per origin and model: mean error over the training part's seasonal-naive error; null where that is zero."""
-    gap = F.abs(F.col("value") - F.lag("value", period).over(W.orderBy("pos")))
-    gaps = series.select("pos", gap.alias("gap"))
+    """Per origin and model: mean error over the training part's seasonal-naive error; null where that is zero.
+
+    A training part of one period or less is scaled by its naive error instead.
+    """
+
+    def gap(back: int) -> Column:
+        return F.abs(F.col("value") - F.lag("value", back).over(W.orderBy("pos")))
+
+    gaps = series.select("pos", gap(period).alias("season_gap"), gap(1).alias("step_gap"))
     origins = forecasts.select("origin").distinct()
-    scale = origins.join(gaps, F.col("pos") < F.col("origin")).groupBy("origin").agg(F.avg("gap").alias("scale"))
+    scale = origins.join(gaps, F.col("pos") < F.col("origin")).groupBy("origin").agg(F.avg(F.when(F.col("origin") <= period, F.col("step_gap")).otherwise(F.col("season_gap"))).alias("scale"))
     errors = forecasts.groupBy("origin", "model").agg(F.avg(F.abs(F.col("actual") - F.col("forecast"))).alias("mae"))
     return errors.join(scale, "origin").select("origin", "model", "mae", (F.col("mae") / F.nullif("scale", F.lit(0.0))).alias("mase"))
 

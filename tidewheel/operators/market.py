@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewheel.functions import ratio
+
 
 def order() -> W:
     return W.orderBy("day")
@@ -80,27 +82,37 @@ def drawdown(df: DataFrame, ret: str) -> DataFrame:
 
 
 def performance(df: DataFrame, ret: str, year: int = 252) -> DataFrame:
-    """Total and annual return, volatility, Sharpe, Sortino, worst drawdown, hit rate, best and worst row."""
+    """Total and annual return, volatility, Sharpe, Sortino, worst drawdown, hit rate, best and worst row.
+
+    Sharpe and Sortino divide the annual return by the annual volatility, of
+    all rows and of losing ones; they are null where that is next to nothing.
+    The hit rate is the share of winning rows among all.
+    """
     rows = drawdown(df, ret)
     r = F.col(ret)
     one = rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.exp(F.sum(F.ln(1 + r))).alias("growth"),
-        F.avg(r).alias("mean"),
         F.stddev_samp(r).alias("std"),
         F.stddev_samp(F.when(r < 0, r)).alias("down"),
         F.min("drawdown").alias("max_drawdown"),
-        (F.count_if(r > 0) / F.nullif(F.count_if(r != 0), F.lit(0))).alias("hit_rate"),
+        ratio(F.count_if(r > 0), F.count(F.lit(1))).alias("hit_rate"),
         F.max(r).alias("best"),
         F.min(r).alias("worst"),
     )
+    annual = F.pow("growth", F.lit(float(year)) / F.col("n")) - 1
+
+    def over(deviation: str) -> Column:
+        yearly = F.col(deviation) * year**0.5
+        return F.when(yearly > 1e-9, annual / yearly)
+
     return one.select(
         "n",
         (F.col("growth") - 1).alias("total_return"),
-        (F.pow("growth", F.lit(float(year)) / F.col("n")) - 1).alias("annual_return"),
+        annual.alias("annual_return"),
         (F.col("std") * year**0.5).alias("volatility"),
-        (F.col("mean") / F.nullif("std", F.lit(0.0)) * year**0.5).alias("sharpe"),
-        (F.col("mean") / F.nullif("down", F.lit(0.0)) * year**0.5).alias("sortino"),
+        over("std").alias("sharpe"),
+        over("down").alias("sortino"),
         "max_drawdown",
         "hit_rate",
         "best",

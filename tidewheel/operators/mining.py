@@ -64,7 +64,9 @@ def fp_growth(sets: DataFrame, support: float, most: int = 4) -> DataFrame:
 def rules(itemsets: DataFrame, n_baskets: int, least_confidence: float) -> DataFrame:
     """Rules of every proper antecedent of every frequent itemset, with their measures.
 
-    Conviction is null at confidence 1; Zhang's measure is 0 where its denominator is.
+    Conviction is null at confidence 1. Zhang's measure is the gain of the
+    confidence over the consequent's share, over the larger of what either
+    could be: (conf - c) / max(conf (1 - c), c (1 - conf)); 0 where that is.
     """
     n = F.lit(float(n_baskets))
     items, k = F.col("items"), F.col("size")
@@ -79,7 +81,7 @@ def rules(itemsets: DataFrame, n_baskets: int, least_confidence: float) -> DataF
     rows = pairs.join(one, "antecedent").join(two, "consequent")
     s, a, c = F.col("n_both") / n, F.col("n_a") / n, F.col("n_c") / n
     confidence = F.col("n_both") / F.col("n_a")
-    room = F.greatest(s * (1 - a), a * (c - s))
+    room = F.greatest(s * (1 - c), c * (a - s))
     return rows.where(confidence >= least_confidence).select(
         F.array_join("antecedent", "|").alias("antecedent"),
         F.array_join("consequent", "|").alias("consequent"),
@@ -112,6 +114,20 @@ def significant_rules(found: DataFrame, n_baskets: int, alpha: float) -> DataFra
     return false_discovery(found.join(priced, ["n_both", "n_a", "n_c", "n"]), "p", alpha)
 
 
+def top_rules(found: DataFrame, measure: str, n: int, least_count: int = 0, only_significant: bool = True) -> DataFrame:
+    """The n rules of the highest measure, of those that are significant (if asked) and hold in so many baskets; with their rank."""
+    kept = found.where(F.col("n_both") >= least_count).where(F.col(measure).isNotNull())
+    kept = kept.where("significant") if only_significant else kept
+    best = kept.withColumn("by", F.round(measure, 9)).orderBy(F.desc("by"), "antecedent", "consequent").limit(n)
+    return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("by"), "antecedent", "consequent"))).drop("by")
+
+
+def dissociations(found: DataFrame, n: int, least_count: int = 20, below: float = -0.2) -> DataFrame:
+    """The n rules of the lowest Zhang measure under the bound, in so many baskets at least."""
+    kept = found.where((F.col("n_both") >= least_count) & (F.col("zhang") < below))
+    return kept.orderBy(F.round("zhang", 9), "antecedent", "consequent").limit(n)
+
+
 #: Entries of a log-factorial table: 8 MB at the most.
 TABLE = 1_000_000
 

@@ -60,15 +60,22 @@ def grouped(df: DataFrame, group: str, test: float, seed: int) -> DataFrame:
 def walk_forward(df: DataFrame, time: str, tie: str, n_folds: int, embargo: int, trim: str = "train") -> DataFrame:
     """Rows by fold with their split; fold f tests block f + 1 of n_folds + 1 equal blocks.
 
-    trim tells whose rows the embargo takes: the tail of train, or the head of test.
+    trim tells whose rows the embargo takes. "train": the tail of train, which
+    keeps one row at least; rows beyond equal blocks belong to the first train
+    part. "test": the head of test; rows beyond equal blocks belong to no fold,
+    and a fold that the embargo leaves without test rows is left out whole.
+    Fewer rows than blocks give no folds.
     """
     rows = positions(df, time, tie)
     block = F.floor(F.col("total") / (n_folds + 1))
-    rows = rows.withColumn("block", block).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
-    start = (F.col("fold") + 1) * F.col("block")
-    stop = F.when(F.col("fold") == n_folds - 1, F.col("total")).otherwise(start + F.col("block"))
-    keep_to = start - embargo if trim == "train" else start
-    test_from = start if trim == "train" else start + embargo
+    rows = rows.withColumn("block", block).where("block > 0").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
+    if trim == "train":
+        start = F.col("total") - (n_folds - F.col("fold")) * F.col("block")
+        keep_to, test_from = F.greatest(F.lit(1), start - embargo), start
+    else:
+        start = (F.col("fold") + 1) * F.col("block")
+        keep_to, test_from = F.when(F.lit(embargo) < F.col("block"), start), start + embargo
+    stop = start + F.col("block")
     split = F.when(F.col("pos") < keep_to, "train").when((F.col("pos") >= test_from) & (F.col("pos") < stop), "test")
     return rows.withColumn("split", split).where("split is not null").drop("block")
 

@@ -38,7 +38,7 @@ def cost_curve(spark, sf_dir):
 
 
 def alert_budget(spark, sf_dir):
-    return tidy(evaluation.alert_budgets(scored(spark, sf_dir), "toxic", "score", (0.01, 0.05, 0.1, 0.2)))
+    return tidy(evaluation.alert_budgets(scored(spark, sf_dir), "toxic", "score", (50, 100, 250, 500, 1000)))
 
 
 def confusion_by_group(spark, sf_dir):
@@ -114,9 +114,9 @@ TEMPORAL = f"SELECT o_orderkey, pos, CASE WHEN pos >= floor(total * 0.8) THEN 't
 SEEDED = "md5('42:' || {}::VARCHAR)"
 
 
-def _walked(train: str, test: str) -> str:
-    return f"""SELECT fold, split, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM (SELECT fold, pos, CASE WHEN pos < {train} THEN 'train' WHEN pos >= {test} AND pos < stop THEN 'test' END AS split
-FROM (SELECT *, (fold + 1) * block AS start, CASE WHEN fold = 4 THEN total ELSE (fold + 2) * block END AS stop FROM (SELECT *, total // 6 AS block, unnest(range(5)) AS fold FROM ({POS})))) WHERE split IS NOT NULL GROUP BY 1, 2"""
+def _walked(start: str, keep_to: str, test_from: str) -> str:
+    return f"""SELECT fold, split, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM (SELECT fold, pos, CASE WHEN pos < {keep_to} THEN 'train' WHEN pos >= {test_from} AND pos < start + block THEN 'test' END AS split
+FROM (SELECT *, {start} AS start FROM (SELECT *, total // 6 AS block, unnest(range(5)) AS fold FROM ({POS}))) WHERE block > 0) WHERE split IS NOT NULL GROUP BY 1, 2"""
 
 
 def _criterion(name: str, rate: str) -> str:
@@ -135,9 +135,10 @@ FROM (SELECT avg((score - toxic) * (score - toxic)) AS b, count(*) FILTER (toxic
     "cost_curve": f"""WITH t AS (SELECT i, i / 100.0::DOUBLE AS threshold FROM range(101) r(i)), s AS ({SCORED})
 SELECT round(threshold, 6) AS threshold, count(*) FILTER (toxic = 1 AND score >= threshold - 1e-9) AS tp, count(*) FILTER (toxic = 0 AND score >= threshold - 1e-9) AS fp, count(*) FILTER (toxic = 1 AND score < threshold - 1e-9) AS fn,
 count(*) FILTER (toxic = 0 AND score < threshold - 1e-9) AS tn, count(*) FILTER (toxic = 1 AND score < threshold - 1e-9) * 500.0::DOUBLE + count(*) FILTER (toxic = 0 AND score >= threshold - 1e-9) * 10.0::DOUBLE AS expected_cost, count(*) FILTER (score >= threshold - 1e-9) AS alerts FROM t, s GROUP BY threshold""",
-    "alert_budget": f"""WITH s AS ({SCORED}), q AS (SELECT quantile_cont(score, [0.99, 0.95, 0.9, 0.8]) AS q FROM s), b AS (SELECT unnest([0.01, 0.05, 0.1, 0.2]::DOUBLE[]) AS budget, unnest(q) AS threshold FROM q)
-SELECT budget, round(threshold, 6) AS threshold, count(*) FILTER (toxic = 1) AS caught, count(*) AS alerts, round(count(*) FILTER (toxic = 1) / (SELECT sum(toxic) FROM s), 6) AS recall, round(count(*) FILTER (toxic = 1) / count(*), 6) AS precision
-FROM b JOIN s ON score >= threshold GROUP BY 1, 2""",
+    "alert_budget": f"""WITH s AS ({SCORED}), l AS (SELECT list(score ORDER BY score) AS l, count(*) AS n FROM s), h AS (SELECT alerts, l, n, (n - 1) * greatest(0, 1 - alerts / n::DOUBLE) AS h FROM l, (SELECT unnest([50, 100, 250, 500, 1000]) AS alerts)),
+b AS (SELECT alerts, l[floor(h)::BIGINT + 1] + (h - floor(h)) * (l[least(floor(h)::BIGINT + 2, n)] - l[floor(h)::BIGINT + 1]) AS threshold FROM h)
+SELECT alerts::BIGINT AS alerts, round(threshold, 6) AS threshold, count(*) FILTER (toxic = 1) AS caught, count(*) AS flagged, round(count(*) FILTER (toxic = 1) / greatest((SELECT sum(toxic) FROM s), 1), 6) AS recall, round(count(*) FILTER (toxic = 1) / count(*), 6) AS precision
+FROM b JOIN s ON score >= threshold GROUP BY 1, threshold""",
     "confusion_by_group": f'SELECT "group", tp, fp, fn, tn, n, {", ".join(f"round({r}, 6) AS {r}" for r in RATES)}, eligible FROM ({_groups("toxic")})',
     "fairness_criteria": f"""WITH c AS ({' UNION ALL '.join(_criterion(k, v) for k, v in (("demographic_parity", "selection_rate"), ("equal_fnr", "fnr"), ("equal_fpr", "fpr"), ("predictive_parity", "ppv")))}),
 g AS (SELECT criterion, min(rate) AS least, (array_agg("group" ORDER BY rate, "group"))[1] AS least_group, max(rate) AS most, (array_agg("group" ORDER BY rate DESC, "group"))[1] AS most_group FROM c GROUP BY 1)
@@ -151,6 +152,6 @@ row_number() OVER (ORDER BY round(most - least, 9) DESC, criterion) AS rank FROM
     "split_grouped": f"""WITH g AS (SELECT o_custkey, CASE WHEN row_number() OVER (ORDER BY {SEEDED.format('o_custkey')}, o_custkey) <= greatest(1, round(count(*) OVER () * 0.25::DOUBLE)) THEN 'test' ELSE 'train' END AS split FROM (SELECT DISTINCT o_custkey FROM orders))
 SELECT o_orderkey, o_custkey, split FROM orders JOIN g USING (o_custkey)""",
     "kfold_stratified": f"SELECT *, (row_number() OVER (PARTITION BY toxic ORDER BY {SEEDED.format('doc_id')}, doc_id) - 1) % 5 AS fold FROM labels",
-    "walk_forward_a": _walked("start - 200", "start"),
-    "walk_forward_b": _walked("start", "start + 200"),
+    "walk_forward_a": _walked("total - (5 - fold) * block", "greatest(1, start - 200)", "start"),
+    "walk_forward_b": _walked("(fold + 1) * block", "CASE WHEN block > 200 THEN start END", "start + 200"),
 }

@@ -134,8 +134,9 @@ FROM (SELECT day, ret, CASE WHEN f > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS position
 
 def _performance(rows: str, name: str) -> str:
     return f"""SELECT '{name}' AS strategy, count(*) AS n, round(exp(sum(ln(1 + r))) - 1, 4) AS total_return, round(pow(exp(sum(ln(1 + r))), 252.0 / count(*)) - 1, 4) AS annual_return, round(stddev_samp(r) * sqrt(252), 4) AS volatility,
-round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 4) AS sharpe, round(avg(r) / nullif(stddev_samp(r) FILTER (r < 0), 0) * sqrt(252), 4) AS sortino, round(min(dd), 4) AS max_drawdown,
-round(count(*) FILTER (r > 0) / nullif(count(*) FILTER (r <> 0), 0), 4) AS hit_rate, round(max(r), 4) AS best, round(min(r), 4) AS worst
+round(CASE WHEN stddev_samp(r) * sqrt(252) > 1e-9 THEN (pow(exp(sum(ln(1 + r))), 252.0 / count(*)) - 1) / (stddev_samp(r) * sqrt(252)) END, 4) AS sharpe,
+round(CASE WHEN stddev_samp(r) FILTER (r < 0) * sqrt(252) > 1e-9 THEN (pow(exp(sum(ln(1 + r))), 252.0 / count(*)) - 1) / (stddev_samp(r) FILTER (r < 0) * sqrt(252)) END, 4) AS sortino, round(min(dd), 4) AS max_drawdown,
+round(count(*) FILTER (r > 0) / count(*), 4) AS hit_rate, round(max(r), 4) AS best, round(min(r), 4) AS worst
 FROM (SELECT r, eq / max(eq) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM (SELECT day, r, exp(sum(ln(1 + r)) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING)) AS eq FROM ({rows})))"""
 
 
@@ -144,8 +145,8 @@ FORECASTS = f"""SELECT origin, step, model, CASE model WHEN 'naive' THEN last WH
 (SELECT o.origin, s.pos - o.origin + 1 AS step, s.value AS actual, l.value AS last, q.value AS season, f.value AS first
 FROM (SELECT unnest(range(greatest(36, n - 36), n - 5, 6)) AS origin FROM (SELECT count(*) AS n FROM m)) o JOIN m s ON s.pos >= o.origin AND s.pos < o.origin + 6 JOIN m l ON l.pos = o.origin - 1
 LEFT JOIN m q ON q.pos = o.origin - 12 + (s.pos - o.origin) % 12 JOIN m f ON f.pos = 0), (SELECT unnest(['naive', 'seasonal_naive', 'drift']) AS model)"""
-MASE = f"""WITH m AS ({MONTHLY}), f AS ({FORECASTS}), g AS (SELECT pos, abs(value - lag(value, 12) OVER (ORDER BY pos)) AS gap FROM m),
-e AS (SELECT origin, model, avg(abs(actual - forecast)) AS mae FROM f GROUP BY 1, 2), s AS (SELECT origin, model, mae / nullif((SELECT avg(gap) FROM g WHERE pos < origin), 0) AS mase FROM e)"""
+MASE = f"""WITH m AS ({MONTHLY}), f AS ({FORECASTS}), g AS (SELECT pos, abs(value - lag(value, 12) OVER (ORDER BY pos)) AS gap, abs(value - lag(value) OVER (ORDER BY pos)) AS step FROM m),
+e AS (SELECT origin, model, avg(abs(actual - forecast)) AS mae FROM f GROUP BY 1, 2), s AS (SELECT origin, model, mae / nullif((SELECT avg(CASE WHEN origin <= 12 THEN step ELSE gap END) FROM g WHERE pos < origin), 0) AS mase FROM e)"""
 ORACLES = {
     "daily_ohlc_returns": f"SELECT day, round(close, 6) AS close, round(high, 6) AS high, round(low, 6) AS low, volume, round(ret, 6) AS ret, round(target, 6) AS target FROM ({RET})",
     "momentum_volatility": f"SELECT day, {FEATURES} FROM ({RET})",

@@ -64,9 +64,32 @@ def rules_fdr(spark, sf_dir):
 
 
 def dissociations(spark, sf_dir):
-    found, _ = _rules(spark, sf_dir)
-    rows = found.where("n_both >= 20").orderBy(F.round("zhang", 9), "antecedent", "consequent").limit(15)
-    return tidy(rows.select("antecedent", "consequent", "n_both", "zhang"))
+    """Rules whose antecedent makes their consequent less likely by far."""
+    return tidy(mining.dissociations(_rules(spark, sf_dir)[0], 15).select("antecedent", "consequent", "n_both", "zhang"))
+
+
+def weak_rules(spark, sf_dir):
+    """The rules of the lowest Zhang measure, whatever it is."""
+    return tidy(mining.dissociations(_rules(spark, sf_dir)[0], 15, 20, 1.0).select("antecedent", "consequent", "n_both", "zhang"))
+
+
+def _top(spark, sf_dir, measure, n, least_count=0, only_significant=True):
+    found, baskets = _rules(spark, sf_dir)
+    rows = mining.top_rules(mining.significant_rules(found, baskets, ALPHA), measure, n, least_count, only_significant)
+    return tidy(rows.select("rank", "antecedent", "consequent", "n_both", F.col(measure).alias("value"), "significant"))
+
+
+def rules_top_lift(spark, sf_dir):
+    return _top(spark, sf_dir, "lift", 60)
+
+
+def rules_top_leverage(spark, sf_dir):
+    return _top(spark, sf_dir, "leverage", 40)
+
+
+def rules_by_confidence(spark, sf_dir):
+    """Rules ranked by another measure, in 20 baskets at least, significant or not."""
+    return _top(spark, sf_dir, "confidence", 100, 20, False)
 
 
 def cooccurrence_graph(spark, sf_dir):
@@ -148,12 +171,12 @@ def benchmark_overlap(spark, sf_dir):
 
 
 NAMES = (
-    "basket_sizes item_support itemsets_apriori itemsets_fpgrowth itemsets_agree rules_measures rules_fdr dissociations cooccurrence_graph itemsets_top shingle_counts similar_documents similar_pairs "
+    "basket_sizes item_support itemsets_apriori itemsets_fpgrowth itemsets_agree rules_measures rules_fdr dissociations weak_rules rules_top_lift rules_top_leverage rules_by_confidence cooccurrence_graph itemsets_top shingle_counts similar_documents similar_pairs "
     "minhash_signatures lsh_buckets lsh_recall_sweep minhash_error_bands s_curve benchmark_overlap"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
-ROWS = "b AS (SELECT DISTINCT l_orderkey AS basket, p_brand AS item FROM lineitem JOIN part ON p_partkey = l_partkey), t AS (SELECT count(DISTINCT basket) AS n, greatest(1, ceil(0.001::DOUBLE * count(DISTINCT basket) - 1e-9)) AS floor FROM b)"
+ROWS = "b AS MATERIALIZED (SELECT DISTINCT l_orderkey AS basket, p_brand AS item FROM lineitem JOIN part ON p_partkey = l_partkey), t AS (SELECT count(DISTINCT basket) AS n, greatest(1, ceil(0.001::DOUBLE * count(DISTINCT basket) - 1e-9)) AS floor FROM b)"
 
 
 def _level(k: int) -> str:
@@ -161,13 +184,13 @@ def _level(k: int) -> str:
     return f"SELECT [{', '.join(f'b{i}.item' for i in range(1, k + 1))}] AS items, {k} AS size, count(*) AS cnt FROM b b1 {joins} GROUP BY 1 HAVING count(*) >= (SELECT floor FROM t)"
 
 
-SETS = f"{ROWS}, s AS ({' UNION ALL '.join(map(_level, (1, 2, 3, 4)))})"
+SETS = f"{ROWS}, s AS MATERIALIZED ({' UNION ALL '.join(map(_level, (1, 2, 3, 4)))})"
 FLAT = f"WITH {SETS} SELECT array_to_string(items, '|') AS items, size::BIGINT AS size, cnt FROM s"
 RULES = f"""{SETS}, m AS (SELECT items, size, cnt, unnest(range(1, (1 << size) - 1)) AS mask FROM s WHERE size >= 2),
 p AS (SELECT cnt AS n_both, [x FOR x, i IN items IF (mask >> (i - 1)) & 1 = 1] AS a, [x FOR x, i IN items IF (mask >> (i - 1)) & 1 = 0] AS c FROM m),
-r AS (SELECT array_to_string(p.a, '|') AS antecedent, array_to_string(p.c, '|') AS consequent, n_both, sa.cnt AS n_a, sc.cnt AS n_c, n, n_both / n AS sup, sa.cnt / n AS fa, sc.cnt / n AS fc
+r AS MATERIALIZED (SELECT array_to_string(p.a, '|') AS antecedent, array_to_string(p.c, '|') AS consequent, n_both, sa.cnt AS n_a, sc.cnt AS n_c, n, n_both / n AS sup, sa.cnt / n AS fa, sc.cnt / n AS fc
 FROM p JOIN s sa ON sa.items = p.a JOIN s sc ON sc.items = p.c, t WHERE n_both / sa.cnt >= 0.05)"""
-ZHANG = "coalesce((sup - fa * fc) / nullif(greatest(sup * (1 - fa), fa * (fc - sup)), 0), 0)"
+ZHANG = "coalesce((n_both / n_a - fc) / nullif(greatest(n_both / n_a * (1 - fc), fc * (1 - n_both / n_a)), 0), 0)"
 CLEAN = "trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
@@ -198,6 +221,18 @@ def _sweep(bands: int, rows: int) -> str:
 FROM p JOIN v l ON l.rep = p.a JOIN v r ON r.rep = p.b"""
 
 
+FDR = f"""WITH {RULES}, f AS (SELECT k, sum(ln(greatest(k, 1))) OVER (ORDER BY k) AS lf FROM (SELECT unnest(range(0, (SELECT n + 1 FROM t))) AS k)), l AS (SELECT list(lf ORDER BY k) AS f FROM f),
+c AS (SELECT DISTINCT n_both, n_a, n_c, n FROM r), q AS (SELECT n_both, n_a, n_c, least(1, list_sum([exp(f[n_a + 1] + f[n - n_a + 1] + f[n_c + 1] + f[n - n_c + 1] - f[n + 1] - f[i + 1] - f[n_a - i + 1] - f[n_c - i + 1] - f[n - n_a - n_c + i + 1]) FOR i IN range(n_both, least(n_a, n_c) + 1)])) AS p FROM c, l),
+j AS (SELECT r.*, p FROM r JOIN q USING (n_both, n_a, n_c)), w AS (SELECT *, count(*) OVER () * p / count(*) OVER (ORDER BY p) AS raw FROM j),
+z AS (SELECT *, least(1, min(raw) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)) AS q FROM w)
+"""
+
+
+def _ranked(measure: str, n: int, kept: str) -> str:
+    return f"""{FDR}SELECT row_number() OVER (ORDER BY v DESC, antecedent, consequent) AS rank, antecedent, consequent, n_both, round(value, 6) + 0.0 AS value, significant
+FROM (SELECT *, {measure} AS value, round({measure}, 9) AS v, q < 0.05 AS significant FROM z) WHERE {kept} ORDER BY v DESC, antecedent, consequent LIMIT {n}"""
+
+
 ORACLES = {
     "basket_sizes": f"WITH {ROWS}, z AS (SELECT count(*) AS size FROM b GROUP BY basket) SELECT size, n, round(n / sum(n) OVER (), 6) AS share FROM (SELECT g.size, count(z.size) AS n FROM (SELECT unnest(range(1, max(size) + 1)) AS size FROM z) g LEFT JOIN z USING (size) GROUP BY 1)",
     "item_support": f"WITH {ROWS} SELECT item, count(*) AS cnt, round(count(*) / (SELECT n FROM t), 6) AS support FROM b GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30",
@@ -206,12 +241,12 @@ ORACLES = {
     "itemsets_agree": "SELECT 'x' AS items, 1::BIGINT AS size, 1::BIGINT AS cnt WHERE false",
     "rules_measures": f"""WITH {RULES} SELECT antecedent, consequent, n_both, n_a, n_c, n, round(sup, 6) AS support, round(n_both / n_a, 6) AS confidence, round(n_both / n_a / fc, 6) AS lift, round(sup - fa * fc, 6) + 0.0 AS leverage,
 CASE WHEN n_both < n_a THEN round((1 - fc) / (1 - n_both / n_a), 6) END AS conviction, round({ZHANG}, 6) + 0.0 AS zhang FROM r""",
-    "rules_fdr": f"""WITH {RULES}, f AS (SELECT k, sum(ln(greatest(k, 1))) OVER (ORDER BY k) AS lf FROM (SELECT unnest(range(0, (SELECT n + 1 FROM t))) AS k)), l AS (SELECT list(lf ORDER BY k) AS f FROM f),
-c AS (SELECT DISTINCT n_both, n_a, n_c, n FROM r), q AS (SELECT n_both, n_a, n_c, least(1, list_sum([exp(f[n_a + 1] + f[n - n_a + 1] + f[n_c + 1] + f[n - n_c + 1] - f[n + 1] - f[i + 1] - f[n_a - i + 1] - f[n_c - i + 1] - f[n - n_a - n_c + i + 1]) FOR i IN range(n_both, least(n_a, n_c) + 1)])) AS p FROM c, l),
-j AS (SELECT r.antecedent, r.consequent, n_both, n_a, n_c, p FROM r JOIN q USING (n_both, n_a, n_c)), w AS (SELECT *, count(*) OVER () * p / count(*) OVER (ORDER BY p) AS raw FROM j),
-z AS (SELECT *, least(1, min(raw) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)) AS q FROM w)
-SELECT antecedent, consequent, n_both, n_a, n_c, round(p, 6) AS p, round(q, 6) AS q, q < 0.05 AS significant FROM z""",
-    "dissociations": f"WITH {RULES} SELECT antecedent, consequent, n_both, round({ZHANG}, 6) + 0.0 AS zhang FROM r WHERE n_both >= 20 ORDER BY round({ZHANG}, 9), antecedent, consequent LIMIT 15",
+    "rules_fdr": f"""{FDR}SELECT antecedent, consequent, n_both, n_a, n_c, round(p, 6) AS p, round(q, 6) AS q, q < 0.05 AS significant FROM z""",
+    "dissociations": f"WITH {RULES} SELECT antecedent, consequent, n_both, round({ZHANG}, 6) + 0.0 AS zhang FROM r WHERE n_both >= 20 AND {ZHANG} < -0.2 ORDER BY round({ZHANG}, 9), antecedent, consequent LIMIT 15",
+    "weak_rules": f"WITH {RULES} SELECT antecedent, consequent, n_both, round({ZHANG}, 6) + 0.0 AS zhang FROM r WHERE n_both >= 20 ORDER BY round({ZHANG}, 9), antecedent, consequent LIMIT 15",
+    "rules_top_lift": _ranked("n_both / n_a / fc", 60, "significant"),
+    "rules_top_leverage": _ranked("sup - fa * fc", 40, "significant"),
+    "rules_by_confidence": _ranked("n_both / n_a", 100, "n_both >= 20"),
     "cooccurrence_graph": f"WITH {SETS}, h AS (SELECT items[1] AS i FROM s WHERE size = 1 ORDER BY cnt DESC, 1 LIMIT 25) SELECT items[1] AS a, items[2] AS b, cnt FROM s WHERE size = 2 AND items[1] IN (SELECT i FROM h) AND items[2] IN (SELECT i FROM h) ORDER BY cnt DESC, 1, 2 LIMIT 150",
     "itemsets_top": f"WITH {SETS} SELECT * FROM (SELECT size::BIGINT AS size, row_number() OVER (PARTITION BY size ORDER BY cnt DESC, array_to_string(items, '|')) AS rank, array_to_string(items, '|') AS items, cnt FROM s) WHERE rank <= 20",
     "shingle_counts": f"""SELECT key AS doc_id, len(g) AS n_shingles, n_characters FROM ({_grams("documents", "doc_id")}) JOIN (SELECT doc_id AS key, count(DISTINCT c || c2 || c3) AS n_characters FROM (SELECT doc_id, c, lead(c) OVER o AS c2, lead(c, 2) OVER o AS c3 FROM (SELECT doc_id, unnest(l) AS c, unnest(range(len(l))) AS i FROM

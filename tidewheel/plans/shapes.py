@@ -42,7 +42,7 @@ def filled_and_clipped(spark, sf_dir):
     """Segments of customers after negative balances are taken as unknown, filled by the median and clipped."""
     rows = table(spark, sf_dir, "customer").withColumn("balance", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")))
     rows = shape.filled(rows, ["balance"], {"c_mktsegment": "unknown"}).withColumn("balance", shape.clipped(F.col("balance"), 500.0, 9000.0))
-    return tidy(rows.groupBy("c_mktsegment").agg(F.avg("balance").alias("mean_balance"), F.count(F.lit(1)).alias("n")), 4)
+    return tidy(rows.groupBy("c_mktsegment").agg(F.sum("balance").alias("total_balance"), F.count(F.lit(1)).alias("n")), 3)
 
 
 def worst_days(spark, sf_dir):
@@ -61,7 +61,7 @@ WHERE n <= 100 OR floor(floor(i / ((n - 1) / 99.0::DOUBLE) + 0.5) * ((n - 1) / 9
     "decimated_bars": f"SELECT day, round(close, 6) AS close FROM (SELECT *, row_number() OVER (ORDER BY day) - 1 AS i FROM ({BARS})) WHERE i % 7 = 0",
     "head_per_class": "SELECT o_orderstatus, o_orderkey, round(o_totalprice, 6) AS o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) <= 5",
     "month_profile": "SELECT month(o_orderdate) AS month, round(avg(o_totalprice), 4) AS mean_price, count(*) AS n FROM orders GROUP BY 1",
-    "filled_and_clipped": """SELECT c_mktsegment, round(avg(least(greatest(coalesce(CASE WHEN c_acctbal >= 0 THEN c_acctbal END, (SELECT median(c_acctbal) FROM customer WHERE c_acctbal >= 0)), 500), 9000)), 4) AS mean_balance, count(*) AS n
+    "filled_and_clipped": """SELECT c_mktsegment, round(sum(least(greatest(coalesce(CASE WHEN c_acctbal >= 0 THEN c_acctbal END, (SELECT median(c_acctbal) FROM customer WHERE c_acctbal >= 0)), 500), 9000)), 3) AS total_balance, count(*) AS n
 FROM customer GROUP BY 1""",
     "worst_days": f"SELECT day, round(ret, 6) AS ret FROM (SELECT day, ln(close) - lag(ln(close)) OVER (ORDER BY day) AS ret FROM ({BARS})) WHERE ret IS NOT NULL ORDER BY ret, day LIMIT 10",
 }
