@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from tidewheel.operators import mining, similarity
 from tidewheel.plans.common import tidy
+from tidewheel.sources.scratch import written
 from tidewheel.sources.tables import table
 
 SUPPORT, CONFIDENCE, ALPHA = 0.001, 0.05, 0.05
-HASHES = 16
+HASHES = 128
+#: Bands and rows of the sweep.
+SWEEP = ((8, 16), (16, 8), (26, 4), (32, 4), (64, 2))
 
 
 def sets(spark, sf_dir):
@@ -101,7 +104,7 @@ def itemsets_top(spark, sf_dir):
 
 
 def _documents(spark, sf_dir):
-    return similarity.classes(similarity.sets(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return similarity.classes(written(similarity.sets(table(spark, sf_dir, "documents"), "doc_id", "text"), "similar-sets"))
 
 
 def shingle_counts(spark, sf_dir):
@@ -120,8 +123,11 @@ def similar_pairs(spark, sf_dir):
 
 
 def _signed(spark, sf_dir):
-    _, distinct = _documents(spark, sf_dir)
-    return distinct, distinct.select("rep", similarity.minhash(F.col("grams"), HASHES).alias("signature"))
+    """Distinct sets of documents with their signatures, written once."""
+    sets_ = written(similarity.portable_sets(table(spark, sf_dir, "documents"), "doc_id", "text"), "minhash-sets")
+    distinct = similarity.classes(sets_)[1]
+    distinct = written(distinct.select("rep", "grams", similarity.minhash(F.col("grams"), HASHES).alias("signature")), "minhash-signed")
+    return distinct.select("rep", "grams"), distinct.select("rep", "signature")
 
 
 def minhash_signatures(spark, sf_dir):
@@ -130,49 +136,53 @@ def minhash_signatures(spark, sf_dir):
 
 def lsh_buckets(spark, sf_dir):
     """Buckets that several classes share, by band: how many there are and how many classes they hold."""
-    fallen = similarity.buckets(_signed(spark, sf_dir)[1], 8, 2).groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    fallen = similarity.buckets(_signed(spark, sf_dir)[1], 16, 8).groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return tidy(fallen.groupBy("band").agg(F.count(F.lit(1)).alias("n_buckets"), F.sum("n").alias("n_classes"), F.max("n").alias("largest")))
 
 
 def lsh_recall_sweep(spark, sf_dir):
+    """Bands and rows against the exact pairs."""
     distinct, signed = _signed(spark, sf_dir)
-    found, signed = similarity.pairs(distinct), signed
-    out = None
-    for bands, rows in ((16, 1), (8, 2), (4, 4), (2, 8)):
-        one = similarity.banding_report(signed, found, bands, rows)
-        out = one if out is None else out.union(one)
-    return tidy(out)
+    return tidy(similarity.sweep(signed, written(similarity.pairs(distinct), "similar-pairs"), SWEEP))
 
 
 def minhash_error_bands(spark, sf_dir):
     """Error of the estimate on truly similar pairs, by band of similarity, beside the binomial deviation."""
     distinct, signed = _signed(spark, sf_dir)
-    left = signed.select(F.col("rep").alias("a"), F.col("signature").alias("sa"))
-    right = signed.select(F.col("rep").alias("b"), F.col("signature").alias("sb"))
-    rows = similarity.pairs(distinct).join(left, "a").join(right, "b")
-    gap = similarity.estimate(F.col("sa"), F.col("sb"), HASHES) - F.col("jaccard")
-    rows = rows.select(F.floor(F.round(F.col("jaccard") * 20, 9)).alias("band"), gap.alias("gap"), F.sqrt(F.col("jaccard") * (1 - F.col("jaccard")) / HASHES).alias("law"))
+    rows = similarity.estimated(similarity.pairs(distinct), signed, HASHES)
+    law = F.sqrt(F.col("jaccard") * (1 - F.col("jaccard")) / HASHES).alias("law")
+    rows = rows.select(F.floor(F.round(F.col("jaccard") * 20, 9)).alias("band"), (F.col("estimate") - F.col("jaccard")).alias("gap"), law)
     return tidy(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("gap").alias("bias"), F.sqrt(F.avg(F.col("gap") ** 2)).alias("rms"), F.avg("law").alias("law")))
 
 
+def similar_top_pairs(spark, sf_dir):
+    """The 25 most similar pairs with both scores and the number of copies of either."""
+    distinct, signed = _signed(spark, sf_dir)
+    best = similarity.pairs(distinct).orderBy(F.round("jaccard", 9).desc(), "a", "b").limit(25)
+    member = _documents(spark, sf_dir)[0].groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    rows = similarity.estimated(best, signed, HASHES)
+    rows = rows.join(member.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a").join(member.select(F.col("rep").alias("b"), F.col("n").alias("n_b")), "b")
+    return tidy(rows.select("a", "b", "jaccard", "estimate", "n_a", "n_b"))
+
+
 def s_curve(spark, sf_dir):
     """1 - (1 - s^r)^b on a grid of similarities for some configurations."""
     grid = spark.range(0, 21).select((F.col("id") / 20).alias("s"))
-    configs = F.explode(F.array(*[F.struct(F.lit(b).alias("bands"), F.lit(r).alias("n_rows")) for b, r in ((8, 16), (16, 8), (32, 4), (64, 2))])).alias("c")
+    configs = F.explode(F.array(*[F.struct(F.lit(b).alias("bands"), F.lit(r).alias("n_rows")) for b, r in SWEEP])).alias("c")
     rows = grid.select("s", configs).select("s", "c.bands", "c.n_rows")
     return tidy(rows.withColumn("chance", 1 - F.pow(1 - F.pow("s", F.col("n_rows").cast("double")), F.col("bands").cast("double"))))
 
 
 def benchmark_overlap(spark, sf_dir):
     items = similarity.sets(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    docs = similarity.sets(table(spark, sf_dir, "documents"), "doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), similarity.numbers(F.col("text")).alias("grams"))
     rows = similarity.containment(items, docs, 0.5)
     return tidy(rows.select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"), "shared", "share"))
 
 
 NAMES = (
     "basket_sizes item_support itemsets_apriori itemsets_fpgrowth itemsets_agree rules_measures rules_fdr dissociations weak_rules rules_top_lift rules_top_leverage rules_by_confidence cooccurrence_graph itemsets_top shingle_counts similar_documents similar_pairs "
-    "minhash_signatures lsh_buckets lsh_recall_sweep minhash_error_bands s_curve benchmark_overlap"
+    "minhash_signatures lsh_buckets lsh_recall_sweep minhash_error_bands similar_top_pairs s_curve benchmark_overlap"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
@@ -200,11 +210,11 @@ FROM (SELECT {key} AS key, list_filter(string_split({CLEAN}, ' '), lambda w: w <
 
 
 NUMBER = "('0x' || substr(md5({}), 1, 15))::BIGINT"
-CLASSES = f"""k AS ({_grams("documents", "doc_id")}), d AS (SELECT key, list_sort([{NUMBER.format('s')} FOR s IN g]) AS grams FROM k), c AS (SELECT key, grams, min(key) OVER (PARTITION BY grams) AS rep FROM d),
-u AS (SELECT rep, grams, len(grams) AS n FROM c WHERE key = rep), e AS (SELECT rep, n, unnest(grams) AS gram FROM u)"""
-PAIRS = f"{CLASSES}, x AS (SELECT l.rep AS a, r.rep AS b, count(*) / (any_value(l.n) + any_value(r.n) - count(*)) AS jaccard FROM e l JOIN e r ON l.gram = r.gram AND l.rep < r.rep GROUP BY 1, 2), p AS (SELECT * FROM x WHERE jaccard >= 0.8 - 1e-12)"
+CLASSES = f"""k AS MATERIALIZED ({_grams("documents", "doc_id")}), d AS (SELECT key, list_sort([{NUMBER.format('s')} FOR s IN g]) AS grams FROM k), c AS (SELECT key, grams, min(key) OVER (PARTITION BY grams) AS rep FROM d),
+u AS MATERIALIZED (SELECT rep, grams, len(grams) AS n FROM c WHERE key = rep), e AS (SELECT rep, n, unnest(grams) AS gram FROM u)"""
+PAIRS = f"{CLASSES}, x AS (SELECT l.rep AS a, r.rep AS b, count(*) / (any_value(l.n) + any_value(r.n) - count(*)) AS jaccard FROM e l JOIN e r ON l.gram = r.gram AND l.rep < r.rep GROUP BY 1, 2), p AS MATERIALIZED (SELECT * FROM x WHERE jaccard >= 0.8 - 1e-12)"
 SIGNED = (
-    "v AS (SELECT rep, ["
+    "v AS MATERIALIZED (SELECT rep, ["
     + ", ".join(f"coalesce(list_min([(g % {similarity.PRIME} * {a} + {b}) % {similarity.PRIME} FOR g IN grams]), {similarity.PRIME})" for a, b in similarity.coefficients(HASHES))
     + "] AS sig FROM u)"
 )
@@ -215,10 +225,9 @@ def _band(bands: int, rows: int) -> str:
 
 
 def _sweep(bands: int, rows: int) -> str:
-    same = " OR ".join(f"l.sig[{i * rows + 1}:{i * rows + rows}] = r.sig[{i * rows + 1}:{i * rows + rows}]" for i in range(bands))
-    return f"""SELECT {bands}::BIGINT AS bands, {rows}::BIGINT AS n_rows, count(*) AS n_true, count(*) FILTER ({same}) AS n_found, round(count(*) FILTER ({same}) / nullif(count(*), 0), 6) AS recall,
-(SELECT coalesce(sum(n * (n - 1) // 2), 0)::BIGINT FROM (SELECT count(*) AS n FROM ({_band(bands, rows)}) GROUP BY band, bucket)) AS n_suggested, round(pow(1.0 / {bands}, 1.0 / {rows}), 6) AS threshold
-FROM p JOIN v l ON l.rep = p.a JOIN v r ON r.rep = p.b"""
+    return f"""SELECT {bands}::BIGINT AS bands, {rows}::BIGINT AS n_rows, round(pow(1.0 / {bands}, 1.0 / {rows}), 6) AS threshold, n_true, n_candidates, n_verified, n_true - n_verified AS n_missed, round(recall, 6) AS recall,
+round(precision, 6) AS precision, round(2 * recall * precision / greatest(recall + precision, 1e-9), 6) AS f1 FROM (SELECT *, n_verified / greatest(n_true, 1) AS recall, n_verified / greatest(n_verified, 1) AS precision
+FROM (SELECT (SELECT count(*) FROM p) AS n_true, count(*) AS n_candidates, count(p.a) AS n_verified FROM (SELECT DISTINCT l.rep AS a, r.rep AS b FROM ({_band(bands, rows)}) l JOIN ({_band(bands, rows)}) r USING (band, bucket) WHERE l.rep < r.rep) x LEFT JOIN p USING (a, b)))"""
 
 
 FDR = f"""WITH {RULES}, f AS (SELECT k, sum(ln(greatest(k, 1))) OVER (ORDER BY k) AS lf FROM (SELECT unnest(range(0, (SELECT n + 1 FROM t))) AS k)), l AS (SELECT list(lf ORDER BY k) AS f FROM f),
@@ -254,10 +263,11 @@ CASE WHEN n_both < n_a THEN round((1 - fc) / (1 - n_both / n_a), 6) END AS convi
     "similar_documents": f"WITH {PAIRS}, n AS (SELECT rep, count(*) AS n_links FROM (SELECT a AS rep FROM p UNION ALL SELECT b FROM p) GROUP BY 1) SELECT key AS doc_id, rep AS class_id, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN n USING (rep)",
     "similar_pairs": f"WITH {PAIRS} SELECT a, b, round(jaccard, 6) AS jaccard FROM p",
     "minhash_signatures": f"WITH {CLASSES}, {SIGNED} SELECT rep, array_to_string(sig, ',') AS signature FROM v",
-    "lsh_buckets": f"WITH {CLASSES}, {SIGNED} SELECT band, count(*) AS n_buckets, sum(n)::BIGINT AS n_classes, max(n) AS largest FROM (SELECT band, bucket, count(*) AS n FROM ({_band(8, 2)}) GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1",
-    "lsh_recall_sweep": f"WITH {PAIRS}, {SIGNED} " + " UNION ALL ".join(_sweep(b, r) for b, r in ((16, 1), (8, 2), (4, 4), (2, 8))),
-    "minhash_error_bands": f"""WITH {PAIRS}, {SIGNED}, g AS (SELECT jaccard AS s, list_sum([(x = y)::INT FOR x, i IN l.sig]) AS e FROM p JOIN v l ON l.rep = p.a JOIN v r ON r.rep = p.b) SELECT 1""",
-    "s_curve": "SELECT i / 20.0::DOUBLE AS s, c.b::BIGINT AS bands, c.r::BIGINT AS n_rows, round(1 - pow(1 - pow(i / 20.0::DOUBLE, c.r), c.b), 6) AS chance FROM range(21) t(i), (VALUES (8, 16), (16, 8), (32, 4), (64, 2)) c(b, r)",
+    "lsh_buckets": f"WITH {CLASSES}, {SIGNED} SELECT band, count(*) AS n_buckets, sum(n)::BIGINT AS n_classes, max(n) AS largest FROM (SELECT band, bucket, count(*) AS n FROM ({_band(16, 8)}) GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1",
+    "lsh_recall_sweep": f"WITH {PAIRS}, {SIGNED} " + " UNION ALL ".join(_sweep(b, r) for b, r in SWEEP),
+    "similar_top_pairs": f"""WITH {PAIRS}, {SIGNED}, n AS (SELECT rep, count(*) AS n FROM c GROUP BY 1) SELECT a, b, round(jaccard, 6) AS jaccard, round(list_sum([(l.sig[i] = r.sig[i])::INT FOR i IN range(1, {HASHES + 1})]) / {HASHES}, 6) AS estimate, na.n AS n_a, nb.n AS n_b
+FROM (SELECT * FROM p ORDER BY round(jaccard, 9) DESC, a, b LIMIT 25) p JOIN v l ON l.rep = p.a JOIN v r ON r.rep = p.b JOIN n na ON na.rep = p.a JOIN n nb ON nb.rep = p.b""",
+    "s_curve": f"SELECT i / 20.0::DOUBLE AS s, c.b::BIGINT AS bands, c.r::BIGINT AS n_rows, round(1 - pow(1 - pow(i / 20.0::DOUBLE, c.r), c.b), 6) AS chance FROM range(21) t(i), (VALUES {", ".join(map(str, SWEEP))}) c(b, r)",
     "benchmark_overlap": f"""WITH i AS ({_grams("benchmark", "item_id")}), d AS ({_grams("documents", "doc_id")}), x AS (SELECT key, len(g) AS n, unnest(g) AS s FROM i), y AS (SELECT key, unnest(g) AS s FROM d)
 SELECT x.key AS item_id, y.key AS doc_id, count(*) AS shared, round(count(*) / any_value(x.n), 6) AS share FROM x JOIN y USING (s) GROUP BY 1, 2 HAVING count(*) / any_value(x.n) >= 0.5""",
 }
