@@ -63,13 +63,66 @@ def exact_tail(both, a, b, n):
     return sum(math.comb(a, k) * math.comb(n - a, b - k) for k in range(both, min(a, b) + 1)) / math.comb(n, b)
 
 
-def test_fisher_by_table_and_by_series(spark, monkeypatch):
-    df = spark.createDataFrame([(12, 42, 52, 982, "x"), (0, 5, 5, 50, "y"), (5, 5, 5, 50, "z")], "n_both long, n_a long, n_c long, n long, name string")
+def test_fisher_equals_exact_sums(spark):
+    rows = [(12, 42, 52, 982, "x"), (0, 5, 5, 50, "y"), (5, 5, 5, 50, "z"), (3, 40, 30, 60, "v"), (900, 3000, 2500, 9000, "w"), (30, 40, 30, 60, "u")]
+    df = spark.createDataFrame(rows, "n_both long, n_a long, n_c long, n long, name string")
     want = {r["name"]: exact_tail(r["n_both"], r["n_a"], r["n_c"], r["n"]) for r in df.collect()}
-    for limit in (mining.TABLE, 0):
-        monkeypatch.setattr(mining, "TABLE", limit)
-        found = {r["name"]: r["p"] for r in mining.significant_rules(df, 982, 0.05).collect()}
-        assert all(found[k] == pytest.approx(v, rel=1e-9) for k, v in want.items())
+    found = {r["name"]: r["p"] for r in mining.significant_rules(df, 0.05).collect()}
+    assert all(found[k] == pytest.approx(v, rel=1e-8) for k, v in want.items())
+    assert stats._tail(900, 3000, 2500, 9000, chunk=7) == pytest.approx(want["w"], rel=1e-8)
+
+
+def test_running_totals_in_two_levels(spark):
+    df = spark.createDataFrame([(None, 2), (-5.0, 1), (0.0, 4), (0.001, 1), (1e6, 3), (1e6 + 1, 2)], "v double, n int")
+    found = {r["v"]: r["s"] for r in stats.running_total(df, "v", "n", "s").collect()}
+    assert found == {None: 2, -5.0: 3, 0.0: 7, 0.001: 8, 1e6: 11, 1e6 + 1: 13}
+    assert {r["v"]: r["s"] for r in stats.running_total(df.where("v = 0"), "v", "n", "s").collect()} == {0.0: 4}
+
+
+def test_walk_forward_folds(spark):
+    rows = spark.range(23).select("id", F.timestamp_seconds(F.col("id") * 90_000).alias("t"))
+
+    def folds(n_folds, embargo, trim):
+        found = {}
+        for r in splits.walk_forward(rows, "t", "id", n_folds, embargo, trim).collect():
+            found.setdefault((r["fold"], r["split"]), []).append(r["pos"])
+        return {k: (min(v), max(v)) for k, v in found.items()}
+
+    assert folds(3, 2, "train") == {(0, "train"): (0, 5), (0, "test"): (8, 12), (1, "train"): (0, 10), (1, "test"): (13, 17), (2, "train"): (0, 15), (2, "test"): (18, 22)}
+    assert folds(3, 99, "train")[0, "train"] == (0, 0)
+    assert folds(3, 2, "test") == {(0, "train"): (0, 4), (0, "test"): (7, 9), (1, "train"): (0, 9), (1, "test"): (12, 14), (2, "train"): (0, 14), (2, "test"): (17, 19)}
+    assert folds(3, 5, "test") == {} == folds(30, 0, "train")
+
+
+def test_performance_by_hand(spark):
+    returns = [0.01, -0.02, 0.0, 0.03, -0.01]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(returns)], "day int, r double")
+    one = market.performance(df, "r").first()
+    total = math.prod(1 + r for r in returns)
+    annual = total ** (252 / 5) - 1
+    mean = sum(returns) / 5
+    volatility = math.sqrt(sum((r - mean) ** 2 for r in returns) / 4 * 252)
+    down = math.sqrt(((-0.02 + 0.015) ** 2 + (-0.01 + 0.015) ** 2) / 1 * 252)
+    assert (one["hit_rate"], one["n"]) == (pytest.approx(0.4), 5)
+    assert (one["sharpe"], one["sortino"]) == (pytest.approx(annual / volatility), pytest.approx(annual / down))
+
+
+def test_zhang_by_hand(spark):
+    sets_ = spark.createDataFrame([(["a"], 1, 50), (["b"], 1, 40), (["a", "b"], 2, 10)], "items array<string>, size int, cnt long")
+    found = {(r["antecedent"], r["consequent"]): r["zhang"] for r in mining.rules(sets_, 100, 0.0).collect()}
+    assert found["a", "b"] == pytest.approx((0.2 - 0.4) / max(0.2 * 0.6, 0.4 * 0.8))
+    assert found["b", "a"] == pytest.approx((0.25 - 0.5) / max(0.25 * 0.5, 0.5 * 0.75))
+
+
+def test_minhash_equals_brute_force(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, ""), (3, None), (4, "short"), (5, "x " * 4000)], "k int, t string")
+    rows = similarity.portable_sets(docs, "k", "t").withColumn("s", similarity.minhash(F.col("grams"), 128)).collect()
+    for r in rows:
+        for (a, b), found in zip(similarity.coefficients(128), r["s"], strict=True):
+            assert found == min(((g % similarity.PRIME) * a + b) % similarity.PRIME for g in r["grams"]) if r["grams"] else similarity.PRIME
+    assert sorted(len(r["grams"]) for r in rows) == [0, 0, 1, 1, 2]
+    md5 = int(hashlib.md5(b"one two three four five").hexdigest()[:15], 16)
+    assert md5 in next(r for r in rows if r["key"] == 1)["grams"]
 
 
 def test_histogram_closes_its_last_edge(spark):

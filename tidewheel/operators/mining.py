@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewheel.functions import ratio
-from tidewheel.operators.stats import false_discovery, fisher_greater, log_factorials
+from tidewheel.operators.stats import false_discovery, fisher_tail
 
 
 def baskets(rows: DataFrame, basket: str, item: str) -> DataFrame:
@@ -98,20 +98,11 @@ def rules(itemsets: DataFrame, n_baskets: int, least_confidence: float) -> DataF
     )
 
 
-def significant_rules(found: DataFrame, n_baskets: int, alpha: float) -> DataFrame:
-    """Rules with Fisher's one-sided p, its false-discovery rate q, and significance.
-
-    The table of log-factorials has as many entries as there are baskets. Rules
-    share few distinct margins, so it is built once and joined as one array;
-    beyond TABLE baskets Stirling's series takes its place.
-    """
-    cells = found.select("n_both", "n_a", "n_c", "n").distinct()
-    if n_baskets <= TABLE:
-        table = log_factorials(found.sparkSession, n_baskets).groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "lf"))), lambda x: x["lf"]).alias("lf"))
-        priced = fisher_greater(cells.join(F.broadcast(table)), F.col("lf"), "n_both", "n_a", "n_c", "n").drop("lf")
-    else:
-        priced = cells.withColumn("p", _tail_by_series())
-    return false_discovery(found.join(priced, ["n_both", "n_a", "n_c", "n"]), "p", alpha)
+def significant_rules(found: DataFrame, alpha: float) -> DataFrame:
+    """Rules with Fisher's one-sided p, its false-discovery rate q, and significance. Rules of like margins are priced once."""
+    cells = ["n_both", "n_a", "n_c", "n"]
+    priced = found.select(*cells).distinct().withColumn("p", fisher_tail(*map(F.col, cells)))
+    return false_discovery(found.join(priced, cells), "p", alpha)
 
 
 def top_rules(found: DataFrame, measure: str, n: int, least_count: int = 0, only_significant: bool = True) -> DataFrame:
@@ -128,26 +119,6 @@ def dissociations(found: DataFrame, n: int, least_count: int = 20, below: float
     return kept.orderBy(F.round("zhang", 9), "antecedent", "consequent").limit(n)
 
 
-#: Entries of a log-factorial table: 8 MB at the most.
-TABLE = 1_000_000
-
-
-def _tail_by_series() -> Column:
-    def lf(k: Column) -> Column:
-        x = k.cast("double") + 1
-        far = x + 8
-        # ln gamma by Stirling's series at x + 8, brought back by the eight factors between.
-        big = (far - 0.5) * F.ln(far) - far + 0.5 * math.log(2 * math.pi) + 1 / (12 * far) - 1 / (360 * far**3) + 1 / (1260 * far**5)
-        return big - sum(F.ln(x + i) for i in range(8))
-
-    x, y, z = F.col("n_a"), F.col("n_c"), F.col("n")
-    fixed = lf(x) + lf(z - x) + lf(y) + lf(z - y) - lf(z)
-    tail = F.aggregate(
-        F.sequence(F.col("n_both"), F.least(x, y)), F.lit(0.0), lambda acc, k: acc + F.exp(fixed - lf(k) - lf(x - k) - lf(y - k) - lf(z - x - y + k))
-    )
-    return F.least(tail, F.lit(1.0))
-
-
 def cooccurrence(itemsets: DataFrame, top: int, edges: int) -> DataFrame:
     """Pairs of the most frequent items by joint count: the heaviest edges of their graph."""
     items = itemsets.where("size = 1").select(F.col("items")[0].alias("item"), "cnt")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
@@ -43,7 +44,7 @@ def k_means(df: DataFrame, column: str, k: int, seed: int) -> DataFrame:
 
 
 def k_sweep(df: DataFrame, column: str, ks: Sequence[int], seed: int) -> DataFrame:
-    """k with silhouette, Calinski-Harabasz and Davies-Bouldin of its clusters."""
+    """k with silhouette, Calinski-Harabasz and Davies-Bouldin of its clusters, how many of the three prefer it, and whether all do."""
     rows = vectors(df, column).cache()
     out = None
     for k in ks:
@@ -51,7 +52,10 @@ def k_sweep(df: DataFrame, column: str, ks: Sequence[int], seed: int) -> DataFra
         quality = clusters.validity(clusters.components(found.withColumn("_id", F.monotonically_increasing_id()), "_id", column, "zone"))
         one = quality.select(F.lit(k).alias("k"), F.lit(clusters.silhouette(found, "features", "zone")).alias("silhouette"), "calinski_harabasz", "davies_bouldin")
         out = one if out is None else out.union(one)
-    return out
+    best = [F.max_by("k", "silhouette"), F.max_by("k", "calinski_harabasz"), F.min_by("k", "davies_bouldin")]
+    chosen = out.agg(*[b.alias(f"b{i}") for i, b in enumerate(best)])
+    votes = sum((F.col("k") == F.col(f"b{i}")).cast("long") for i in range(3))
+    return out.join(F.broadcast(chosen)).select("k", "silhouette", "calinski_harabasz", "davies_bouldin", votes.alias("votes"), (votes == 3).alias("unanimous"))
 
 
 def mixture_and_tree(df: DataFrame, column: str, k: int, seed: int) -> DataFrame:
@@ -81,11 +85,17 @@ def bootstrap_stability(df: DataFrame, key: str, column: str, k: int, rounds: in
     return out
 
 
+def stability(rounds: DataFrame, least: float = 0.75) -> DataFrame:
+    """One row: mean, deviation and minimum of the resamples' agreement, and whether the mean reaches the least."""
+    one = rounds.agg(F.avg("ari").alias("mean_ari"), F.stddev_pop("ari").alias("std_ari"), F.min("ari").alias("min_ari"), F.count(F.lit(1)).alias("rounds"))
+    return one.withColumn("stable", F.col("mean_ari") >= least)
+
+
 def weighted_logistic(df: DataFrame, y: str, columns: Sequence[str]) -> DataFrame:
     """Adds probability: a logistic model whose classes weigh alike."""
-    total = F.count(F.lit(1)).over(W.partitionBy())
-    mine = F.count(F.lit(1)).over(W.partitionBy(y))
-    rows = df.withColumn("_w", total / (2 * mine))
+    counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("_n"))
+    weights = counts.select(y, (F.sum("_n").over(W.partitionBy()) / (2 * F.col("_n"))).alias("_w"))
+    rows = df.join(F.broadcast(weights), y)  # one row a class
     model = Pipeline(stages=[*prepared(columns), LogisticRegression(labelCol=y, weightCol="_w", maxIter=50)])
     return _probability(splits.require_pipeline(model).fit(rows).transform(rows)).drop("_w")
 
@@ -95,6 +105,9 @@ def _probability(df: DataFrame, name: str = "probability") -> DataFrame:
     return df.withColumn(name, vector_to_array("probability")[1]).drop(*[c for c in drop if c != name])
 
 
+FAMILIES = ("logistic", "forest", "boosted", "bayes")
+
+
 def families(y: str) -> dict[str, object]:
     return {
         "logistic": LogisticRegression(labelCol=y, maxIter=30),
@@ -117,10 +130,11 @@ def out_of_fold(df: DataFrame, key: str, y: str, columns: Sequence[str], k: int,
     return out
 
 
-def stacked(df: DataFrame, key: str, y: str, columns: Sequence[str], k: int, seed: int, names: Sequence[str] = ("logistic", "forest", "bayes")) -> DataFrame:
-    """Adds probability: a logistic model over the families' out-of-fold probabilities."""
-    level = out_of_fold(df, key, y, columns, k, seed, names)
-    return weighted_logistic(level, y, [f"p_{n}" for n in names])
+def stacked(df: DataFrame, key: str, y: str, columns: Sequence[str], k: int, seed: int, names: Sequence[str] = FAMILIES, best: int = 3) -> DataFrame:
+    """Adds probability: a logistic model over the out-of-fold probabilities of the best families by average precision."""
+    level = out_of_fold(df, key, y, columns, k, seed, names).cache()
+    ranked = sorted(names, key=lambda n: (-(average_precision(level, y, f"p_{n}").first()[0] or 0.0), n))
+    return weighted_logistic(level, y, [f"p_{n}" for n in sorted(ranked[:best])])
 
 
 def tournament(df: DataFrame, key: str, y: str, columns: Sequence[str], k: int, seed: int, names: Sequence[str]) -> DataFrame:
@@ -182,3 +196,27 @@ def bias_variance(df: DataFrame, x: str, y: str, degrees: Sequence[int], rounds:
     at = out.groupBy("degree", "x").agg(F.avg("prediction").alias("m"), F.var_pop("prediction").alias("v"), F.max("truth").alias("t"))
     bias = F.avg((F.col("m") - F.col("t")) ** 2)
     return at.groupBy("degree").agg(bias.alias("bias2"), F.avg("v").alias("variance"), (bias + F.avg("v")).alias("error"))
+
+
+def random_search(df: DataFrame, key: str, y: str, columns: Sequence[str], draws: int, k: int, seed: int) -> DataFrame:
+    """draw, strength, mixing, average_precision and place of logistic models with drawn penalties, scored out of k folds.
+
+    Draws are few and come from a seeded generator: strength log-uniform from
+    1e-4 to 1, mixing uniform.
+    """
+    rng = np.random.default_rng(seed)
+    settings = [(i, float(10 ** rng.uniform(-4, 0)), float(rng.uniform(0, 1))) for i in range(draws)]
+    rows = splits.folds(df, key, y, k, seed).cache()
+    out = None
+    for f in range(k):
+        stages = Pipeline(stages=prepared(columns)).fit(rows.where(F.col("fold") != f))
+        train, test = stages.transform(rows.where(F.col("fold") != f)), stages.transform(rows.where(F.col("fold") == f))
+        for i, strength, mixing in settings:
+            fitted = LogisticRegression(labelCol=y, maxIter=30, regParam=strength, elasticNetParam=mixing).fit(train)
+            one = fitted.transform(test).select(F.lit(i).alias("draw"), F.col(y).alias("y"), vector_to_array("probability")[1].alias("p"))
+            out = one if out is None else out.unionByName(one)
+    out, scores = out.cache(), None
+    for i, strength, mixing in settings:
+        one = average_precision(out.where(F.col("draw") == i), "y", "p").select(F.lit(i).cast("long").alias("draw"), F.lit(strength).alias("strength"), F.lit(mixing).alias("mixing"), "average_precision")
+        scores = one if scores is None else scores.union(one)
+    return scores.withColumn("place", F.row_number().over(W.orderBy(F.desc("average_precision"), "draw")).cast("long"))

@@ -35,26 +35,37 @@ def temporal(df: DataFrame, time: str, tie: str, test: float, embargo: int) -> D
     return rows.where("total >= 2").withColumn("split", split)
 
 
+def dealt(df: DataFrame, key: str, seed: int, label: str | None = None) -> DataFrame:
+    """Adds place (from 1, in the seeded order, within the label if there is one) and of (rows of that label).
+
+    The order is that of hexadecimal digests. Rows are counted by the digests'
+    first three digits, then placed within those, so no task holds a class.
+    """
+    rows = df.withColumn("_digest", seeded(F.col(key), seed)).withColumn("_head", F.substring("_digest", 1, 3)).withColumn("_label", F.col(label) if label else F.lit(0))
+    sums = rows.groupBy("_label", "_head").agg(F.count(F.lit(1)).alias("_n"))
+    of = W.partitionBy("_label")
+    sums = sums.select(F.col("_label").alias("_l"), F.col("_head").alias("_h"), (F.sum("_n").over(of.orderBy("_head")) - F.col("_n")).alias("_before"), F.sum("_n").over(of).alias("of"))
+    joined = rows.join(sums, rows["_label"].eqNullSafe(sums["_l"]) & (rows["_head"] == sums["_h"]))
+    inside = F.row_number().over(W.partitionBy("_label", "_head").orderBy("_digest", key))
+    return joined.withColumn("place", F.col("_before") + inside).drop("_digest", "_head", "_label", "_l", "_h", "_before")
+
+
 def stratified(df: DataFrame, key: str, label: str, test: float, seed: int) -> DataFrame:
     """Adds split: of each class the first share of rows in the seeded order is the test part."""
-    order = W.partitionBy(label).orderBy(seeded(F.col(key), seed), key)
-    n = F.count(F.lit(1)).over(W.partitionBy(label))
-    return df.withColumn("split", F.when(F.row_number().over(order) <= F.round(n * test), "test").otherwise("train"))
+    rows = dealt(df, key, seed, label)
+    return rows.withColumn("split", F.when(F.col("place") <= F.round(F.col("of") * test), "test").otherwise("train")).drop("place", "of")
 
 
 def folds(df: DataFrame, key: str, label: str, k: int, seed: int) -> DataFrame:
     """Adds fold from 0 to k - 1, dealt within each class in the seeded order."""
-    order = W.partitionBy(label).orderBy(seeded(F.col(key), seed), key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.lit(k)).cast("long"))
+    return dealt(df, key, seed, label).withColumn("fold", F.pmod(F.col("place") - 1, F.lit(k)).cast("long")).drop("place", "of")
 
 
 def grouped(df: DataFrame, group: str, test: float, seed: int) -> DataFrame:
     """Adds split; whole groups go to one side."""
-    groups = df.select(group).distinct()
-    order = W.orderBy(seeded(F.col(group), seed), group)
-    n = F.count(F.lit(1)).over(W.partitionBy())
-    marked = groups.withColumn("split", F.when(F.row_number().over(order) <= F.greatest(F.lit(1), F.round(n * test)), "test").otherwise("train"))
-    return df.join(marked, group)
+    groups = dealt(df.select(group).distinct(), group, seed)
+    marked = groups.withColumn("split", F.when(F.col("place") <= F.greatest(F.lit(1), F.round(F.col("of") * test)), "test").otherwise("train"))
+    return df.join(marked.drop("place", "of"), group)
 
 
 def walk_forward(df: DataFrame, time: str, tie: str, n_folds: int, embargo: int, trim: str = "train") -> DataFrame:

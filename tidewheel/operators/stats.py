@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,30 +43,39 @@ def chi_square(cells: DataFrame, by: Sequence[str] = (), yates: bool = False) ->
     return one.select(*by, stat.alias("chi2"), dof.cast("long").alias("dof"), "n", F.sqrt(stat / F.nullif(room, F.lit(0))).alias("cramers_v"))
 
 
-def log_factorials(spark, most: int) -> DataFrame:
-    """k, lf = ln k! for k from 0 to most."""
-    rows = spark.range(0, most + 1).withColumnRenamed("id", "k")
-    return rows.select("k", F.sum(F.ln(F.greatest("k", F.lit(1)))).over(W.orderBy("k")).alias("lf"))
+def fisher_tail(both: Column, a: Column, b: Column, n: Column) -> Column:
+    """The chance of as many joint rows or more, given the margins a and b among n rows (Fisher's exact test, one-sided).
 
-
-def fisher_greater(df: DataFrame, table: Column, both: str, a: str, b: str, n: str) -> DataFrame:
-    """Adds p: the chance of as many joint rows or more, given the margins a and b among n rows.
-
-    table is an array of log-factorials. The tail is summed by a higher-order
-    function, so no row is exploded.
+    The first term comes from log-gammas, each next one from a ratio; the sum
+    stops where terms fall below 1e-17 of it.
     """
 
-    def lf(k: Column) -> Column:
-        return F.element_at(table, k.cast("int") + 1)
-
-    x, y, z = F.col(a), F.col(b), F.col(n)
-    fixed = lf(x) + lf(z - x) + lf(y) + lf(z - y) - lf(z)
-
-    def term(k: Column) -> Column:
-        return F.exp(fixed - lf(k) - lf(x - k) - lf(y - k) - lf(z - x - y + k))
-
-    tail = F.aggregate(F.sequence(F.col(both), F.least(x, y)), F.lit(0.0), lambda acc, k: acc + term(k))
-    return df.withColumn("p", F.least(tail, F.lit(1.0)))
+    def tails(both: pd.Series, a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([_tail(*map(int, cells)) for cells in zip(both, a, b, n, strict=True)], dtype=float)
+
+    return F.pandas_udf(tails, "double")(both, a, b, n)
+
+
+def _tail(k: int, a: int, b: int, n: int, chunk: int = 4096) -> float:
+    lowest, highest = max(0, a + b - n), min(a, b)
+    if k <= lowest:
+        return 1.0
+    lg = math.lgamma
+    top = lg(a + 1) + lg(n - a + 1) + lg(b + 1) + lg(n - b + 1) - lg(n + 1)
+    log_term = top - lg(k + 1) - lg(a - k + 1) - lg(b - k + 1) - lg(n - a - b + k + 1)
+    total, mode = 0.0, (a + 1) * (b + 1) // (n + 2)
+    while k <= highest:
+        i = np.arange(k, min(k + chunk, highest + 1), dtype=float)
+        steps = np.log(a - i) + np.log(b - i) - np.log(i + 1) - np.log(n - a - b + i + 1) if i[-1] < highest else None
+        if steps is None:
+            inner = i[:-1]
+            steps = np.append(np.log(a - inner) + np.log(b - inner) - np.log(inner + 1) - np.log(n - a - b + inner + 1), 0.0)
+        terms = log_term + np.concatenate([[0.0], np.cumsum(steps[:-1])])
+        total += float(np.exp(terms).sum())
+        k, log_term = k + len(i), float(terms[-1] + steps[-1])
+        if k > mode and math.exp(log_term) < 1e-17 * total:
+            break
+    return min(1.0, total)
 
 
 def false_discovery(df: DataFrame, p: str, alpha: float) -> DataFrame:
@@ -91,11 +103,29 @@ def cohens_d(df: DataFrame, y: str, columns: Sequence[str]) -> DataFrame:
 def mid_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the mean rank of the row's value among all rows; ranks are taken over distinct values."""
     counts = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(W.orderBy("_v"))
-    ranks = counts.select("_v", (upto - (F.col("_c") - 1) / 2).alias(name))
+    upto = running_total(counts, "_v", "_c", "_upto")
+    ranks = upto.select("_v", (F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
     return df.join(ranks, F.col(column).eqNullSafe(F.col("_v"))).drop("_v")
 
 
+#: Cells of a value range over which running totals are taken first.
+CELLS = 1024
+
+
+def running_total(counts: DataFrame, value: str, n: str, name: str) -> DataFrame:
+    """Adds the sum of n over all values up to the row's, null being the least.
+
+    Totals are taken over equal cells of the value range and within them, so no
+    task holds all distinct values.
+    """
+    span = counts.agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    cell = F.least(F.floor((F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0)) * CELLS), F.lit(CELLS - 1))
+    rows = counts.join(F.broadcast(span)).withColumn("_cell", F.when(F.col(value).isNull(), -1).otherwise(F.coalesce(cell, F.lit(0)))).drop("_low", "_high")
+    before = rows.groupBy("_cell").agg(F.sum(n).alias("_n")).select("_cell", (F.sum("_n").over(W.orderBy("_cell")) - F.col("_n")).alias("_before"))
+    inside = F.sum(n).over(W.partitionBy("_cell").orderBy(value))
+    return rows.join(before, "_cell").withColumn(name, F.col("_before") + inside).drop("_cell", "_before")
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     rows = mid_rank(mid_rank(df.select(a, b).dropna(), a, "ra"), b, "rb")
     return rows.agg(F.corr("ra", "rb").alias("spearman"), F.count(F.lit(1)).alias("n"))

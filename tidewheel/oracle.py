@@ -1,5 +1,5 @@
 """SQL twins of the named queries, for an engine that knows ANSI SQL and lists."""
 
-from tidewheel.plans import evaluations, graphs, markets, mines, panels, profiles, shapes
+from tidewheel.plans import evaluations, graphs, markets, mines, panels, profiles, rollups, shapes
 
-ORACLES = {k: q for m in (panels, profiles, evaluations, mines, markets, graphs, shapes) for k, q in m.ORACLES.items()}
+ORACLES = {k: q for m in (panels, profiles, evaluations, mines, markets, graphs, rollups, shapes) for k, q in m.ORACLES.items()}

@@ -86,11 +86,13 @@ def kmeans_zones(spark, sf_dir):
 
 
 def k_sweep(spark, sf_dir):
-    return ml.k_sweep(table(spark, sf_dir, "embeddings").select("embedding"), "embedding", (4, 8), 42)
+    return ml.k_sweep(table(spark, sf_dir, "embeddings").select("embedding"), "embedding", range(2, 11), 42)
 
 
 def mixture_and_tree(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("embedding"))
+    """Clusters of the first eight principal components of whole embeddings."""
+    rows = ml.projection(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 8)
+    rows = rows.select("vec_id", F.array(*[f"pc{i + 1}" for i in range(8)]).alias("embedding"))
     return ml.mixture_and_tree(rows, "embedding", 4, 42).groupBy("mixture", "tree").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -99,7 +101,8 @@ def pca_projection(spark, sf_dir):
 
 
 def bootstrap_stability(spark, sf_dir):
-    return ml.bootstrap_stability(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 4, 3, 42)
+    """Agreement of clusters over 30 resamples."""
+    return tidy(ml.stability(ml.bootstrap_stability(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 4, 30, 42)))
 
 
 def logistic_scores(spark, sf_dir):
@@ -108,12 +111,17 @@ def logistic_scores(spark, sf_dir):
 
 def stacking(spark, sf_dir):
     rows = scored(spark, sf_dir).select("doc_id", "toxic", "quality", "n_chars")
-    return ml.stacked(rows, "doc_id", "toxic", ["quality", "n_chars"], 3, 42, ("logistic", "bayes")).select("doc_id", "toxic", "p_logistic", "p_bayes", "probability")
+    return ml.stacked(rows, "doc_id", "toxic", ["quality", "n_chars"], 3, 42).select("doc_id", "toxic", *[f"p_{n}" for n in ml.FAMILIES], "probability")
 
 
 def model_tournament(spark, sf_dir):
     rows = scored(spark, sf_dir).select("doc_id", "toxic", "quality", "n_chars")
-    return ml.tournament(rows, "doc_id", "toxic", ["quality", "n_chars"], 2, 42, ("logistic", "bayes"))
+    return ml.tournament(rows, "doc_id", "toxic", ["quality", "n_chars"], 3, 42, ml.FAMILIES)
+
+
+def hyperparameter_search(spark, sf_dir):
+    rows = scored(spark, sf_dir).select("doc_id", "toxic", "quality", "n_chars")
+    return tidy(ml.random_search(rows, "doc_id", "toxic", ["quality", "n_chars"], 5, 3, 42))
 
 
 def gbt_importance(spark, sf_dir):
@@ -137,7 +145,7 @@ def bias_variance(spark, sf_dir):
 
 NAMES = (
     "dag_levels dag_widths dag_dependents dag_cycle dag_undeclared dag_fingerprints dag_invalidation dag_critical_path dag_makespan nearest_centroid cluster_validity ari kmeans_zones k_sweep mixture_and_tree "
-    "pca_projection bootstrap_stability logistic_scores stacking model_tournament gbt_importance anomaly_scores clt_sampling bias_variance"
+    "pca_projection bootstrap_stability logistic_scores stacking model_tournament hyperparameter_search gbt_importance anomaly_scores clt_sampling bias_variance"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 

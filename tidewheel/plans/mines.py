@@ -37,11 +37,11 @@ def item_support(spark, sf_dir):
 
 
 def itemsets_apriori(spark, sf_dir):
-    return _flat(mining.apriori(sets(spark, sf_dir), SUPPORT))
+    return _flat(mining.apriori(written(sets(spark, sf_dir), "baskets"), SUPPORT))
 
 
 def itemsets_fpgrowth(spark, sf_dir):
-    return _flat(mining.fp_growth(sets(spark, sf_dir), SUPPORT))
+    return _flat(mining.fp_growth(written(sets(spark, sf_dir), "baskets"), SUPPORT))
 
 
 def itemsets_agree(spark, sf_dir):
@@ -51,9 +51,9 @@ def itemsets_agree(spark, sf_dir):
 
 
 def _rules(spark, sf_dir):
-    rows = sets(spark, sf_dir)
+    rows = written(sets(spark, sf_dir), "baskets")
     n = rows.count()
-    return mining.rules(mining.fp_growth(rows, SUPPORT), n, CONFIDENCE), n
+    return written(mining.rules(written(mining.fp_growth(rows, SUPPORT), "itemsets"), n, CONFIDENCE), "rules"), n
 
 
 def rules_measures(spark, sf_dir):
@@ -61,8 +61,8 @@ def rules_measures(spark, sf_dir):
 
 
 def rules_fdr(spark, sf_dir):
-    found, n = _rules(spark, sf_dir)
-    rows = mining.significant_rules(found, n, ALPHA)
+    found, _ = _rules(spark, sf_dir)
+    rows = mining.significant_rules(found, ALPHA)
     return tidy(rows.select("antecedent", "consequent", "n_both", "n_a", "n_c", "p", "q", "significant"))
 
 
@@ -77,8 +77,8 @@ def weak_rules(spark, sf_dir):
 
 
 def _top(spark, sf_dir, measure, n, least_count=0, only_significant=True):
-    found, baskets = _rules(spark, sf_dir)
-    rows = mining.top_rules(mining.significant_rules(found, baskets, ALPHA), measure, n, least_count, only_significant)
+    found, _ = _rules(spark, sf_dir)
+    rows = mining.top_rules(mining.significant_rules(found, ALPHA), measure, n, least_count, only_significant)
     return tidy(rows.select("rank", "antecedent", "consequent", "n_both", F.col(measure).alias("value"), "significant"))
 
 
