@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.llm.conftest import ODD
 from tidewheel.llm import common, simhash
 from tidewheel.llm.components import connected_components
+from tidewheel.sources import scratch
 
 
 def slow_print(text):
@@ -108,7 +109,7 @@ def test_short_texts(text):
 
 
 def test_tables_of_rounds_are_deleted(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: str(tmp_path))
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
     assert connected_components(edges, "a", "b").where("root != 0").count() == 0
     assert len(list(tmp_path.glob("components-*"))) == 1
