@@ -173,9 +173,10 @@ def mixed(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     copies = rows.agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("copies"), F.count(F.lit(1)).alias("alike")).where("copies > 0")
     copies = copies.select(F.col("doc_id").alias("id"), "mark", "copies", "alike")
     held = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("own"), docs["source"].cast("string").alias("source"), _mark(docs).alias("mark"))
-    # The join and the window share one shuffle, by mark. Rows that are alike share their copies evenly.
-    joined = held.join(copies, "mark").where(F.col("own").eqNullSafe(F.col("id")))
-    rank = F.row_number().over(W.partitionBy("mark", "own").orderBy("source"))
+    # The join and the window share one shuffle, by mark, which is confirmed after the window.
+    # Rows that are alike share their copies evenly.
+    joined = held.join(copies, "mark").withColumn("same", F.col("own").eqNullSafe(F.col("id")))
+    rank = F.row_number().over(W.partitionBy("mark", "own").orderBy(F.desc("same"), "source"))
     mine = F.expr("copies div alike") + F.when(F.col("rank") <= F.col("copies") % F.col("alike"), 1).otherwise(0)
-    counted = joined.withColumn("rank", rank).withColumn("mine", mine.cast("int")).where("mine > 0")
+    counted = joined.withColumn("rank", rank).withColumn("mine", mine.cast("int")).where("same and mine > 0")
     return counted.select("row", F.explode(F.sequence(F.lit(1), F.col("mine"))).alias("copy")).select("row.*")

@@ -145,7 +145,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stay = prints.groupBy("root").agg(least).select(F.xxhash64("stay.doc_id", "stay.text_hash").alias("key"), F.col("stay.doc_id").alias("stays"), F.col("stay.text_hash").alias("stays_hash"))
     own, own_hash = docs[id_col].cast("long"), F.xxhash64(text_of(docs, text_col))
     rows = docs.select(F.struct("*").alias("row"), own.alias("own"), own_hash.alias("own_hash"), F.xxhash64(own, own_hash).alias("key"))
-    # The join and the window share one shuffle, by key; repeated rows meet there.
-    met = rows.join(stay, "key").where(F.col("own").eqNullSafe(F.col("stays")) & (F.col("own_hash") == F.col("stays_hash")))
-    first = F.row_number().over(W.partitionBy("key", "own", "own_hash").orderBy("key"))
-    return met.withColumn("first", first).where("first = 1").select("row.*")
+    # The join and the window share one shuffle, by key; repeated rows meet there. The key is
+    # confirmed after the window, else the join would be on more columns than the window.
+    same = F.col("own").eqNullSafe(F.col("stays")) & (F.col("own_hash") == F.col("stays_hash"))
+    met = rows.join(stay, "key").withColumn("same", same)
+    first = F.row_number().over(W.partitionBy("key", "own", "own_hash").orderBy(F.desc("same")))
+    return met.withColumn("first", first).where("first = 1 and same").select("row.*")
