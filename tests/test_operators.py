@@ -214,12 +214,12 @@ def test_minhash_estimates(spark):
     assert near == pytest.approx(1 / 3, abs=0.12) and empty == 1
 
 
-def test_graph_levels_paths_and_schedule(spark):
+def test_graph_levels_paths_and_bounds(spark):
     nodes, edges = graphs._graph(spark)
     level = {r["name"]: r["level"] for r in graph.levels(nodes, edges).collect()}
     assert all(level[c] > level[p] for c, ps in graphs.PARENTS.items() for p in ps)
     longest = max(r["seconds"] for r in graph.critical_paths(nodes, edges).collect())
-    plan = {r["workers"]: r for r in graph.makespan(nodes, edges, [1, 2, 4]).collect()}
+    plan = {r["workers"]: r for r in graph.least_makespan(nodes, edges, [1, 2, 4]).collect()}
     assert plan[1]["makespan"] == sum(graphs.TASKS.values()) and all(r["makespan"] >= longest for r in plan.values())
     assert longest == 9 + 7 + 6 + 20 + 3 + 2 + 1
 
@@ -262,3 +262,25 @@ def test_sources(spark, tmp_path):
     assert files.verify_digests(spark, str(tmp_path / "b.txt"), manifest).first()["matches"] is True
     with pytest.raises(KeyError):
         tables.table(spark, "/nowhere", "unknown")
+
+
+def test_diamonds_do_not_multiply(spark):
+    """Eight diamonds in a row have 256 paths; a front holds a row a node."""
+    depth = 8
+    edges = [e for i in range(depth) for e in ((f"a{i}", f"t{i}"), (f"b{i}", f"t{i}"), (f"t{i + 1}", f"a{i}"), (f"t{i + 1}", f"b{i}"))]
+    names = sorted({n for e in edges for n in e})
+    edges = spark.createDataFrame(edges, "child string, parent string")
+    nodes = spark.createDataFrame([(n, 2.0 if n.startswith("b") else 1.0) for n in names], "name string, seconds double")
+    last = {r["name"]: r for r in graph.critical_paths(nodes, edges).collect()}[f"t{depth}"]
+    assert last["seconds"] == 3 * depth + 1 and last["path"] == ">".join(f"t{i}>b{i}" for i in range(depth)) + f">t{depth}"
+    assert {r["name"]: r["n_invalid"] for r in graph.invalidated(nodes, edges).withColumnRenamed("changed", "name").collect()}["t0"] == len(names)
+
+
+def test_cycles_are_found_and_refused(spark):
+    edges = spark.createDataFrame([("b", "a"), ("a", "b"), ("c", "b"), ("d", "c"), ("x", "x")], "child string, parent string")
+    nodes = spark.createDataFrame([(n, 1.0) for n in "abcdxr"], "name string, seconds double")
+    assert sorted(r["path"] for r in graph.cycles(edges).collect()) == ["a>b>a", "x>x"]
+    looped = spark.createDataFrame([("a", "r"), ("b", "a"), ("a", "b")], "child string, parent string")
+    with pytest.raises(ValueError):
+        graph.levels(nodes, looped)
+    assert graph.cycles(edges.where("child = 'd'")).count() == 0

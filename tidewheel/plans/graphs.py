@@ -58,7 +58,8 @@ def dag_critical_path(spark, sf_dir):
 
 
 def dag_makespan(spark, sf_dir):
-    return tidy(graph.makespan(*_graph(spark), WORKERS))
+    """The least time that so many workers need, level by level."""
+    return tidy(graph.least_makespan(*_graph(spark), WORKERS))
 
 
 def _parts(spark, sf_dir):
@@ -154,8 +155,16 @@ EDGES = "edges AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{p}')" for c,
 WALK = f"WITH RECURSIVE {NODES}, {EDGES}, walk AS (SELECT name, 0 AS level, name AS path, seconds FROM nodes WHERE name NOT IN (SELECT child FROM edges) UNION ALL SELECT e.child, w.level + 1, w.path || '>' || e.child, w.seconds + n.seconds FROM walk w JOIN edges e ON e.parent = w.name JOIN nodes n ON n.name = e.child), lv AS (SELECT name, max(level)::BIGINT AS level FROM walk GROUP BY 1)"
 CENTRES = "p AS (SELECT vec_id AS key, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), c AS (SELECT label, i, avg(x) AS c, count(*) AS n FROM p GROUP BY 1, 2)"
 NEAREST = "d AS (SELECT p.key, c.label AS o, round(sum((x - c) * (x - c)), 9) AS d FROM p JOIN c USING (i) GROUP BY 1, 2), near AS (SELECT key, o::BIGINT AS nearest, d AS distance2 FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY d, o) AS r FROM d) WHERE r = 1)"
-X = "orders"
+# Digests of parents, one table a level; the graph has fewer levels than tasks.
+DIGESTS = "d0 AS (SELECT name, level, sha256(name) AS digest FROM lv WHERE level = 0)" + "".join(
+    f", d{k} AS (SELECT * FROM d{k - 1} UNION ALL SELECT e.child, {k}, sha256(e.child || '|' || string_agg(digest, ',' ORDER BY digest)) FROM edges e JOIN d{k - 1} p ON p.name = e.parent JOIN lv ON lv.name = e.child AND lv.level = {k} GROUP BY e.child)"
+    for k in range(1, len(TASKS))
+)
 ORACLES = {
+    "dag_fingerprints": WALK + f", {DIGESTS} SELECT name, level, digest FROM d{len(TASKS) - 1}",
+    "dag_makespan": WALK
+    + f""", g AS (SELECT level, max(seconds) AS longest, sum(seconds) AS work FROM nodes JOIN lv USING (name) GROUP BY 1), m AS (SELECT workers, sum(greatest(longest, work / workers)) AS makespan, sum(work) AS work FROM g, (SELECT unnest({WORKERS}) AS workers) GROUP BY 1)
+SELECT workers::BIGINT AS workers, round(makespan, 6) AS makespan, round(makespan * workers - work, 6) AS idle, round(work / makespan, 6) AS speedup, round(work / makespan / workers, 6) AS efficiency FROM m""",
     "dag_levels": WALK + " SELECT name, level FROM lv",
     "dag_widths": WALK + " SELECT level, count(*) AS width FROM lv GROUP BY 1",
     "dag_dependents": f"WITH {NODES}, {EDGES} SELECT name, count(parent) AS n_dependents, rank() OVER (ORDER BY count(parent) DESC) AS rank FROM nodes LEFT JOIN edges ON parent = name GROUP BY 1",
