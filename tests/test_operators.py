@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
@@ -79,6 +80,16 @@ def test_running_totals_in_two_levels(spark):
     assert {r["v"]: r["s"] for r in stats.running_total(df.where("v = 0"), "v", "n", "s").collect()} == {0.0: 4}
 
 
+def test_quantiles_equal_numpy(spark):
+    values = [3.0, 1.5, 1.5, -2.0, 1e9, 7.25, 7.25, 7.25, 0.0]
+    df = spark.createDataFrame([("a", v) for v in values] + [(None, 4.0), (None, 8.0), ("b", None), ("a", float("nan"))], "g string, v double")
+    shares = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
+    assert stats.quantiles(df, "v", shares, "q").first()["q"] == pytest.approx(np.quantile([*values, 4.0, 8.0], shares))
+    found = {r["g"]: r["q"] for r in stats.quantiles(df, "v", shares, "q", ["g"]).collect()}
+    assert found == {"a": pytest.approx(np.quantile(values, shares)), None: pytest.approx(np.quantile([4.0, 8.0], shares))}
+    assert stats.quantiles(df.where("g = 'b'"), "v", shares, "q").collect()[0]["q"] is None
+
+
 def test_walk_forward_folds(spark):
     rows = spark.range(23).select("id", F.timestamp_seconds(F.col("id") * 90_000).alias("t"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewheel.functions import ratio
+from tidewheel.operators import stats
 
 BUCKETS = 1024
 
@@ -199,7 +200,7 @@ def conformal(calibration: DataFrame, test: DataFrame, actual: str, predicted: s
         levels_used = [min(1.0, x * (n + 1) / max(n, 1)) for x in levels]
     else:
         levels_used = list(levels)
-    cut = calibration.agg(F.percentile(residual, F.array(*map(F.lit, levels_used))).alias("q"))
+    cut = stats.quantiles(calibration.select(residual.alias("_residual")), "_residual", levels_used, "q")
     bands = cut.select(F.arrays_zip(F.array(*map(F.lit, levels)).alias("level"), F.col("q").alias("half")).alias("bands"))
     rows = test.join(F.broadcast(bands)).select("*", F.explode("bands").alias("z")).withColumns({"level": F.col("z.level"), "half": F.col("z.half")})
     low, high = F.greatest(F.col(predicted) - F.col("half"), F.lit(0.0)), F.col(predicted) + F.col("half")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.ml import Pipeline
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewheel.operators import clusters, splits
+from tidewheel.operators import clusters, splits, stats
 from tidewheel.operators.evaluation import average_precision
 
 
@@ -162,7 +163,7 @@ def boosted_importance(df: DataFrame, y: str, columns: Sequence[str], rounds: in
 
 def isolation_score(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Adds anomaly in [0, 1): the largest robust distance of a column, in place of an isolation forest."""
-    cuts = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_{c}") for c in columns])
+    cuts = reduce(lambda a, b: a.join(F.broadcast(b)), [stats.quantiles(df, c, (0.25, 0.5, 0.75), f"_{c}") for c in columns])  # a row each
     gaps = [F.abs(F.col(c) - F.col(f"_{c}")[1]) / F.greatest(F.col(f"_{c}")[2] - F.col(f"_{c}")[0], F.lit(1e-12)) for c in columns]
     far = F.greatest(*gaps) if len(gaps) > 1 else gaps[0]
     return df.join(F.broadcast(cuts)).withColumn("anomaly", far / (1 + far)).drop(*[f"_{c}" for c in columns])

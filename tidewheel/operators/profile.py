@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewheel.functions import bucket_of, ratio
+from tidewheel.operators import stats
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -63,7 +64,6 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 def moments(df: DataFrame, column: str) -> DataFrame:
     """n, mean, median, deviations by both conventions, population skewness and excess kurtosis, percentiles, ends."""
     c = F.col(column)
-    cuts = F.percentile(c, F.array(*[F.lit(x) for x in (0.01, 0.25, 0.5, 0.75, 0.99)]))
     one = df.agg(
         F.count(c).alias("n"),
         F.avg(c).alias("mean"),
@@ -71,10 +71,9 @@ def moments(df: DataFrame, column: str) -> DataFrame:
         F.stddev_samp(c).alias("std_samp"),
         F.skewness(c).alias("skew"),
         F.kurtosis(c).alias("kurtosis"),
-        cuts.alias("cuts"),
         F.min(c).alias("least"),
         F.max(c).alias("most"),
-    )
+    ).join(F.broadcast(stats.quantiles(df, column, (0.01, 0.25, 0.5, 0.75, 0.99), "cuts")))  # a row each
     named = [F.col("cuts")[i].alias(k) for i, k in enumerate(("p01", "p25", "median", "p75", "p99"))]
     return one.select("n", "mean", "std_pop", "std_samp", "skew", "kurtosis", *named, "least", "most")
 
@@ -93,8 +92,10 @@ def segment_profile(df: DataFrame, segment: str, value: str, category: str, flag
     modes = base.groupBy(segment, category).agg(F.count(F.lit(1)).alias("n"))
     first = F.row_number().over(W.partitionBy(segment).orderBy(F.desc("n"), category))
     modes = modes.withColumn("r", first).where("r = 1").select(segment, F.col(category).alias("mode"))
-    stats = base.groupBy(segment).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.median(value).alias("median_value"), F.avg(value).alias("mean_value"), F.avg("flag").alias("rate"), F.sum("flag").alias("hits")
+    rates = base.groupBy(segment).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.avg(value).alias("mean_value"), F.avg("flag").alias("rate"), F.sum("flag").alias("hits")
     )
     whole = F.sum("hits").over(W.partitionBy()) / F.sum("n_rows").over(W.partitionBy())
-    return stats.withColumn("lift", ratio(F.col("rate"), whole)).drop("hits").join(modes, segment)
+    middle = stats.quantiles(base, value, (0.5,), "q", [segment]).select(segment, F.col("q")[0].alias("median_value"))
+    found = rates.withColumn("lift", ratio(F.col("rate"), whole)).drop("hits").join(modes, segment).join(middle, segment, "left")
+    return found.select(segment, "n_rows", "median_value", "mean_value", "rate", "lift", "mode")

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewheel.operators import stats
+
 
 def quantile_bands(df: DataFrame, column: str, n: int) -> DataFrame:
     """Adds band from 1: right-closed intervals between the column's quantiles; edges that coincide are one."""
-    cuts = F.percentile(F.col(column), F.array(*[F.lit(i / n) for i in range(1, n)]))
-    edges = df.agg(F.array_sort(F.array_distinct(cuts)).alias("_edges"))
+    cuts = stats.quantiles(df, column, [i / n for i in range(1, n)], "_cuts")
+    edges = cuts.select(F.array_sort(F.array_distinct("_cuts")).alias("_edges"))
     band = F.size(F.filter("_edges", lambda e: e < F.col(column))) + 1
     return df.join(F.broadcast(edges)).withColumn("band", F.when(F.col(column).isNotNull(), band).cast("long")).drop("_edges")
 
@@ -48,9 +50,9 @@ def tail(df: DataFrame, order: str, n: int) -> DataFrame:
 
 def filled(df: DataFrame, medians: Sequence[str], constants: dict[str, object]) -> DataFrame:
     """Nulls replaced by the column's median or a constant."""
-    if medians:
-        one = df.agg(*[F.median(c).alias(f"_{c}") for c in medians])
-        df = df.join(F.broadcast(one)).withColumns({c: F.coalesce(F.col(c), F.col(f"_{c}")) for c in medians}).drop(*[f"_{c}" for c in medians])
+    middles = [(c, stats.quantiles(df, c, (0.5,), "_middle")) for c in medians]
+    for c, one in middles:
+        df = df.join(F.broadcast(one)).withColumn(c, F.coalesce(F.col(c), F.col("_middle")[0])).drop("_middle")
     return df.fillna(constants) if constants else df
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -112,18 +114,53 @@ def mid_rank(df: DataFrame, column: str, name: str) -> DataFrame:
 CELLS = 1024
 
 
-def running_total(counts: DataFrame, value: str, n: str, name: str) -> DataFrame:
-    """Adds the sum of n over all values up to the row's, null being the least.
+def running_total(counts: DataFrame, value: str, n: str, name: str, by: Sequence[str] = (), total: str | None = None) -> DataFrame:
+    """Adds the sum of n over all values (of the row's group by) up to the row's, null being the least; and the sum of all n as total, if named.
 
     Totals are taken over equal cells of the value range and within them, so no
     task holds all distinct values.
     """
-    span = counts.agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    span = counts.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     cell = F.least(F.floor((F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0)) * CELLS), F.lit(CELLS - 1))
-    rows = counts.join(F.broadcast(span)).withColumn("_cell", F.when(F.col(value).isNull(), -1).otherwise(F.coalesce(cell, F.lit(0)))).drop("_low", "_high")
-    before = rows.groupBy("_cell").agg(F.sum(n).alias("_n")).select("_cell", (F.sum("_n").over(W.orderBy("_cell")) - F.col("_n")).alias("_before"))
-    inside = F.sum(n).over(W.partitionBy("_cell").orderBy(value))
-    return rows.join(before, "_cell").withColumn(name, F.col("_before") + inside).drop("_cell", "_before")
+    rows = _beside(counts, span, by).withColumn("_cell", F.when(F.col(value).isNull(), -1).otherwise(F.coalesce(cell, F.lit(0)))).drop("_low", "_high")
+    sums = rows.groupBy(*by, "_cell").agg(F.sum(n).alias("_n"))
+    before = sums.select(*by, "_cell", (F.sum("_n").over(W.partitionBy(*by).orderBy("_cell")) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy(*by)).alias("_total"))
+    inside = F.sum(n).over(W.partitionBy(*by, "_cell").orderBy(value))
+    out = _beside(rows, before, [*by, "_cell"]).withColumn(name, F.col("_before") + inside).drop("_cell", "_before")
+    return out.withColumnRenamed("_total", total) if total else out.drop("_total")
+
+
+def _beside(rows: DataFrame, sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with the sums of their group; nulls are a group."""
+    if not by:
+        return rows.join(F.broadcast(sums))  # one row
+    named = sums.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
+    return rows.join(named, same).drop(*[f"_of_{c}" for c in by])
+
+
+def quantiles(df: DataFrame, column: str, shares: Sequence[float], name: str, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each value of by: name, the column's quantiles at the shares, linear between neighbours; nulls and NaN are left out.
+
+    Without values there is one row of null, or none for that group. Values are
+    counted first; each distinct one knows the places that its rows fill.
+    """
+    v = F.col(column).cast("double")
+    counts = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    rows = running_total(counts, "_v", "_c", "_upto", by, "_all").withColumn("_first", F.col("_upto") - F.col("_c"))
+    ends = []
+    for i, share in enumerate(shares):
+        place = (F.col("_all") - 1) * F.lit(float(share))
+        for side, at in (("low", F.floor(place)), ("high", F.ceil(place))):
+            ends.append(F.max(F.when((F.col("_first") <= at) & (at < F.col("_upto")), F.col("_v"))).alias(f"_{side}{i}"))
+    one = rows.groupBy(*by).agg(F.max("_all").alias("_all"), *ends)
+
+    def between(i: int, share: float) -> Column:
+        place = (F.col("_all") - 1) * F.lit(float(share))
+        return F.col(f"_low{i}") + (place - F.floor(place)) * (F.col(f"_high{i}") - F.col(f"_low{i}"))
+
+    found = F.array(*[between(i, share) for i, share in enumerate(shares)])
+    return one.select(*by, F.when(F.col("_all").isNotNull(), found).alias(name))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

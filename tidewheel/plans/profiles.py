@@ -61,7 +61,7 @@ def rfm_segments(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     last = orders.agg(F.max(F.to_date("o_orderdate")).alias("last"))
     per = orders.groupBy("o_custkey").agg(F.max(F.to_date("o_orderdate")).alias("d"), F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("money"))
-    cuts = per.agg(F.percentile("money", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    cuts = stats.quantiles(per, "money", (0.25, 0.5, 0.75), "q")
     band = F.when(F.col("money") <= F.col("q")[0], 1).when(F.col("money") <= F.col("q")[1], 2).when(F.col("money") <= F.col("q")[2], 3).otherwise(4)
     rows = per.join(F.broadcast(cuts)).join(F.broadcast(last)).select(band.cast("long").alias("band"), F.datediff("last", "d").alias("days"), "n", "money")
     return tidy(rows.groupBy("band").agg(F.count(F.lit(1)).alias("customers"), F.avg("days").alias("mean_days"), F.avg("n").alias("mean_orders"), F.avg("money").alias("mean_money")), 3)
