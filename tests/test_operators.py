@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
-from tidewheel.operators import evaluation, fairness, forecast, graph, guard, market, mining, panel, profile, similarity, splits, stats
+from tidewheel.operators import evaluation, fairness, forecast, graph, guard, market, mining, panel, profile, similarity, splits, stats, trials
 from tidewheel.plans import graphs, markets
 from tidewheel.sources import files, tables
 
@@ -295,3 +295,41 @@ def test_cycles_are_found_and_refused(spark):
     with pytest.raises(ValueError):
         graph.levels(nodes, looped)
     assert graph.cycles(edges.where("child = 'd'")).count() == 0
+
+
+def test_json_files_and_leaks(spark, tmp_path):
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a.json").write_text('{"x": 1,\n "y": "é"}')
+    (tmp_path / "j" / "b.json").write_text("{broken")
+    (tmp_path / "j" / "c.json").write_text('{"x": "' + "z" * 200 + '"}')
+    where = str(tmp_path / "j")
+    found = {r["name"]: (r["valid"], r["too_large"]) for r in files.json_report(spark, where, 100).collect()}
+    assert found == {"a.json": (True, False), "b.json": (False, False), "c.json": (True, True)}
+    assert files.read_json(spark, f"{where}/a.json").first().asDict() == {"x": 1, "y": "é"}
+    runs = spark.createDataFrame([("a.json", 2.0), ("a.json", 3.0), ("gone", 1.0)], "name string, seconds double")
+    assert {r["name"]: r["seconds"] for r in files.stamped_files(spark, where, runs).collect()} == {"a.json": 3.0, "b.json": None, "c.json": None}
+    assert files.without_leaks(spark.range(1).withColumn("leak", F.lit(1)), ["leak"]).columns == ["id"]
+    with pytest.raises(KeyError):
+        files.without_leaks(spark.range(1), ["leak"])
+
+
+def test_choice_of_k(spark):
+    quality = spark.createDataFrame([(2, 0.4), (3, 0.6), (4, 0.5)], "k int, silhouette double")
+    stable = spark.createDataFrame([(2, True), (3, False), (4, True)], "k int, stable boolean")
+    assert tuple(trials.chosen_k(quality, stable).first()) == (4, 0.5, False)
+    assert tuple(trials.chosen_k(quality, stable.withColumn("stable", F.lit(False))).first()) == (3, 0.6, True)
+
+
+def test_leaks_inflate_and_weights_are_the_classes_ratio(spark):
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 5 == 0).cast("int").alias("toxic"), F.rand(1).alias("noise"))
+    rows = rows.withColumn("leak", F.col("toxic") * 1.0)
+    found = trials.leak_inflation(rows, "doc_id", "toxic", ["noise"], ["leak"], 2, 1, ("logistic",)).first()
+    assert found["leaked"] == pytest.approx(1.0) and found["clean"] < 0.5
+    weights = {r["variant"]: (r["weight"], r["roc_auc"]) for r in trials.reweighting(rows, "doc_id", "toxic", ["leak"], 0.25, 1).collect()}
+    assert weights["none"][0] == 1 and weights["ratio"][0] == weights["alike"][0] == pytest.approx(4.0) and all(a == 1.0 for _, a in weights.values())
+
+
+def test_direct_steps_learn_a_cycle(spark):
+    rows = spark.range(240).select(F.lit("a").alias("z"), F.timestamp_seconds(F.col("id") * 3600).alias("t"), (F.col("id") % 4).alias("n"))
+    found = {r["step"]: r for r in trials.direct_steps(rows, "z", "t", "n", (1, 2), (1, 2), 0.25, 1).collect()}
+    assert all(r["mae"] < 0.2 < r["naive_mae"] for r in found.values())

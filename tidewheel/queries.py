@@ -1,5 +1,5 @@
 """All named queries over the registered tables."""
 
-from tidewheel.plans import evaluations, graphs, markets, mines, panels, profiles, rollups, shapes
+from tidewheel.plans import evaluations, graphs, markets, mines, panels, profiles, rollups, shapes, trials
 
-QUERIES = {k: f for m in (panels, profiles, evaluations, mines, markets, graphs, rollups, shapes) for k, f in m.QUERIES.items()}
+QUERIES = {k: f for m in (panels, profiles, evaluations, mines, markets, graphs, rollups, shapes, trials) for k, f in m.QUERIES.items()}

@@ -65,3 +65,29 @@ def verify_digests(spark: SparkSession, path: str, manifest: DataFrame) -> DataF
         F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("found")
     )
     return files.join(manifest, "name", "left").select("name", "bytes", "found", (F.col("found") == F.col("sha256")).alias("matches"))
+
+
+def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """JSON documents, one or more a file; unreadable ones keep their text in _corrupt_record where the schema is inferred."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def json_report(spark: SparkSession, path: str, most_bytes: int = 8 * 1024 * 1024) -> DataFrame:
+    """Per file: name, bytes, whether its text is JSON, and whether it is larger than most_bytes."""
+    files = spark.read.format("binaryFile").load(path)
+    text = F.try_parse_json(F.col("content").cast("string"))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), text.isNotNull().alias("valid"), (F.col("length") > most_bytes).alias("too_large"))
+
+
+def stamped_files(spark: SparkSession, path: str, runs: DataFrame) -> DataFrame:
+    """Files under path (listed, not read) with the seconds that runs (name, seconds) measured; null where none did."""
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))
+    return files.join(runs.groupBy("name").agg(F.max("seconds").alias("seconds")), "name", "left")
+
+
+def without_leaks(df: DataFrame, leaks: Sequence[str]) -> DataFrame:
+    """df without the columns known to give the outcome away; a name that is no column is an error."""
+    if missing := set(leaks) - set(df.columns):
+        raise KeyError(f"no columns named {sorted(missing)}")
+    return df.drop(*leaks)
