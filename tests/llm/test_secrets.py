@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -154,3 +155,53 @@ def test_every_value_in_context_is_priced(spark, sf_dir):
         assert [(int(a), int(b)) for a, b, _ in values] == want[r["doc_id"]]
         assert [f"guess:{a}:{b}" for a, b, c in values if float(c) >= secrets.COST] == [s for s in r["spans"].split(",") if s.startswith("guess")]
         assert r["n_guess"] == r["spans"].count("guess")
+
+
+@pytest.mark.parametrize(
+    ("text", "left"),
+    [
+        ('password = "xK9#vQ,2!mZqLw88Z" x', 'password = "[secret]" x'),
+        ("secret: 'xK9 <#vQ>; 2!mZ' x", "secret: '[secret]' x"),
+        ("pwd=aaaaa,K9#vQ2!mZqLw88 x", "pwd=[secret] x"),
+        ("password =          Tr0ub4dor&xK9qLz31 x", "password =          [secret] x"),
+        ("(password:\n\txK9#vQ2!mZ). x", "(password:\n\t[secret]). x"),
+        ('token="open and shut', 'token="open and shut'),
+    ],
+)
+def test_values_are_read_whole(text, left):
+    assert redact(text) == left
+
+
+def fibonacci(a, b, n):
+    while len(b) < n:
+        a, b = b, b + a
+    return b[:n]
+
+
+def thue_morse(a, b, n):
+    text = a
+    while len(text) < n:
+        text += text.translate(str.maketrans(a + b, b + a))
+    return text[:n]
+
+
+@pytest.mark.parametrize("make", [fibonacci, thue_morse])
+@pytest.mark.parametrize("letters", ["ab", "as", "12", "-_"])
+def test_aperiodic_values_take_linear_time(make, letters):
+    begin = time.process_time()
+    PRICES.guesses(make(*letters, 20_000))
+    assert time.process_time() - begin < 5  # a second on an idle machine; cubic work would take days
+
+
+def test_repeats_of_long_units_are_priced_by_their_parts():
+    unit = "xK9#vQ2!mZqLw88Zfg7dp"
+    assert len(unit) > secrets.SHORT and PRICES.guesses(unit * 3) == float("inf")
+    assert PRICES.guesses("dragonmonkeypassword" * 3) < secrets.COST
+
+
+def test_texts_are_read_once(docs_of):
+    docs = docs_of(ODD)
+    plan = secrets.find(docs)._jdf.queryExecution().toString()
+    assert plan.count("secrets-gathered") >= 1 and "LogicalRDD" not in plan
+    given_words = {r["doc_id"]: r["spans"] for r in secrets.find(docs, ["zebra"]).collect()}
+    assert set(given_words) == {r["doc_id"] for r in docs.collect()}

@@ -4,7 +4,11 @@ Three patterns give the base spans. Beside them, every value in credential
 context (a word for a password, a sign of assignment, a value) is priced by the
 least number of guesses that builds it: a dynamic programme over all cuts into
 words, dates, repeats, keyboard walks, sequences and brute-force spans takes
-the cheapest sum of log10 costs. A value of 10^COST guesses or more is a span
+the cheapest sum of log10 costs. A quoted value ends at its quote, on its line;
+any other at white space, less punctuation that closes it (. , ; : > and
+brackets). Words, dates and the units that repeats repeat have at most SHORT
+letters; a longer unit is priced by its parts each time, which is dearer, so
+no secret is lost by it. A value of 10^COST guesses or more is a span
 of kind guess, of the whole value, whether or not base spans overlap it;
 redaction cuts the union.
 
@@ -34,14 +38,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import keep_nothing, kept, remove, text_of, written_at
+from tidewheel.llm.common import keep_nothing, kept, remove, text_of, written, written_at
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
+CLOSING = r"""\s.,;:>)\]}"'"""
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|code|phrase)?|pwd|secret|token|credential|api[_-]?key|access[_-]?key|auth[_-]?key)["']?\s{0,8}(?:=>|:=|[:=])\s{0,8}["']?([^\s"'<>,;]{6,})""",
+    r"""(?:pass(?:word|wd|code|phrase)?|pwd|secret|token|credential|api[_-]?key|access[_-]?key|auth[_-]?key)["']?\s*+(?:=>|:=|[:=])\s*+"""
+    rf"""["']?((?<=")[^"\n]+(?=")|(?<=')[^'\n]+(?=')|[^\s"'](?:\S*[^{CLOSING}])?)""",
     re.I | re.A,
 )
 #: log10 of guesses from which a value counts as a secret.
@@ -50,7 +56,7 @@ LEAST_ASSIGN = 12
 #: Bound on the words of a corpus that are ranked, the documents that a word needs, and its letters.
 DICTIONARY, LEAST_DOCUMENTS, LETTERS = 1 << 16, 3, (3, 20)
 #: What is assigned, whatever to, and words; and the number of them that a task holds before it hands counts on.
-WORD_OR_VALUE, HELD_WORDS = re.compile(r"""[:=]\s{0,8}["']?[^\s"']+|[^\W\d_]{3,}"""), 200_000
+WORD_OR_VALUE, HELD_WORDS = re.compile(r"""[:=]\s*+(?:"[^"\n]+"|'[^'\n]+'|\S+)|([^\W\d_]{3,})"""), 200_000
 
 # Common parts of passwords, the most usual first, and words that follow a word for a password in prose.
 WORDS = (
@@ -151,17 +157,12 @@ class _Runs:
                 yield e + 1, more + math.log10(size * (e + 1 - s) * 2)
 
     def _units(self, s: int) -> Iterator[tuple[int, int]]:
-        """Units that are no repeats themselves and stand at s twice or more, as (length, end of the repeats).
+        """Units of at most SHORT characters that are no repeats themselves and stand at s twice or more, as (length, end of the repeats).
 
         While one of length p reaches to e, no other one is of e - s - p characters or fewer.
         """
         value, n, p = self.value, self.n, 1
-        head = value[s : s + SHORT + 1]
-        while s + 2 * p <= n:
-            if p > SHORT:
-                p = value.find(head, s + p) - s
-                if p <= SHORT or s + 2 * p > n:
-                    return
+        while p <= SHORT and s + 2 * p <= n:
             end = self.periods.get(p, 0)
             if s + 2 * p > end and value.startswith(value[s : s + p], s + p):
                 end = self.periods[p] = _reach(s + 2 * p - 1, n, lambda e, p=p: value[e] == value[e - p])
@@ -212,7 +213,7 @@ class Prices:
             steps = {ord(b) - ord(a) for a, b in pairs}
             if len(steps) == 1 and abs(next(iter(steps))) <= 2 and part.isalnum():
                 best = min(best, math.log10(_alphabet(part) * n * 2))
-        for unit in range(1, n // 2 + 1):
+        for unit in range(1, min(n // 2, SHORT) + 1):
             if n % unit == 0 and part[:unit] * (n // unit) == part:
                 best = min(best, self.guesses(part[:unit]) + math.log10(n // unit))
                 break
@@ -253,18 +254,37 @@ class Prices:
         return best[n]
 
 
+def values(text: str) -> list[tuple[int, int]]:
+    """Where the values in credential context stand."""
+    return [m.span(1) for m in CONTEXT.finditer(text)]
+
+
 def priced(text: str, prices: Prices) -> list[tuple[int, int, float]]:
     """Each value in credential context as (start, end, log10 of guesses)."""
-    return [(*m.span(1), prices.guesses(m[1])) for m in CONTEXT.finditer(text)]
+    return [(a, b, prices.guesses(text[a:b])) for a, b in values(text)]
+
+
+Span = tuple[str, int, int]
+
+
+def ordered(spans: list[Span]) -> list[Span]:
+    return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def scan(text: str, values: list[tuple[int, int, float]]) -> list[tuple[str, int, int]]:
-    """All spans as (kind, start, end), by start and then kind; values are the text's priced ones."""
+def dear(prized: list[tuple[int, int, float]]) -> list[Span]:
+    return [("guess", a, b) for a, b, cost in prized if cost >= COST]
+
+
+def scan(text: str, prized: list[tuple[int, int, float]]) -> list[Span]:
+    """All spans as (kind, start, end), by start and then kind; prized are the text's priced values."""
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
     found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    found += [("guess", a, b) for a, b, cost in values if cost >= COST]
-    return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
+    return ordered(found + dear(prized))
+
+
+def _split(spans: str) -> list[Span]:
+    return [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in spans.split(",") if s)]
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
@@ -272,25 +292,48 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 COLUMNS = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, priced string"
+#: What one read of the texts gives: a row per document (its base spans and values in context), and rows of words with counts.
+GATHERED = "word string, n long, doc_id long, base string, starts array<long>, found array<string>"
+GATHERED_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string())]
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and the documents that hold them, counted in parts of bounded size."""
-    keep_nothing()
-    counts: Counter[str] = Counter()
+def _counted(words: dict[str, int]) -> pa.RecordBatch:
+    """Rows of words that may be ranked; the counts are cleared."""
+    ranked = [w for w in words if LETTERS[0] <= len(w) <= LETTERS[1]]
+    rows: list[list[object]] = [ranked, [words[w] for w in ranked], *[[None] * len(ranked)] * 4]
+    words.clear()
+    return _gathered_batch(rows)
+
+
+def _gathered_batch(columns: Sequence[list[object]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, GATHERED_TYPES, strict=True)], [c.split()[0] for c in GATHERED.split(", ")])
 
-    def hand_on() -> pa.RecordBatch:
-        kept_words = [w for w in counts if LETTERS[0] <= len(w) <= LETTERS[1] and w[0] not in ":="]
-        columns = [pa.array(kept_words, type=pa.string()), pa.array([counts[w] for w in kept_words], type=pa.int64())]
-        counts.clear()
-        return pa.RecordBatch.from_arrays(columns, ["word", "n"])
 
+def _gather(batches: Iterator[pa.RecordBatch], spans: bool) -> Iterator[pa.RecordBatch]:
+    """Words and the documents that hold them, counted in parts of bounded size, and if spans are asked for what each document has."""
+    keep_nothing()
+    counts: Counter[str] = Counter()
     for batch in batches:
-        for text in batch.column(0):
-            counts.update(set(WORD_OR_VALUE.findall(text.as_py().lower())))
+        ids, bases, starts, found = [], [], [], []
+        for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            text = text.as_py()
+            counts.update(set(WORD_OR_VALUE.findall(text.lower())))
+            if spans:
+                where = values(text)
+                ids.append(doc_id.as_py())
+                bases.append(_joined(scan(text, [])))
+                starts.append([a for a, _ in where])
+                found.append([text[a:b] for a, b in where])
             if len(counts) >= HELD_WORDS:
-                yield hand_on()
-    yield hand_on()
+                yield _counted(counts)
+        if ids:
+            yield _gathered_batch([[None] * len(ids), [None] * len(ids), ids, bases, starts, found])
+    yield _counted(counts)
+
+
+def _gathered(docs: DataFrame, spans: bool) -> DataFrame:
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    return rows.mapInArrow(lambda batches: _gather(batches, spans), GATHERED)
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
@@ -300,7 +343,11 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
     such levels from the top as have at most size words in all. Only the
     levels' sizes, some hundreds, and these words come to the driver.
     """
-    counts = docs.select(text_of(docs).alias("text")).mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return _ranked(_gathered(docs, spans=False), size)
+
+
+def _ranked(gathered: DataFrame, size: int = DICTIONARY) -> list[str]:
+    counts = gathered.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("n"))
     level = F.floor(F.log2("n") * 64).cast("int").alias("level")
     counts, path = written_at(counts.where(F.col("n") >= LEAST_DOCUMENTS).select("word", "n", level), "secrets-words")
     room, least = size, None
@@ -310,7 +357,7 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
             break
         least = r["level"]
     found = counts.where(F.col("level") >= F.lit(least)).collect() if least is not None else []
-    remove(docs.sparkSession, path)
+    remove(gathered.sparkSession, path)
     return [r["word"] for r in sorted(found, key=lambda r: (-r["n"], r["word"]))]
 
 
@@ -318,20 +365,21 @@ def _prices(words: list[str]) -> Prices:
     return kept(("secrets", len(words), hash(tuple(words))), lambda: Prices(words))
 
 
-def _scan(batches: Iterator[pa.RecordBatch], words: list[str]) -> Iterator[pa.RecordBatch]:
+def _price(batches: Iterator[pa.RecordBatch], words: list[str]) -> Iterator[pa.RecordBatch]:
+    """From base spans and values to all spans, with the costs of the values."""
     prices = _prices(words)
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        values = [priced(t, prices) for t in texts]
-        rows = [scan(t, v) for t, v in zip(texts, values, strict=True)]
+        ids, bases, starts, found = (c.to_pylist() for c in batch.columns)
+        costs = [[(a, a + len(v), prices.guesses(v)) for a, v in zip(s, f, strict=True)] for s, f in zip(starts, found, strict=True)]
+        rows = [ordered(_split(base) + dear(cost)) for base, cost in zip(bases, costs, strict=True)]
         counts = {k: pa.array([sum(s[0] == k for s in r) for r in rows], type=pa.int64()) for k in KINDS}
         arrays = [
-            batch.column(0),
+            pa.array(ids, type=pa.int64()),
             *(counts[k] for k in KINDS[:3]),
-            pa.array([hashlib.sha256(_joined([s for s in r if s[0] != "guess"]).encode()).hexdigest() for r in rows], type=pa.string()),
+            pa.array([hashlib.sha256(base.encode()).hexdigest() for base in bases], type=pa.string()),
             pa.array([_joined(r) for r in rows], type=pa.string()),
             counts["guess"],
-            pa.array([",".join(f"{a}:{b}:{cost:.2f}" for a, b, cost in v) for v in values], type=pa.string()),
+            pa.array([",".join(f"{a}:{b}:{cost:.2f}" for a, b, cost in v) for v in costs], type=pa.string()),
         ]
         yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in COLUMNS.split(", ")])
 
@@ -339,11 +387,14 @@ def _scan(batches: Iterator[pa.RecordBatch], words: list[str]) -> Iterator[pa.Re
 def find(docs: DataFrame, words: list[str] | None = None) -> DataFrame:
     """Per row of docs: doc_id, counts by kind, the digest of the base spans, all spans, and each priced value as start:end:cost.
 
-    words are the ranked ones of a corpus, docs' own unless given.
+    words are the ranked ones of a corpus, docs' own unless given. The texts
+    are read once: base spans, values and words are written, and values are
+    priced from there, for prices need the words of all documents.
     """
-    words = dictionary(docs) if words is None else words
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return rows.mapInArrow(lambda batches: _scan(batches, words), COLUMNS)
+    gathered = written(_gathered(docs, spans=True), "secrets-gathered")
+    words = _ranked(gathered) if words is None else words
+    rows = gathered.where(F.col("word").isNull()).select("doc_id", "base", "starts", "found")
+    return rows.mapInArrow(lambda batches: _price(batches, words), COLUMNS)
 
 
 def redact(text: str, prices: Prices, mark: str = "[secret]") -> str:
