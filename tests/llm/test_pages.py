@@ -188,3 +188,40 @@ def test_results_do_not_depend_on_shards(spark, monkeypatch):
     found = {r["page_id"]: r["text"] for r in results[1]}
     assert "this notice" not in found[7] and "page 7 says" in found[7] and "a passage" not in found[3] + found[40]
     assert found[100].startswith("copies of one page") and found[200].startswith("this notice")
+
+
+ARTICLE = "<article><h1>Head</h1><p>Body of the text.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div id="page" class="has-sidebar">{ARTICLE}</div>',
+        f'<div class="layout no-header"><main>{ARTICLE[9:-10]}</main></div>',
+        f"<form action='/post'>{ARTICLE}<input name=q></form>",
+        f'<div class="sidebar-layout">{ARTICLE}</div>',
+        '<article><h1>Head</h1><div class="search-result"><p>Body of the text.</p></div></article>',
+        '<article><h1>Head</h1><section class="legal">Body of the text.</section></article>',
+    ],
+)
+def test_articles_in_wrappers_survive(spark, page):
+    assert texts(html_text.main_text(make(spark, [(1, "http://a/1", page)]))) == {1: "Head\nBody of the text."}
+
+
+def test_boilerplate_stays_out_of_articles(spark):
+    page = f"""<aside><article>Teaser</article></aside><div class="related"><article>Other story</article></div>{ARTICLE[:-10]}
+<form><p>Subscribe</p></form><div class="ad-box">Buy</div><p class="with-sidebar">Stays.</p></article><section id="comments"><article class="comment">Nice!</article></section>"""
+    assert texts(html_text.main_text(make(spark, [(1, "http://a/1", page)]))) == {1: "Head\nBody of the text.\nStays."}
+    comments = '<div class="comments"><article>Nice!</article></div>'
+    assert texts(html_text.main_text(make(spark, [(1, "http://a/1", comments)]))) == {1: ""}
+
+
+def test_repeats_decide_what_names_only_suggest(spark):
+    """Articles in wrappers and doubtful blocks in articles: what other pages of the host have too goes, the rest stays, in page order."""
+    legal = '<div class="legal">no part of this text may be used without the written consent of us</div>'
+    teaser = '<div class="promo"><article>read the most popular story of this week on our front page now</article></div>'
+    rows = [(i, f"http://h.example/{i}", f'{teaser}<article><p>Start {i}.</p>{legal}<div class="legal">Case {i} was closed.</div><p>End.</p></article>') for i in range(3)]
+    rows += [(10 + i, f"http://w.example/{i}", f'{teaser}<div class="sidebar-layout"><main><p>Page {i} stands in a wrapper of the site and keeps its words.</p></main></div>') for i in range(3)]
+    found = html_text.main_text(make(spark, rows))
+    assert texts(found) == {i: f"Start {i}.\nCase {i} was closed.\nEnd." for i in range(3)} | {10 + i: f"Page {i} stands in a wrapper of the site and keeps its words." for i in range(3)}
+    assert all(r["by_repeats"] and r["n_covered"] > 0 for r in found.collect())
