@@ -57,6 +57,7 @@ def test_empty_tables(spark):
 def test_false_discovery(spark):
     df = spark.createDataFrame([(0.01,), (0.04,), (0.03,), (0.20,)], "p double")
     found = {r["p"]: r["q"] for r in stats.false_discovery(df, "p", 0.05).collect()}
+    assert [r["significant"] for r in stats.false_discovery(df, "p", 0.04).orderBy("p").collect()] == [True, False, False, False]  # at alpha itself
     assert found == {0.01: pytest.approx(0.04), 0.03: pytest.approx(0.16 / 3), 0.04: pytest.approx(0.16 / 3), 0.20: pytest.approx(0.20)}
 
 
@@ -267,7 +268,7 @@ def test_sources(spark, tmp_path):
     assert both.groupBy("tag").count().count() == 2
     out = str(tmp_path / "j")
     files.write_json(spark.createDataFrame([(float("nan"), 1)], "d double, i int"), out, {"seed": "42"})
-    line = json.loads(next((tmp_path / "j").glob("part*.json")).read_text())
+    line = json.loads("".join(p.read_text() for p in (tmp_path / "j").glob("part*.json")))
     assert line == {"d": None, "i": 1, "_run": {"seed": "42"}}
     manifest = spark.createDataFrame([("b.txt", hashlib.sha256((tmp_path / "b.txt").read_bytes()).hexdigest())], "name string, sha256 string")
     assert files.verify_digests(spark, str(tmp_path / "b.txt"), manifest).first()["matches"] is True

@@ -67,6 +67,7 @@ def rules(itemsets: DataFrame, n_baskets: int, least_confidence: float) -> DataF
     Conviction is null at confidence 1. Zhang's measure is the gain of the
     confidence over the consequent's share, over the larger of what either
     could be: (conf - c) / max(conf (1 - c), c (1 - conf)); 0 where that is.
+    It is one division of whole numbers, so that no rounding comes before it.
     """
     n = F.lit(float(n_baskets))
     items, k = F.col("items"), F.col("size")
@@ -78,23 +79,24 @@ def rules(itemsets: DataFrame, n_baskets: int, least_confidence: float) -> DataF
     pairs = wide.select("items", "size", F.col("cnt").alias("n_both"), part(1).alias("antecedent"), part(0).alias("consequent"))
     one = itemsets.select(F.col("items").alias("antecedent"), F.col("cnt").alias("n_a"))
     two = itemsets.select(F.col("items").alias("consequent"), F.col("cnt").alias("n_c"))
-    rows = pairs.join(one, "antecedent").join(two, "consequent")
+    rows = pairs.join(one, "antecedent").join(two, "consequent").withColumn("n_all", F.lit(n_baskets).cast("long"))
     s, a, c = F.col("n_both") / n, F.col("n_a") / n, F.col("n_c") / n
     confidence = F.col("n_both") / F.col("n_a")
-    room = F.greatest(s * (1 - c), c * (a - s))
+    nb, na, nc, nn = (F.col(x).cast("decimal(19,0)") for x in ("n_both", "n_a", "n_c", "n_all"))
+    gain, room = (nb * nn - na * nc).cast("double"), F.greatest(nb * (nn - nc), nc * (na - nb)).cast("double")
     return rows.where(confidence >= least_confidence).select(
         F.array_join("antecedent", "|").alias("antecedent"),
         F.array_join("consequent", "|").alias("consequent"),
         "n_both",
         "n_a",
         "n_c",
-        F.lit(n_baskets).cast("long").alias("n"),
+        F.col("n_all").alias("n"),
         s.alias("support"),
         confidence.alias("confidence"),
         (confidence / c).alias("lift"),
         (s - a * c).alias("leverage"),
         F.when(F.col("n_both") < F.col("n_a"), (1 - c) / (1 - confidence)).alias("conviction"),
-        F.coalesce((s - a * c) / F.nullif(room, F.lit(0.0)), F.lit(0.0)).alias("zhang"),
+        F.coalesce(gain / F.nullif(room, F.lit(0.0)), F.lit(0.0)).alias("zhang"),
     )
 
 

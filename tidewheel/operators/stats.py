@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewheel.functions import ratio
+from tidewheel.functions.special import chi_square_p, t_p
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -25,7 +26,7 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def chi_square(cells: DataFrame, by: Sequence[str] = (), yates: bool = False) -> DataFrame:
-    """Statistic, degrees of freedom and Cramer's V of cells (a, b, n), per value of by.
+    """Statistic, degrees of freedom, its chance p and Cramer's V of cells (a, b, n), per value of by.
 
     yates takes one half from each difference where there is one degree of freedom.
     """
@@ -42,7 +43,16 @@ def chi_square(cells: DataFrame, by: Sequence[str] = (), yates: bool = False) ->
     dof = (F.col("na") - 1) * (F.col("nb") - 1)
     stat = F.when(F.lit(yates) & (dof == 1), F.col("less")).otherwise(F.col("plain"))
     room = F.col("n") * (F.least("na", "nb") - 1)
-    return one.select(*by, stat.alias("chi2"), dof.cast("long").alias("dof"), "n", F.sqrt(stat / F.nullif(room, F.lit(0))).alias("cramers_v"))
+    return one.select(*by, stat.alias("chi2"), dof.cast("long").alias("dof"), "n", F.sqrt(stat / F.nullif(room, F.lit(0))).alias("cramers_v")).withColumn("p", chi_square_p(F.col("chi2"), F.col("dof")))
+
+
+def normality(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """n, skew, kurtosis (excess), the statistic of Jarque and Bera and its chance p, per value of by; null where the values do not vary."""
+    v = F.col(column).cast("double")
+    one = df.where(v.isNotNull()).groupBy(*by).agg(F.count(v).alias("n"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurtosis"))
+    skew, kurtosis = F.nanvl("skew", F.lit(None).cast("double")), F.nanvl("kurtosis", F.lit(None).cast("double"))
+    stat = F.col("n") / 6 * (skew * skew + kurtosis * kurtosis / 4)
+    return one.select(*by, "n", skew.alias("skew"), kurtosis.alias("kurtosis"), stat.alias("statistic")).withColumn("p", F.exp(-F.col("statistic") / 2))
 
 
 def fisher_tail(both: Column, a: Column, b: Column, n: Column) -> Column:
@@ -87,7 +97,7 @@ def false_discovery(df: DataFrame, p: str, alpha: float) -> DataFrame:
     rows = counts.select("p_", (F.col("p_") * F.sum("c").over(W.partitionBy()) / upto).alias("raw"))
     q = F.least(F.lit(1.0), F.min("raw").over(W.orderBy(F.desc("p_")).rowsBetween(W.unboundedPreceding, 0)))
     rows = rows.select("p_", q.alias("q"))
-    return df.join(rows, F.col(p) == F.col("p_")).drop("p_").withColumn("significant", F.col("q") < alpha)
+    return df.join(rows, F.col(p) == F.col("p_")).drop("p_").withColumn("significant", F.col("q") <= alpha)
 
 
 def cohens_d(df: DataFrame, y: str, columns: Sequence[str]) -> DataFrame:
@@ -164,8 +174,12 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float], name: str, by
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Rank correlation, number of rows, and the two-sided chance p by Student's t (0 at a correlation of one)."""
     rows = mid_rank(mid_rank(df.select(a, b).dropna(), a, "ra"), b, "rb")
-    return rows.agg(F.corr("ra", "rb").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    one = rows.agg(F.corr("ra", "rb").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    r, dof = F.col("spearman"), F.col("n") - 2
+    apart = F.nullif(F.greatest(1 - r * r, F.lit(0.0)), F.lit(0.0))
+    return one.withColumn("p", F.when(r.isNotNull() & apart.isNull(), 0.0).otherwise(t_p(r * F.sqrt(dof / apart), dof)))
 
 
 def likelihoods(df: DataFrame, y: str, column: str) -> DataFrame:

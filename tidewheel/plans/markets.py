@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewheel.operators import forecast, guard, market, splits, stats
-from tidewheel.plans.common import tidy
+from tidewheel.plans.common import t_p_sql, tidy
 from tidewheel.sources.tables import table
 
 HORIZON, PERIOD, ORIGINS = 6, 12, 6
@@ -68,6 +68,13 @@ def spearman_ic(spark, sf_dir):
     return tidy(stats.spearman(rows, "momentum_5", "target").join(F.broadcast(signs)))
 
 
+def normality(spark, sf_dir):
+    """Whether returns are normal, over all days and by weekday (Monday is 0)."""
+    rows = market.returns(bars(spark, sf_dir)).select(F.weekday("day").cast("long").alias("dow"), "ret")
+    every = stats.normality(rows, "ret").select(F.lit(-1).cast("long").alias("dow"), "n", "skew", "kurtosis", "statistic", "p")
+    return tidy(every.unionByName(stats.normality(rows, "ret", ["dow"])))
+
+
 def lookahead_perturbation(spark, sf_dir):
     """Features before a day that change when all from it on is scaled: none."""
     names = ["momentum_5", "volatility_21", "volume_z", "rsi", "range_lag", "ret_lag_1"]
@@ -105,7 +112,7 @@ def smoothed_forecast(spark, sf_dir):
 
 
 NAMES = (
-    "daily_ohlc_returns momentum_volatility rsi volume_zscore drawdown signal_backtest strategy_performance price_trap spearman_ic lookahead_perturbation monthly_resample forecast_baselines "
+    "daily_ohlc_returns momentum_volatility rsi volume_zscore drawdown signal_backtest strategy_performance price_trap spearman_ic normality lookahead_perturbation monthly_resample forecast_baselines "
     "rolling_origin_mase rank_synthesis smoothed_forecast"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
@@ -163,7 +170,10 @@ FROM (SELECT day, exp(sum(ret) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING)) AS
 FROM (SELECT *, lag(close) OVER (ORDER BY day) AS b FROM ({RET})) WHERE b IS NOT NULL""",
     "spearman_ic": f"""WITH r AS (SELECT round(m, 9) AS m, round(target, 9) AS t FROM (SELECT target, {_full('sum', 'ret', 5, '5 PRECEDING AND 1 PRECEDING')} AS m FROM ({RET})) WHERE m IS NOT NULL AND target IS NOT NULL),
 k AS (SELECT m, t, rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2.0 AS a, rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2.0 AS b FROM r)
-SELECT round(corr(a, b), 6) AS spearman, count(*) AS n, round(avg((sign(m) = sign(t))::INT), 6) AS sign_match FROM k""",
+SELECT round(r, 6) AS spearman, n, round({t_p_sql('(r * sqrt((n - 2) / (1 - r * r)))', '(n - 2)')}, 6) AS p, sign_match FROM (SELECT corr(a, b) AS r, count(*) AS n, round(avg((sign(m) = sign(t))::INT), 6) AS sign_match FROM k)""",
+    "normality": f"""WITH r AS (SELECT isodow(day) - 1 AS dow, ret FROM ({RET}) WHERE ret IS NOT NULL), a AS (SELECT * FROM r UNION ALL SELECT -1, ret FROM r), m AS (SELECT dow, avg(ret) AS mu FROM a GROUP BY 1),
+s AS (SELECT dow, count(*) AS n, avg(pow(ret - mu, 3)) / pow(var_pop(ret), 1.5) AS skew, avg(pow(ret - mu, 4)) / pow(var_pop(ret), 2) - 3 AS kurtosis FROM a JOIN m USING (dow) GROUP BY 1)
+SELECT dow, n, round(skew, 6) AS skew, round(kurtosis, 6) AS kurtosis, round(n / 6 * (skew * skew + kurtosis * kurtosis / 4), 6) AS statistic, round(exp(-n / 12 * (skew * skew + kurtosis * kurtosis / 4)), 6) + 0.0 AS p FROM s""",
     "lookahead_perturbation": "SELECT o_orderdate::DATE AS day, 0.0::DOUBLE AS momentum_5, 0.0::DOUBLE AS volatility_21, 0.0::DOUBLE AS volume_z, 0.0::DOUBLE AS rsi, 0.0::DOUBLE AS range_lag, 0.0::DOUBLE AS ret_lag_1 FROM orders WHERE false",
     "monthly_resample": f"SELECT month, pos, round(value, 6) AS value FROM ({MONTHLY})",
     "forecast_baselines": f"WITH m AS ({MONTHLY}) SELECT origin, step, model, round(forecast, 3) AS forecast, round(actual, 3) AS actual FROM ({FORECASTS})",

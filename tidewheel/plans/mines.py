@@ -200,7 +200,7 @@ RULES = f"""{SETS}, m AS (SELECT items, size, cnt, unnest(range(1, (1 << size) -
 p AS (SELECT cnt AS n_both, [x FOR x, i IN items IF (mask >> (i - 1)) & 1 = 1] AS a, [x FOR x, i IN items IF (mask >> (i - 1)) & 1 = 0] AS c FROM m),
 r AS MATERIALIZED (SELECT array_to_string(p.a, '|') AS antecedent, array_to_string(p.c, '|') AS consequent, n_both, sa.cnt AS n_a, sc.cnt AS n_c, n, n_both / n AS sup, sa.cnt / n AS fa, sc.cnt / n AS fc
 FROM p JOIN s sa ON sa.items = p.a JOIN s sc ON sc.items = p.c, t WHERE n_both / sa.cnt >= 0.05)"""
-ZHANG = "coalesce((n_both / n_a - fc) / nullif(greatest(n_both / n_a * (1 - fc), fc * (1 - n_both / n_a)), 0), 0)"
+ZHANG = "coalesce((n_both::HUGEINT * n - n_a::HUGEINT * n_c)::DOUBLE / nullif(greatest(n_both::HUGEINT * (n - n_c), n_c::HUGEINT * (n_a - n_both)), 0)::DOUBLE, 0)"
 CLEAN = "trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
@@ -239,7 +239,7 @@ z AS (SELECT *, least(1, min(raw) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING
 
 def _ranked(measure: str, n: int, kept: str) -> str:
     return f"""{FDR}SELECT row_number() OVER (ORDER BY v DESC, antecedent, consequent) AS rank, antecedent, consequent, n_both, round(value, 6) + 0.0 AS value, significant
-FROM (SELECT *, {measure} AS value, round({measure}, 9) AS v, q < 0.05 AS significant FROM z) WHERE {kept} ORDER BY v DESC, antecedent, consequent LIMIT {n}"""
+FROM (SELECT *, {measure} AS value, round({measure}, 9) AS v, q <= 0.05 AS significant FROM z) WHERE {kept} ORDER BY v DESC, antecedent, consequent LIMIT {n}"""
 
 
 ORACLES = {
@@ -250,7 +250,7 @@ ORACLES = {
     "itemsets_agree": "SELECT 'x' AS items, 1::BIGINT AS size, 1::BIGINT AS cnt WHERE false",
     "rules_measures": f"""WITH {RULES} SELECT antecedent, consequent, n_both, n_a, n_c, n, round(sup, 6) AS support, round(n_both / n_a, 6) AS confidence, round(n_both / n_a / fc, 6) AS lift, round(sup - fa * fc, 6) + 0.0 AS leverage,
 CASE WHEN n_both < n_a THEN round((1 - fc) / (1 - n_both / n_a), 6) END AS conviction, round({ZHANG}, 6) + 0.0 AS zhang FROM r""",
-    "rules_fdr": f"""{FDR}SELECT antecedent, consequent, n_both, n_a, n_c, round(p, 6) AS p, round(q, 6) AS q, q < 0.05 AS significant FROM z""",
+    "rules_fdr": f"""{FDR}SELECT antecedent, consequent, n_both, n_a, n_c, round(p, 6) AS p, round(q, 6) AS q, q <= 0.05 AS significant FROM z""",
     "dissociations": f"WITH {RULES} SELECT antecedent, consequent, n_both, round({ZHANG}, 6) + 0.0 AS zhang FROM r WHERE n_both >= 20 AND {ZHANG} < -0.2 ORDER BY round({ZHANG}, 9), antecedent, consequent LIMIT 15",
     "weak_rules": f"WITH {RULES} SELECT antecedent, consequent, n_both, round({ZHANG}, 6) + 0.0 AS zhang FROM r WHERE n_both >= 20 ORDER BY round({ZHANG}, 9), antecedent, consequent LIMIT 15",
     "rules_top_lift": _ranked("n_both / n_a / fc", 60, "significant"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewheel.operators import profile, stats
-from tidewheel.plans.common import SCORED, scored, tidy
+from tidewheel.plans.common import SCORED, gamma_tail_sql, scored, tidy
 from tidewheel.sources.tables import table
 
 LINE_KEYS = ("l_orderkey", "l_partkey", "l_suppkey")
@@ -155,7 +155,7 @@ LEFT JOIN (SELECT {a} AS a, {b} AS b, count(*) AS n FROM {t} GROUP BY ALL) c ON
 
 
 def _rounded(sql: str) -> str:
-    return f"SELECT round(chi2, 6) AS chi2, dof, n, round(cramers_v, 6) AS cramers_v FROM ({sql})"
+    return f"SELECT round(chi2, 6) AS chi2, dof, n, round(cramers_v, 6) AS cramers_v, round({gamma_tail_sql('(dof / 2.0::DOUBLE)', '(chi2 / 2)')}, 6) AS p FROM ({sql})"
 
 
 def _leak(c: str) -> str:
