@@ -7,6 +7,7 @@ arrays hold a series. All is in expressions: no Python worker.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -181,14 +182,61 @@ def _local_line(y: Column, w: Column | None, left: Column, right: Column, x: Col
     return let(let(reach.cast("double"), sums), value)
 
 
+def _tricube(q: int) -> list[list[float]]:
+    """The weights of a window of q places, for each place in it that is smoothed."""
+    out = []
+    for x in range(q):
+        h = max(x, q - 1 - x)
+        out.append([1.0 if abs(j - x) <= 0.001 * h else (1 - (abs(j - x) / h) ** 3) ** 3 if abs(j - x) <= 0.999 * h else 0.0 for j in range(q)])
+    return out
+
+
+def _sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+
+
+def _times(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x * y)
+
+
 def _smooth(y: Column, w: Column | None, n: Column, q: int) -> Column:
     """Local lines over q neighbours at each place; where they have no weight y stays."""
+    # Constants as text: one literal each, where thousands of them would be made one by one.
+    near, places = F.from_json(F.lit(json.dumps(_tricube(q))), "array<array<double>>"), F.from_json(F.lit(json.dumps(list(range(q)))), "array<double>")
+
+    def left_of(i: Column) -> Column:
+        return F.greatest(F.lit(1), F.least(i - (q + 1) // 2 + 1, n - q + 1))
+
+    def line(i: Column, p: Column) -> Column:
+        """The same as _local_line where a window is full, with weights that are known before and places counted within the window."""
+        at, own = p["at"], p["y"]
+
+        def value(a: Column, b: Column) -> Column:
+            sums = F.struct(_sum(a).alias("total"), _sum(b).alias("m"), _sum(_times(b, places)).alias("s"), _sum(_times(a, own)).alias("y"), _sum(_times(b, own)).alias("my"))
+
+            def solved(t: Column) -> Column:
+                mean, flat = t["m"] / t["total"], t["y"] / t["total"]
+                spread = t["s"] / t["total"] - mean * mean
+                sloped = flat + (at - mean) / spread * (t["my"] / t["total"] - mean * flat)
+                return F.when(t["total"] > 0, F.when(F.sqrt(F.greatest(spread, F.lit(0.0))) > 0.001 * (n - 1), sloped).otherwise(flat))
+
+            return let(sums, solved)
+
+        return F.coalesce(let(p["a"], lambda a: let(_times(a, places), lambda b: value(a, b))), F.get(y, i - 1))
+
+    def full(i: Column) -> Column:
+        def window(left: Column) -> Column:
+            weights = F.get(near, i - left)
+            weights = weights if w is None else _times(weights, F.slice(w, left, q))
+            return let(F.struct((i - left).alias("at"), F.slice(y, left, q).alias("y"), weights.alias("a")), lambda p: line(i, p))
+
+        return let(left_of(i), window)
 
-    def at(i: Column) -> Column:
-        left = F.greatest(F.lit(1), F.least(i - (q + 1) // 2 + 1, n - q + 1))
-        return F.coalesce(_local_line(y, w, left, F.least(left + q - 1, n), i, n, q), F.get(y, i - 1))
+    def partial(i: Column) -> Column:
+        return F.coalesce(_local_line(y, w, F.lit(1), n, i, n, q), F.get(y, i - 1))
 
-    return F.transform(F.sequence(F.lit(1), n), at)
+    every = F.sequence(F.lit(1), n)
+    return F.when(n >= q, F.transform(every, full)).otherwise(F.transform(every, partial))
 
 
 def _moving(y: Column, q: int) -> Column:

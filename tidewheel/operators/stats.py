@@ -195,6 +195,48 @@ def posterior(tables: DataFrame) -> DataFrame:
     return tables.withColumn("posterior", joint / F.sum(joint).over(W.partitionBy("value")))
 
 
+def bayes_table(df: DataFrame, y: str, columns: Sequence[str], smoothing: float = 1.0) -> DataFrame:
+    """The model of a categorical naive Bayes classifier as rows: y, feature, level, n, score.
+
+    score is the smoothed log-likelihood of the level within the class. The row
+    of a null feature holds the log-prior; rows of a null level, with n = 0,
+    hold what a level unseen in training counts. Null values are a level of
+    their own, written as the empty string with a zero byte.
+    """
+    long = df.select(F.col(y).alias("y"), F.explode(_levels(columns)).alias("x")).select("y", "x.feature", "x.level")
+    counts = long.groupBy("y", "feature", "level").agg(F.count(F.lit(1)).alias("n"))
+    kinds = counts.groupBy("feature").agg((F.countDistinct("level") + 1).alias("kinds"))  # and one for the unseen
+    classes = df.groupBy(F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("of"))
+    grid = counts.select("feature", "level").distinct().unionByName(kinds.select("feature", F.lit(None).cast("string").alias("level")))
+    cells = grid.crossJoin(F.broadcast(classes)).join(kinds, "feature")  # classes are few
+    same = (F.col("y") == F.col("cy")) & (F.col("feature") == F.col("cf")) & (F.col("level") == F.col("cl"))
+    named = counts.withColumnsRenamed({"y": "cy", "feature": "cf", "level": "cl"})
+    found = cells.join(named, same, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    score = F.ln((F.col("n") + smoothing) / (F.col("of") + smoothing * F.col("kinds")))
+    prior = classes.select("y", F.lit(None).cast("string").alias("feature"), F.lit(None).cast("string").alias("level"), F.col("of").alias("n"), F.ln(F.col("of") / F.sum("of").over(W.partitionBy())).alias("score"))
+    return found.select("y", "feature", "level", "n", score.alias("score")).unionByName(prior)
+
+
+def _levels(columns: Sequence[str]) -> Column:
+    return F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias("level")) for c in columns])
+
+
+def bayes_scores(df: DataFrame, key: str, model: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """key, y, probability: each class's posterior for each row (keys are distinct), by joining the row's levels with the model."""
+    long = df.select(F.col(key).alias("key"), F.explode(_levels(columns)).alias("x")).select("key", "x.feature", "x.level")
+    levels, unseen = model.where("level is not null"), model.where("feature is not null and level is null")
+    seen = levels.groupBy("feature", "level").agg(F.collect_list(F.struct("y", "score")).alias("scores"))  # one entry a class
+    other = unseen.groupBy("feature").agg(F.collect_list(F.struct("y", "score")).alias("other"))
+    met = long.join(seen, ["feature", "level"], "left").join(F.broadcast(other), "feature")
+    each = met.select("key", F.explode(F.coalesce("scores", "other")).alias("s")).select("key", "s.y", "s.score")
+    total = each.groupBy("key", "y").agg(F.sum("score").alias("score"))
+    prior = F.broadcast(model.where("feature is null").select("y", F.col("score").alias("prior")))
+    joint = total.join(prior, "y").withColumn("joint", F.col("score") + F.col("prior"))
+    of = W.partitionBy("key")
+    share = F.exp(F.col("joint") - F.max("joint").over(of))
+    return joint.withColumn("share", share).select("key", "y", (F.col("share") / F.sum("share").over(of)).alias("probability"))
+
+
 def entropy(df: DataFrame, symbol: str, n: str) -> DataFrame:
     """Entropy in nats, perplexity and number of symbols of a table of counts."""
     share = F.col(n) / F.sum(n).over(W.partitionBy())

@@ -122,6 +122,13 @@ def similar_pairs(spark, sf_dir):
     return tidy(similarity.pairs(_documents(spark, sf_dir)[1]))
 
 
+def similar_titles(spark, sf_dir):
+    """Pairs of distinct product titles that share half of their runs of three characters; a title goes by its smallest part."""
+    title = F.concat_ws(" ", "p_name", "p_brand", "p_type")
+    rows = similarity.characters(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), title.alias("title")), "title", "grams")
+    return tidy(similarity.pairs(similarity.classes(written(rows.select("key", F.array_sort("grams").alias("grams")), "title-sets"))[1], 0.5))
+
+
 def _signed(spark, sf_dir):
     """Distinct sets of documents with their signatures, written once."""
     sets_ = written(similarity.portable_sets(table(spark, sf_dir, "documents"), "doc_id", "text"), "minhash-sets")
@@ -181,7 +188,7 @@ def benchmark_overlap(spark, sf_dir):
 
 
 NAMES = (
-    "basket_sizes item_support itemsets_apriori itemsets_fpgrowth itemsets_agree rules_measures rules_fdr dissociations weak_rules rules_top_lift rules_top_leverage rules_by_confidence cooccurrence_graph itemsets_top shingle_counts similar_documents similar_pairs "
+    "basket_sizes item_support itemsets_apriori itemsets_fpgrowth itemsets_agree rules_measures rules_fdr dissociations weak_rules rules_top_lift rules_top_leverage rules_by_confidence cooccurrence_graph itemsets_top shingle_counts similar_documents similar_pairs similar_titles "
     "minhash_signatures lsh_buckets lsh_recall_sweep minhash_error_bands similar_top_pairs s_curve benchmark_overlap"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
@@ -262,6 +269,9 @@ CASE WHEN n_both < n_a THEN round((1 - fc) / (1 - n_both / n_a), 6) END AS convi
 (SELECT doc_id, string_split(rpad(c, greatest(len(c), 3)::INT, ' '), '') AS l FROM (SELECT doc_id, {CLEAN} AS c FROM documents))) WINDOW o AS (PARTITION BY doc_id ORDER BY i)) GROUP BY 1) USING (key)""",
     "similar_documents": f"WITH {PAIRS}, n AS (SELECT rep, count(*) AS n_links FROM (SELECT a AS rep FROM p UNION ALL SELECT b FROM p) GROUP BY 1) SELECT key AS doc_id, rep AS class_id, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN n USING (rep)",
     "similar_pairs": f"WITH {PAIRS} SELECT a, b, round(jaccard, 6) AS jaccard FROM p",
+    "similar_titles": f"""WITH t AS (SELECT p_partkey AS key, {CLEAN} AS c FROM (SELECT *, concat_ws(' ', p_name, p_brand, p_type) AS text FROM part)),
+g AS (SELECT key, list_sort(list_distinct([c[i:i + 2] FOR i IN range(1, greatest(len(c) - 1, 2))])) AS grams FROM t), u AS MATERIALIZED (SELECT min(key) AS rep, grams, len(grams) AS n FROM g GROUP BY grams), e AS (SELECT rep, n, unnest(grams) AS gram FROM u),
+x AS (SELECT l.rep AS a, r.rep AS b, count(*) / (any_value(l.n) + any_value(r.n) - count(*)) AS jaccard FROM e l JOIN e r ON l.gram = r.gram AND l.rep < r.rep GROUP BY 1, 2) SELECT a, b, round(jaccard, 6) AS jaccard FROM x WHERE jaccard >= 0.5 - 1e-12""",
     "minhash_signatures": f"WITH {CLASSES}, {SIGNED} SELECT rep, array_to_string(sig, ',') AS signature FROM v",
     "lsh_buckets": f"WITH {CLASSES}, {SIGNED} SELECT band, count(*) AS n_buckets, sum(n)::BIGINT AS n_classes, max(n) AS largest FROM (SELECT band, bucket, count(*) AS n FROM ({_band(16, 8)}) GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1",
     "lsh_recall_sweep": f"WITH {PAIRS}, {SIGNED} " + " UNION ALL ".join(_sweep(b, r) for b, r in SWEEP),

@@ -74,11 +74,43 @@ def mixture_criteria(spark, sf_dir):
     return tidy(trials.mixture_criteria(rows.select(F.array(*[f"pc{i + 1}" for i in range(8)]).alias("embedding")), "embedding", range(2, 7), 42), 3)
 
 
-NAMES = "rare_levels false_positive_gap findings_rollup blind_audit reweighting_ablation leak_inflation direct_steps mixture_criteria".split()
+BAYES = ["lang", "source", "quality"]
+
+
+def _bayes_parts(spark, sf_dir):
+    """Three in sixteen rows, by a digest of the id, are held out."""
+    rows = scored(spark, sf_dir).select("doc_id", "toxic", *BAYES)
+    held = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1).isin("0", "1", "2")
+    return rows.where(~held), rows.where(held)
+
+
+def bayes_model(spark, sf_dir):
+    return tidy(stats.bayes_table(_bayes_parts(spark, sf_dir)[0], "toxic", BAYES))
+
+
+def categorical_bayes(spark, sf_dir):
+    """Held-out documents with the chance of either class."""
+    train, test = _bayes_parts(spark, sf_dir)
+    found = stats.bayes_scores(test, "doc_id", stats.bayes_table(train, "toxic", BAYES), BAYES)
+    return tidy(found.select(F.col("key").alias("doc_id"), F.col("y").alias("toxic"), "probability"))
+
+
+NAMES = "bayes_model categorical_bayes rare_levels false_positive_gap findings_rollup blind_audit reweighting_ablation leak_inflation direct_steps mixture_criteria".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 NULLS = " UNION ALL ".join(f"SELECT count(*) FILTER ({c} IS NULL) AS n_null, count(*) AS n_rows FROM {t}" for t in TABLES for c in SCHEMAS[t].names)
+BAYES_SQL = f"""WITH r AS (SELECT doc_id, toxic, lang, source, quality::VARCHAR AS quality, md5(doc_id::VARCHAR)[1] IN ('0', '1', '2') AS held FROM ({SCORED})),
+x AS (SELECT doc_id, toxic, held, unnest(['lang', 'source', 'quality']) AS feature, unnest([coalesce(lang, chr(0)), coalesce(source, chr(0)), coalesce(quality, chr(0))]) AS level FROM r),
+k AS (SELECT feature, count(DISTINCT level) + 1 AS kinds FROM x WHERE NOT held GROUP BY 1), y AS (SELECT toxic AS y, count(*) AS c FROM r WHERE NOT held GROUP BY 1),
+l AS (SELECT DISTINCT feature, level FROM x WHERE NOT held UNION ALL SELECT feature, NULL FROM k),
+n AS (SELECT toxic AS y, feature, level, count(*) AS n FROM x WHERE NOT held GROUP BY ALL),
+m AS MATERIALIZED (SELECT y.y, l.feature, l.level, coalesce(n.n, 0) AS n, ln((coalesce(n.n, 0) + 1) / (c + kinds)) AS score FROM l CROSS JOIN y JOIN k USING (feature) LEFT JOIN n ON n.y = y.y AND n.feature = l.feature AND n.level = l.level
+UNION ALL SELECT y, NULL, NULL, c, ln(c / sum(c) OVER ()) FROM y)"""
 ORACLES = {
+    "bayes_model": f"{BAYES_SQL} SELECT y::BIGINT AS y, feature, level, n, round(score, 6) AS score FROM m",
+    "categorical_bayes": f"""{BAYES_SQL}, j AS (SELECT doc_id, a.y, any_value(p.score) + sum(coalesce(s.score, u.score)) AS joint FROM x CROSS JOIN (SELECT y FROM y) a JOIN m p ON p.feature IS NULL AND p.y = a.y
+LEFT JOIN m s ON s.feature = x.feature AND s.level = x.level AND s.y = a.y JOIN m u ON u.feature = x.feature AND u.level IS NULL AND u.y = a.y WHERE held GROUP BY 1, 2)
+SELECT doc_id, y::BIGINT AS toxic, round(exp(joint - max(joint) OVER w) / sum(exp(joint)) OVER w * exp(max(joint) OVER w), 6) AS probability FROM j WINDOW w AS (PARTITION BY doc_id)""",
     "rare_levels": """WITH c AS (SELECT p_brand, count(*) AS n, sum(count(*)) OVER () AS t FROM part GROUP BY 1)
 SELECT CASE WHEN p_brand IS NOT NULL AND n / t < 0.04::DOUBLE THEN 'other' ELSE p_brand END AS p_brand, sum(n)::BIGINT AS n FROM c GROUP BY 1""",
     "false_positive_gap": _rounded(
