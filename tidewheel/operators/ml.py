@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewheel.operators import clusters, splits, stats
+from tidewheel.operators import clusters, regress, splits, stats
 from tidewheel.operators.evaluation import average_precision
 
 
@@ -199,6 +200,43 @@ def bias_variance(df: DataFrame, x: str, y: str, degrees: Sequence[int], rounds:
     return at.groupBy("degree").agg(bias.alias("bias2"), F.avg("v").alias("variance"), (bias + F.avg("v")).alias("error"))
 
 
+#: Chances of 0, 1, 2, ... draws of a row in a resample of as many rows.
+DRAWS = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+
+
+def resampled_polynomials(df: DataFrame, key: str, x: str, y: str, most: int, rounds: int, seed: int) -> DataFrame:
+    """degree (1..most), bias2, variance and error of polynomials fitted to resamples, against the mean of y at each x.
+
+    A row counts in a resample as often as a hash of its key says (Poisson
+    with mean 1). Rows meet by round and x in the tasks that read them; a round
+    is then one matrix of products, in which each further degree is one more
+    sweep. The basis is Chebyshev's on the range of x, which keeps high degrees
+    apart. Null keys, x or y are left out.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    each = rows.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    u = F.pmod(F.xxhash64(F.lit(seed), "key", "round"), F.lit(1 << 40)) / float(1 << 40)
+    drawn = sum((F.when(u >= c, 1).otherwise(0) for c in DRAWS), F.lit(0)).cast("double")
+    met = each.withColumn("w", drawn).groupBy("round", "x").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"))
+    truth = rows.groupBy("x").agg(F.avg("y").alias("truth"))
+    ends = truth.agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    place = F.coalesce(2 * (F.col("x") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) - 1, F.lit(0.0))
+    basis = [F.cos(F.lit(d) * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), place)))) for d in range(most + 1)]
+    placed = met.where("w > 0").join(F.broadcast(ends))  # one row
+    root = F.sqrt("w")
+    sums = regress.products(placed, ["round"], [*[b * root for b in basis], F.col("wy") / root])
+    fits = sums.select("round", "m", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("degree"))
+    k = F.col("degree") + 1
+    fits = fits.select("round", "degree", F.slice(F.transform(regress.swept(regress.leading(F.col("m"), k), k)["m"], lambda r: F.element_at(r, -1)), F.lit(1), k).alias("coefficients"))
+    # A column passed over has no coefficient of its own: its entry is what is left of the aim, about zero.
+    at = truth.join(F.broadcast(ends)).select("x", "truth", F.array(*basis).alias("basis"))
+    value = F.aggregate(F.zip_with("coefficients", F.slice("basis", F.lit(1), k), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    told = at.join(F.broadcast(fits)).select("degree", "x", "truth", value.alias("p"))  # rounds x degrees rows
+    spread = told.groupBy("degree", "x").agg(F.avg("p").alias("m"), F.var_pop("p").alias("v"), F.max("truth").alias("t"))
+    bias = F.avg((F.col("m") - F.col("t")) ** 2)
+    return spread.groupBy("degree").agg(bias.alias("bias2"), F.avg("v").alias("variance"), (bias + F.avg("v")).alias("error"))
+
+
 def random_search(df: DataFrame, key: str, y: str, columns: Sequence[str], draws: int, k: int, seed: int) -> DataFrame:
     """draw, strength, mixing, average_precision and place of logistic models with drawn penalties, scored out of k folds.
 

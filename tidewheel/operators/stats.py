@@ -208,7 +208,8 @@ def bayes_table(df: DataFrame, y: str, columns: Sequence[str], smoothing: float
     kinds = counts.groupBy("feature").agg((F.countDistinct("level") + 1).alias("kinds"))  # and one for the unseen
     classes = df.groupBy(F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("of"))
     grid = counts.select("feature", "level").distinct().unionByName(kinds.select("feature", F.lit(None).cast("string").alias("level")))
-    cells = grid.crossJoin(F.broadcast(classes)).join(kinds, "feature")  # classes are few
+    every = classes.agg(F.collect_list(F.struct("y", "of")).alias("classes"))  # one row; classes are few
+    cells = grid.join(F.broadcast(every)).select("feature", "level", F.explode("classes").alias("c")).select("feature", "level", "c.y", "c.of").join(kinds, "feature")
     same = (F.col("y") == F.col("cy")) & (F.col("feature") == F.col("cf")) & (F.col("level") == F.col("cl"))
     named = counts.withColumnsRenamed({"y": "cy", "feature": "cf", "level": "cl"})
     found = cells.join(named, same, "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -18,6 +20,9 @@ from tidewheel.functions import ratio
 from tidewheel.operators import evaluation, ml, splits
 
 
+FITS_AT_ONCE = 4
+
+
 def rare_folded(df: DataFrame, column: str, least: float, name: str = "other") -> DataFrame:
     """The column with levels of less than the least share of rows folded into one; null is a level of its own."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
@@ -84,16 +89,17 @@ def direct_steps(series: DataFrame, group: str, time: str, y: str, lags: Sequenc
     wide = series.withColumns({f"lag_{i}": F.lag(y, i - 1).over(order).cast("double") for i in lags})
     seconds = F.unix_timestamp(F.col(time).cast("timestamp"))
     ends = series.agg(F.min(seconds).alias("_a"), F.max(seconds).alias("_b")).select((F.col("_a") + (F.col("_b") - F.col("_a")) * (1 - last)).alias("_cut"))
-    out = None
-    for step in steps:
+
+    def one_step(step: int) -> DataFrame:
         aims = wide.withColumns({"aim": F.lead(y, step).over(order).cast("double"), "aim_at": F.lead(seconds, step).over(order)})
         rows = aims.dropna(subset=["aim", *[f"lag_{i}" for i in lags]]).join(F.broadcast(ends))
         model = Pipeline(stages=[VectorAssembler(inputCols=[f"lag_{i}" for i in lags], outputCol="features"), GBTRegressor(labelCol="aim", maxIter=5, maxDepth=3, seed=seed)])
         found = model.fit(rows.where("aim_at < _cut")).transform(rows.where(seconds >= F.col("_cut")))
         one = found.agg(F.avg(F.abs(F.col("prediction") - F.col("aim"))).alias("mae"), F.avg(F.abs(F.col(y) - F.col("aim"))).alias("naive_mae"), F.count(F.lit(1)).alias("n"))
-        one = one.select(F.lit(step).cast("long").alias("step"), "mae", "naive_mae", "n")
-        out = one if out is None else out.union(one)
-    return out
+        return one.select(F.lit(step).cast("long").alias("step"), "mae", "naive_mae", "n")
+
+    with ThreadPool(FITS_AT_ONCE) as pool:  # the driver only waits; the fits share the cluster
+        return reduce(DataFrame.unionByName, pool.map(one_step, steps))
 
 
 def mixture_criteria(df: DataFrame, column: str, ks: Sequence[int], seed: int) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewheel.operators import clusters, graph, ml
+from tidewheel.operators import clusters, forest, graph, ml
 from tidewheel.plans.common import scored, tidy
+from tidewheel.sources.scratch import written
 from tidewheel.sources.tables import table
 
 # A fixed example: tasks with seconds, and their parents.
@@ -144,9 +145,32 @@ def bias_variance(spark, sf_dir):
     return ml.bias_variance(rows, "hour", "value", (1, 3), 3, 42)
 
 
+def resampled_polynomials(spark, sf_dir):
+    """Degrees 1 to 15 over 40 resamples of the values by hour of the day."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.hour("ts").alias("hour"), "value")
+    return tidy(ml.resampled_polynomials(rows, "event_id", "hour", "value", 15, 40, 42), 4)
+
+
+def isolation_forest(spark, sf_dir):
+    """Customers' orders scored by a forest that is grown on those with a balance of zero or more."""
+    per = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).cast("double").alias("n_orders"), F.avg("o_totalprice").alias("mean_price"), F.max("o_totalprice").alias("max_price"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").join(per, "c_custkey", "left").na.fill(0.0)
+    return tidy(forest.isolation_scores(rows, "c_custkey", ["n_orders", "mean_price", "max_price", "c_acctbal"], F.col("c_acctbal") >= 0).select("c_custkey", "anomaly"))
+
+
+def ward_clusters(spark, sf_dir):
+    """Ward linkage on the first eight principal components, and how far it agrees with a mixture."""
+    rows = ml.projection(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 8)
+    rows = written(rows.select("vec_id", F.array(*[f"pc{i + 1}" for i in range(8)]).alias("v")), "components")
+    both = clusters.ward(rows, "vec_id", "v", 4).join(ml.mixture_and_tree(rows, "v", 4, 42).select("vec_id", "mixture"), "vec_id")
+    both = written(both, "ward")
+    agreement = clusters.adjusted_rand(both, "ward", "mixture").select("ari")
+    return tidy(both.groupBy("ward").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(agreement)))
+
+
 NAMES = (
     "dag_levels dag_widths dag_dependents dag_cycle dag_undeclared dag_fingerprints dag_invalidation dag_critical_path dag_makespan nearest_centroid cluster_validity ari kmeans_zones k_sweep mixture_and_tree "
-    "pca_projection bootstrap_stability logistic_scores stacking model_tournament hyperparameter_search gbt_importance anomaly_scores clt_sampling bias_variance"
+    "pca_projection bootstrap_stability logistic_scores stacking model_tournament hyperparameter_search gbt_importance anomaly_scores clt_sampling bias_variance resampled_polynomials isolation_forest ward_clusters"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
 

@@ -65,7 +65,7 @@ def leak_inflation(spark, sf_dir):
 
 
 def direct_steps(spark, sf_dir):
-    return tidy(trials.direct_steps(panel_dense(spark, sf_dir), "zone", "hour_ts", "n", (1, 2, 3, 24), (1, 2, 3), 0.2, 42))
+    return tidy(trials.direct_steps(panel_dense(spark, sf_dir), "zone", "hour_ts", "n", (1, 2, 3, 24), range(1, 13), 0.2, 42))
 
 
 def mixture_criteria(spark, sf_dir):
