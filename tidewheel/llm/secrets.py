@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import keep_nothing, kept, remove, text_of, written, written_at
+from tidewheel.llm.common import keep_nothing, kept, release, remove, text_of, written, written_at
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -329,6 +329,7 @@ def _gather(batches: Iterator[pa.RecordBatch], spans: bool) -> Iterator[pa.Recor
         if ids:
             yield _gathered_batch([[None] * len(ids), [None] * len(ids), ids, bases, starts, found])
     yield _counted(counts)
+    release()
 
 
 def _gathered(docs: DataFrame, spans: bool) -> DataFrame:
@@ -413,9 +414,11 @@ def redact(text: str, prices: Prices, mark: str = "[secret]") -> str:
 
 
 def redacted(text: Column, words: list[str]) -> Column:
-    def each(texts: pd.Series) -> pd.Series:
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         prices = _prices(words)
-        return texts.map(lambda t: None if t is None else redact(t, prices))
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else redact(t, prices))
+        release()
 
     return F.pandas_udf(each, "string")(text)
 
