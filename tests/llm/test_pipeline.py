@@ -33,7 +33,7 @@ def test_stages_and_their_effects(spark, sf_dir):
 def test_run_and_registration(spark, sf_dir):
     names = __spark_entry__.queries()
     assert names["pipeline"] is corpus_pipeline.run
-    assert set(queries.QUERIES) <= set(names) and {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in queries.QUERIES}
+    assert set(queries.QUERIES) <= set(names) and {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in queries.QUERIES}
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
 
 
