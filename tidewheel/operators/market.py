@@ -120,6 +120,13 @@ def performance(df: DataFrame, ret: str, year: int = 252) -> DataFrame:
     )
 
 
+def verdict() -> Column:
+    """In words, a strategy's annual_return and sharpe against those of holding (hold_...), rounded to four digits."""
+    gain, risk = (F.round(c, 4) > F.round(f"hold_{c}", 4) for c in ("annual_return", "sharpe"))
+    unknown = F.col("sharpe").isNull() | F.col("hold_sharpe").isNull()
+    return F.when(unknown, "undecided").when(gain & risk, "better than holding").when(risk, "less return for less risk").when(gain, "more return for more risk").otherwise("worse than holding")
+
+
 def price_trap(df: DataFrame) -> DataFrame:
     """R2 of yesterday's price for the price, and of zero for the return: one impresses, the other tells."""
     rows = returns(df).withColumn("before", F.lag("close").over(order())).where("before is not null")

@@ -1,5 +1,5 @@
 """SQL twins of the named queries, for an engine that knows ANSI SQL and lists."""
 
-from tidewheel.plans import evaluations, graphs, markets, mines, panels, profiles, rollups, series, shapes, trials
+from tidewheel.plans import checks, evaluations, graphs, markets, mines, panels, profiles, reports, rollups, series, shapes, trials
 
-ORACLES = {k: q for m in (panels, profiles, evaluations, mines, markets, graphs, rollups, shapes, trials, series) for k, q in m.ORACLES.items()}
+ORACLES = {k: q for m in (panels, profiles, evaluations, mines, markets, graphs, rollups, shapes, trials, series, reports, checks) for k, q in m.ORACLES.items()}

@@ -1,5 +1,5 @@
 """All named queries over the registered tables."""
 
-from tidewheel.plans import evaluations, graphs, markets, mines, panels, profiles, rollups, series, shapes, trials
+from tidewheel.plans import checks, evaluations, graphs, markets, mines, panels, profiles, reports, rollups, series, shapes, trials
 
-QUERIES = {k: f for m in (panels, profiles, evaluations, mines, markets, graphs, rollups, shapes, trials, series) for k, f in m.QUERIES.items()}
+QUERIES = {k: f for m in (panels, profiles, evaluations, mines, markets, graphs, rollups, shapes, trials, series, reports, checks) for k, f in m.QUERIES.items()}

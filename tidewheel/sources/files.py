@@ -38,6 +38,17 @@ def tidy_header(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
+def value_column(df: DataFrame, name: str, share: float = 0.5) -> str:
+    """The column of this name, or where there is none the last one of which at least the share of filled cells are numbers."""
+    if name in df.columns:
+        return name
+    filled = df.agg(*[F.struct(F.count(c), F.count(parse_number(F.col(c).cast("string")))).alias(c) for c in df.columns]).first()
+    fit = [c for c in df.columns if filled[c][0] and filled[c][1] >= share * filled[c][0]]
+    if not fit:
+        raise KeyError(f"no column is named {name!r} and none holds numbers")
+    return fit[-1]
+
+
 def parse_time(column: Column, formats: Sequence[str]) -> Column:
     """The first format that fits; null where none does."""
     return F.coalesce(*[F.try_to_timestamp(F.trim(column), F.lit(f)) for f in formats])
