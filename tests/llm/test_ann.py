@@ -105,3 +105,16 @@ def test_recall_on_the_tables(spark, folder):
     for r in queries.op10_ann(spark, where).collect():
         found.setdefault(r["query_id"], set()).add((r["score"], r["vec_id"]))
     assert sum(len(found[q] & set(want[q])) for q in want) >= 0.9 * 10 * len(want)
+
+
+@pytest.mark.parametrize("k", [10, 40])
+def test_queries_whose_parts_hold_too_few_are_widened(spark, k):
+    """Parts of some twenty vectors: every query has k neighbours, or all other rows where there are fewer."""
+    rng = np.random.default_rng(8)
+    tiny = ann.Settings(sample=200, part=8, leaf=10, queries=7, epochs=5, recall=0.01, least=1)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(250)]
+    found, want = search(spark, rows, tiny, k), slow(rows, lambda i: i % 10 == 0, k)
+    assert found.keys() == want.keys() and all(len(v) == k for v in found.values())
+    assert k == 10 or {q: [i for _, i in v] for q, v in found.items()} == {q: [i for _, i in v] for q, v in want.items()}
+    few = search(spark, rows[:21], tiny, 40)
+    assert all(len(v) == 20 for v in few.values()) and len(few) == 3

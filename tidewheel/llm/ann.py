@@ -336,21 +336,46 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, s: Settings = Setti
     index = once.withColumn("least", least).where(F.col("least") <= k + 1).drop("least").withColumn("asks", F.lit(False))
     points = index.unionByName(once.where("asks")).select(*once.columns, F.lit(0).cast("long").alias("node"), F.lit(False).alias("done"))
     points = partition(points, s)
-    remove(points.sparkSession, path)
-    leaves = points.groupBy("node").agg(F.count_if(~F.col("asks")).alias("n"), F.count_if("asks").alias("q")).where("n > 0 and q > 0")
+    index, asked = points.where("not asks"), points.where("asks")
+    found, _ = written_at(_nearest(index, asked, k, s), "ann-found")
+    short = _short(once, found, k)
+    if short.isEmpty():
+        remove(points.sparkSession, path)
+        return found.drop("mark")
+    # A query whose parts hold too few goes to all parts, in the same blocks.
+    parts = index.select("node").distinct().agg(F.collect_list("node").alias("nodes"))
+    again = short.join(F.broadcast(parts)).select("id", "mark", "times", F.lit(True).alias("asks"), "embedding", F.explode("nodes").alias("node"), F.lit(True).alias("done"))
+    wide = _nearest(index, again.select(*index.columns), k, s)
+    gone = short.select(F.col("id").alias("query_id"), "mark")
+    return found.join(gone, ["query_id", "mark"], "left_anti").unionByName(wide.select(*found.columns)).drop("mark")
+
+
+def _short(once: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """The asking vectors that have fewer than k neighbours though there are more rows of other ids."""
+    of_ids = once.groupBy("id").agg(F.sum("times").alias("own"))
+    total = once.agg(F.sum("times").alias("total"))
+    counts = found.groupBy(F.col("query_id").alias("id"), "mark").agg(F.count(F.lit(1)).alias("n"))
+    rows = once.where("asks").join(counts, ["id", "mark"], "left").where(F.coalesce("n", F.lit(0)) < k)
+    rows = rows.join(of_ids, "id").join(F.broadcast(total))  # one row
+    return rows.where(F.coalesce("n", F.lit(0)) < F.least(F.lit(k), F.col("total") - F.col("own"))).select("id", "mark", "times", "embedding")
+
+
+def _nearest(index: DataFrame, asked: DataFrame, k: int, s: Settings) -> DataFrame:
+    """query_id, mark, rank, vec_id, score, scanned: for each asking vector the nearest of the index in the parts that it is in."""
+    held = index.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    leaves = held.join(asked.groupBy("node").agg(F.count(F.lit(1)).alias("q")), "node")
 
     def groups(of: str, size: int) -> Column:
         return F.greatest(F.ceil(F.col(of) / size), F.lit(1)).cast("long")
 
     leaves = leaves.select("node", groups("n", 2 * s.leaf).alias("shards"), groups("q", s.queries).alias("desks"))
-    met_by = points.join(leaves, "node")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("desks") - 1)).alias("desk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard")
     dealt = F.xxhash64("id", "mark", F.lit(s.seed))
-    candidates = met_by.where("not asks").select("node", F.pmod(dealt, F.col("shards")).alias("shard"), every[0], "id", "times", "embedding")
-    visits = met_by.where("asks").select("node", every[1], F.pmod(dealt, F.col("desks")).alias("desk"), "id", "mark", "embedding")
+    candidates = index.join(leaves, "node").select("node", F.pmod(dealt, F.col("shards")).alias("shard"), every[0], "id", "times", "embedding")
+    visits = asked.join(leaves, "node").select("node", every[1], F.pmod(dealt, F.col("desks")).alias("desk"), "id", "mark", "embedding")
     keys = ["node", "shard", "desk"]
     visits = visits.toDF(*visits.columns)  # columns of its own, as both sides come from one table
     met = candidates.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInArrow(_meet(k), NEAREST)
     mine = W.partitionBy("query_id", "mark")
     ranked = met.withColumn("scanned", F.sum("met").over(mine)).withColumn("rank", F.row_number().over(mine.orderBy("score", "vec_id")).cast("int"))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "scanned")
+    return ranked.where(F.col("rank") <= k).select("query_id", "mark", "rank", "vec_id", "score", "scanned")
