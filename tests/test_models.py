@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.operators import clusters, forest, ml, regress, similarity, stats
+from tidewheel.operators import clusters, forest, ml, regress, search, similarity, stats
 
 rng = np.random.default_rng(3)
 
@@ -135,3 +135,23 @@ def test_hash_family_keeps_to_the_law():
 def test_products_by_nothing(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, None)], "a double, b double")
     assert regress.products(df, [], [F.col("a"), F.col("b")]).first()["m"] == [[10.0, 2.0], [2.0, 4.0]]
+
+
+def test_search_over_families(spark):
+    rows = [(i, int(rng.random() < (0.8 if i % 4 == 0 else 0.1)), float(i % 4 == 0) + float(rng.normal()) * 0.1, ["p", "q", None][i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, y int, a double, c string")
+    found, model = search.search(df, "k", "y", ["a"], ["c"], draws=2, k=2, seed=3, families=("logistic", "bayes"))
+    table = found.orderBy("place").collect()
+    assert [r["place"] for r in table] == [1, 2, 3] and {r["family"] for r in table} == {"logistic", "bayes"}
+    assert all(0 < r["average_precision"] <= 1 for r in table) and table[0]["average_precision"] > 0.5
+    assert model.transform(df).where("prediction = 1").count() > 30  # the winner is fitted to all rows
+    again, _ = search.search(df, "k", "y", ["a"], ["c"], draws=2, k=2, seed=3, families=("logistic", "bayes"))
+    assert [r["setting"] for r in again.orderBy("place").collect()] == [r["setting"] for r in table]
+
+
+def test_exported_coefficients_score_alike(spark):
+    rows = [(i, int(rng.random() < 1 / (1 + math.exp(-x))), float(x), None if i % 7 == 0 else float(rng.normal()), 1.0) for i, x in enumerate(rng.normal(size=200))]
+    df = spark.createDataFrame(rows, "k long, y int, a double, b double, flat double")
+    table, model = search.logistic_table(df, "y", ["a", "b", "flat"])
+    want = {r["k"]: float(r["probability"][1]) for r in model.transform(df).collect()}
+    assert {r["k"]: r["probability"] for r in search.table_scores(df, "k", ["a", "b", "flat"], table).collect()} == pytest.approx(want, abs=1e-9)

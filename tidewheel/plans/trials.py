@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewheel.operators import fairness, ml, profile, stats, trials
+from tidewheel.operators import fairness, ml, profile, search, stats, trials
 from tidewheel.plans.common import SCORED, scored, tidy
 from tidewheel.plans.evaluations import LEAST_GROUP
 from tidewheel.plans.panels import panel_dense
@@ -95,7 +95,20 @@ def categorical_bayes(spark, sf_dir):
     return tidy(found.select(F.col("key").alias("doc_id"), F.col("y").alias("toxic"), "probability"))
 
 
-NAMES = "bayes_model categorical_bayes rare_levels false_positive_gap findings_rollup blind_audit reweighting_ablation leak_inflation direct_steps mixture_criteria".split()
+def family_search(spark, sf_dir):
+    """Twelve settings of each of four families over four folds, on numbers and categories."""
+    rows = scored(spark, sf_dir).select("doc_id", "toxic", "quality", "n_chars", "lang", "source")
+    return tidy(search.search(rows, "doc_id", "toxic", ["quality", "n_chars"], ["lang", "source"], 12, 4, 42)[0])
+
+
+def table_scores(spark, sf_dir):
+    """A logistic model's chances by a join with its exported coefficients."""
+    rows = scored(spark, sf_dir).select("doc_id", "toxic", "quality", "n_chars", "score")
+    columns = ["quality", "n_chars", "score"]
+    return tidy(search.table_scores(rows, "doc_id", columns, search.logistic_table(rows, "toxic", columns)[0]))
+
+
+NAMES = "family_search table_scores bayes_model categorical_bayes rare_levels false_positive_gap findings_rollup blind_audit reweighting_ablation leak_inflation direct_steps mixture_criteria".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 NULLS = " UNION ALL ".join(f"SELECT count(*) FILTER ({c} IS NULL) AS n_null, count(*) AS n_rows FROM {t}" for t in TABLES for c in SCHEMAS[t].names)
