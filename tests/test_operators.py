@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
-from tidewheel.operators import evaluation, fairness, forecast, graph, guard, market, mining, panel, profile, similarity, splits, stats, trials
+from tidewheel.operators import clusters, evaluation, fairness, forecast, graph, guard, market, mining, ml, panel, profile, similarity, splits, stats, trials
 from tidewheel.plans import graphs, markets
 from tidewheel.sources import files, tables
 
@@ -334,3 +334,42 @@ def test_direct_steps_learn_a_cycle(spark):
     rows = spark.range(240).select(F.lit("a").alias("z"), F.timestamp_seconds(F.col("id") * 3600).alias("t"), (F.col("id") % 4).alias("n"))
     found = {r["step"]: r for r in trials.direct_steps(rows, "z", "t", "n", (1, 2), (1, 2), 0.25, 1).collect()}
     assert all(r["mae"] < 0.2 < r["naive_mae"] for r in found.values())
+
+
+def test_digests_are_kept_as_first_seen(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one")
+    record = str(tmp_path / "record")
+    assert files.first_seen(spark, str(tmp_path / "in"), record).first()["matches"] is None
+    (tmp_path / "in" / "b.txt").write_text("two")
+    assert {r["name"]: r["matches"] for r in files.first_seen(spark, str(tmp_path / "in"), record).collect()} == {"a.txt": True, "b.txt": None}
+    (tmp_path / "in" / "a.txt").write_text("changed")
+    assert {r["name"]: r["matches"] for r in files.first_seen(spark, str(tmp_path / "in"), record).collect()} == {"a.txt": False, "b.txt": True}
+
+
+def test_tables_have_their_declared_types(spark, tmp_path):
+    spark.createDataFrame([(1, "x", 2)], "r_regionkey long, r_name string, more int").write.parquet(str(tmp_path / "region.parquet"))
+    assert dict(tables.table(spark, str(tmp_path), "region").dtypes) == {"r_regionkey": "int", "r_name": "string", "more": "int"}
+    spark.createDataFrame([(1,)], "n_nationkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    with pytest.raises(KeyError):
+        tables.table(spark, str(tmp_path), "nation")
+
+
+def test_value_column_falls_back(spark):
+    df = spark.createDataFrame([("a", "1", "2.5"), ("b", "x", "3")], "name string, mixed string, amount string")
+    assert files.value_column(df, "mixed") == "mixed" and files.value_column(df, "gone", 0.9) == "amount"
+    with pytest.raises(KeyError):
+        files.value_column(df.select("name"), "gone")
+
+
+def test_silhouette_by_hand(spark):
+    x = [([0.0, 0.0], 0), ([0.0, 1.0], 0), ([5.0, 5.0], 1), ([6.0, 5.0], 1), ([5.0, 7.0], 1)]
+    df = ml.vectors(spark.createDataFrame(x, "v array<double>, zone int"), "v")
+    far = lambda a, b: sum((p - q) ** 2 for p, q in zip(a, b, strict=True))
+    each = []
+    for i, (v, z) in enumerate(x):
+        own = [far(v, w) for j, (w, y) in enumerate(x) if y == z and j != i]
+        other = [far(v, w) for w, y in x if y != z]
+        a, b = sum(own) / len(own), sum(other) / len(other)
+        each.append((b - a) / max(a, b))
+    assert clusters.silhouette(df, "features", "zone") == pytest.approx(sum(each) / len(each))

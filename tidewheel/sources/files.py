@@ -78,6 +78,24 @@ def verify_digests(spark: SparkSession, path: str, manifest: DataFrame) -> DataF
     return files.join(manifest, "name", "left").select("name", "bytes", "found", (F.col("found") == F.col("sha256")).alias("matches"))
 
 
+def first_seen(spark: SparkSession, path: str, record: str) -> DataFrame:
+    """Files under path as verify_digests tells them against the record, a table of digests first seen; new files are added to it.
+
+    Of files recorded more than once the earliest record counts, so a file
+    that changes and comes back is told from its first state.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(record)
+    known = "name string, sha256 string, seen timestamp"
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    rows = spark.read.schema(known).parquet(record) if there else spark.createDataFrame([], known)
+    first = rows.groupBy("name").agg(F.min_by("sha256", "seen").alias("sha256"))
+    found = verify_digests(spark, path, first)
+    new = found.where(F.col("matches").isNull()).select("name", F.col("found").alias("sha256"), F.current_timestamp().alias("seen"))
+    told = [tuple(r) for r in found.collect()]  # a folder's files, told before the record grows
+    new.write.mode("append").parquet(record)
+    return spark.createDataFrame(told, found.schema)
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """JSON documents, one or more a file; unreadable ones keep their text in _corrupt_record where the schema is inferred."""
     reader = spark.read.option("multiLine", True)

@@ -33,7 +33,14 @@ SCHEMAS: dict[str, T.StructType] = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A registered table; an unknown name raises KeyError."""
+    """A registered table with the types that it is declared with; an unknown name, or a declared column that is not there, raises KeyError.
+
+    Columns beside the declared ones are kept as they are.
+    """
     if name not in SCHEMAS:
         raise KeyError(f"no table is registered as {name!r}")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    kinds = {f.name: f.dataType for f in found.schema}
+    if missing := set(SCHEMAS[name].names) - set(kinds):
+        raise KeyError(f"{name} has no columns named {sorted(missing)}")
+    return found.withColumns({f.name: found[f.name].cast(f.dataType) for f in SCHEMAS[name] if kinds[f.name].simpleString() != f.dataType.simpleString()})
