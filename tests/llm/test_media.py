@@ -74,3 +74,34 @@ def test_table(docs_of):
     assert all(len(v) == 1 for v in by_text.values())
     assert hashlib.sha256(media.pad(b"")).hexdigest() in by_text
     assert media.store_and_read(docs_of(ODD).where(F.lit(False))).count() == 0
+
+
+def slow_hash(samples, width=96):
+    """The cosine hash by its definition: means of 32 x 32 cells (or nearest samples where there are fewer rows), a cosine sum a frequency, bits over the median."""
+    rows = [samples[i : i + width] for i in range(0, len(samples), width)]
+    n = len(rows)
+
+    def cells(count):
+        return [range(k * count // 32, (k + 1) * count // 32) if count >= 32 else [k * count // 32] for k in range(32)]
+
+    small = [[sum(sum(rows[i][j] for i in down) / len(down) for j in across) / len(across) for across in cells(width)] for down in cells(n)]
+    wave = [[np.cos(np.pi * k * (2 * i + 1) / 64) for i in range(32)] for k in range(8)]
+    low = [round(float(sum(wave[a][i] * sum(wave[b][j] * small[i][j] for j in range(32)) for i in range(32))), 6) for a in range(8) for b in range(8)]
+    middle = sorted(low[1:])[31]
+    bits = "".join("01"[v > middle] for v in low[1:])
+    return f"{int('0' + bits, 2):016x}"
+
+
+def test_every_column_by_hand(docs_of):
+    texts = [t for _, t in ODD if t is None or len(t) < 1000] + ["rows of text " * 300, "ü" * 577, "x" * 576]
+    docs = docs_of(list(enumerate(texts)))
+    stored = {r["doc_id"]: bytes(r["media"]) for r in media.to_media(docs).collect()}
+    rows = {r["doc_id"]: r for r in media.store_and_read(docs).collect()}
+    assert set(rows) == set(range(len(texts)))
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        r = rows[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored[i]), hashlib.sha256(stored[i]).hexdigest())
+        assert r["feature"] == slow_hash(payload)
