@@ -52,7 +52,7 @@ def histogram_record(spark, sf_dir):
 
     one = profile.histogram(prices, "o_totalprice", 20).groupBy().agg(bins.alias("b"))
     text = one.select(
-        joined(lambda x: F.format_string("%.2f", x["edge_low"])).alias("edges"), joined(lambda x: F.format_string("%.2f", (x["edge_low"] + x["edge_high"]) / 2)).alias("centres"), joined(lambda x: x["n"].cast("string")).alias("counts")
+        joined(lambda x: F.format_string("%.6f", x["edge_low"])).alias("edges"), joined(lambda x: F.format_string("%.6f", (x["edge_low"] + x["edge_high"]) / 2)).alias("centres"), joined(lambda x: x["n"].cast("string")).alias("counts")
     )
     stats = prices.agg(F.count("o_totalprice").alias("n"), F.avg("o_totalprice").alias("mean"), F.stddev_pop("o_totalprice").alias("std"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
     return tidy(text.join(F.broadcast(stats)), 4)
@@ -178,7 +178,7 @@ FROM (SELECT *, CASE WHEN share >= 0.05::DOUBLE THEN 0 WHEN share >= 0.01::DOUBL
     "histogram_record": """WITH e AS (SELECT min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders), b AS (SELECT unnest(range(20)) AS bin),
 c AS (SELECT greatest(0, least(floor((o_totalprice - low) / (high - low) * 20), 19))::BIGINT AS bin, count(*) AS n FROM orders, e GROUP BY 1),
 h AS (SELECT bin, low + bin * ((high - low) / 20) AS a, low + (bin + 1) * ((high - low) / 20) AS z, coalesce(n, 0) AS n FROM b CROSS JOIN e LEFT JOIN c USING (bin))
-SELECT (SELECT string_agg(printf('%.2f', a), ',' ORDER BY bin) FROM h) AS edges, (SELECT string_agg(printf('%.2f', (a + z) / 2), ',' ORDER BY bin) FROM h) AS centres, (SELECT string_agg(n::VARCHAR, ',' ORDER BY bin) FROM h) AS counts,
+SELECT (SELECT string_agg(printf('%.6f', a), ',' ORDER BY bin) FROM h) AS edges, (SELECT string_agg(printf('%.6f', (a + z) / 2), ',' ORDER BY bin) FROM h) AS centres, (SELECT string_agg(n::VARCHAR, ',' ORDER BY bin) FROM h) AS counts,
 count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_pop(o_totalprice), 4) AS std, round(min(o_totalprice), 4) AS low, round(max(o_totalprice), 4) AS high FROM orders""",
     "basket_sparsity": f"WITH {mines.ROWS}, z AS (SELECT basket, count(*) AS n FROM b GROUP BY 1) SELECT count(*) AS n_baskets, (SELECT count(DISTINCT item) FROM b) AS n_items, sum(n)::BIGINT AS n_held, round(avg((n = 1)::INT), 6) AS single_share, round(1 - sum(n) / (count(*) * (SELECT count(DISTINCT item) FROM b)), 6) AS sparsity FROM z",
     "monthly_mean": "SELECT date_trunc('month', o_orderdate)::DATE AS month, round(avg(o_totalprice), 4) AS mean_price FROM orders GROUP BY 1",
