@@ -98,7 +98,7 @@ def categorical_bayes(spark, sf_dir):
 def family_search(spark, sf_dir):
     """Twelve settings of each of four families over four folds, on numbers and categories."""
     rows = scored(spark, sf_dir).select("doc_id", "toxic", "quality", "n_chars", "lang", "source")
-    return tidy(search.search(rows, "doc_id", "toxic", ["quality", "n_chars"], ["lang", "source"], 12, 4, 42)[0])
+    return tidy(search.search(rows, "doc_id", "toxic", ["quality", "n_chars"], ["lang", "source"], 12, 4, 42, parallelism=8)[0])
 
 
 def table_scores(spark, sf_dir):
