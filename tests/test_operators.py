@@ -296,6 +296,10 @@ def test_cycles_are_found_and_refused(spark):
     with pytest.raises(ValueError):
         graph.levels(nodes, looped)
     assert graph.cycles(edges.where("child = 'd'")).count() == 0
+    ring = spark.createDataFrame([(f"n{(i + 1) % 6}", f"n{i}") for i in range(6)], "child string, parent string")
+    assert [r["path"] for r in graph.cycles(ring, most=6).collect()] == ["n0>n1>n2>n3>n4>n5>n0"]
+    with pytest.raises(Exception, match="more than 5 tasks"):
+        graph.cycles(ring, most=5).collect()
 
 
 def test_json_files_and_leaks(spark, tmp_path):

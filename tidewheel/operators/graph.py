@@ -88,13 +88,18 @@ def _core(edges: DataFrame) -> DataFrame:
 
 
 def cycles(edges: DataFrame, most: int = 64) -> DataFrame:
-    """path: each cycle once, from its smallest node; paths are followed as far as they do not repeat, only among edges that may lie on a cycle."""
+    """path: each cycle once, from its smallest node; paths are followed as far as they do not repeat, only among edges that may lie on a cycle.
+
+    A path of more than most tasks that is still open is an error when the
+    result is computed, so no cycle goes missing.
+    """
     walk = (
         "WITH RECURSIVE walk(start, name, path, closed) AS (SELECT parent, child, array(parent, child), parent = child FROM {edges} "
         "UNION ALL SELECT w.start, e.child, array_append(w.path, e.child), e.child = w.start FROM walk w JOIN {edges} e ON e.parent = w.name "
         f"WHERE NOT w.closed AND size(w.path) <= {most} AND e.child >= w.start AND (e.child = w.start OR NOT array_contains(w.path, e.child)))"
     )
-    found = edges.sparkSession.sql(walk + " SELECT path FROM walk WHERE closed AND start = array_min(path)", edges=_core(edges))
+    told = f"if(closed, path, raise_error('a path among cycles has more than {most} tasks'))"
+    found = edges.sparkSession.sql(walk + f" SELECT {told} AS path FROM walk WHERE closed AND start = array_min(path) OR NOT closed AND size(path) > {most}", edges=_core(edges))
     return found.select(F.array_join("path", ">").alias("path")).distinct()
 
 
