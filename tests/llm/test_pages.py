@@ -225,3 +225,31 @@ def test_repeats_decide_what_names_only_suggest(spark):
     found = html_text.main_text(make(spark, rows))
     assert texts(found) == {i: f"Start {i}.\nCase {i} was closed.\nEnd." for i in range(3)} | {10 + i: f"Page {i} stands in a wrapper of the site and keeps its words." for i in range(3)}
     assert all(r["by_repeats"] and r["n_covered"] > 0 for r in found.collect())
+
+
+@pytest.mark.parametrize("tokens", [1 << 19, 1])
+def test_every_page_meets_the_suffix_arrays(spark, monkeypatch, tokens):
+    """Repeats outside articles are found on pages that mark theirs too; articles stay whole, and marks drop what is unique."""
+    monkeypatch.setattr(html_text, "SHARD_TOKENS", tokens)
+    menu, passage = "<nav>the menu of this host has nine words here</nav>", "<p>a passage of nine words that all articles share</p>"
+    rows = [(i, f"http://h.example/{i}", f"{menu}<article><p>Text {i}.</p>{passage}</article><footer>{c} own words</footer>") for i, c in enumerate("abc")]
+    rows += [(7, "http://h.example/7", rows[0][2]), (8, "http://alone.example/", rows[0][2])]
+    found = {r["page_id"]: r for r in html_text.main_text(make(spark, rows)).collect()}
+    for i, r in found.items():
+        assert r["text"] == f"Text {i if i < 3 else 0}.\na passage of nine words that all articles share"
+        assert (r["by_repeats"], r["n_covered"], r["n_named"]) == ((False, 0, 12) if i == 8 else (True, 9, 3))
+
+
+@pytest.mark.parametrize("tokens", [1 << 19, 2000])
+def test_repeats_of_the_table_equal_brute_force(spark, sf_dir, monkeypatch, tokens):
+    monkeypatch.setattr(html_text, "SHARD_TOKENS", tokens)
+    k, pages, owners = html_text.LEAST_RUN, {}, {}
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        outside = [w for p, t in html_text.blocks(r["html"] or "") if p != html_text.ARTICLE for w in t.split(" ")]
+        pages[r["page_id"]] = [(slow_judge(r["url"])[0], *outside[i : i + k]) for i in range(len(outside) - k + 1)], len(outside)
+        for window in pages[r["page_id"]][0]:
+            owners.setdefault(window, set()).add(r["html"])
+    want = {i: len({at + j for at, w in enumerate(windows) if len(owners[w]) > 1 for j in range(k)}) for i, (windows, _) in pages.items()}
+    found = queries.op8_html_text(spark, sf_dir).collect()
+    assert {r["page_id"]: r["n_covered"] for r in found} == want and sum(want.values()) > 0
+    assert all(r["n_named"] == pages[r["page_id"]][1] - r["n_covered"] for r in found)  # all pages of the table mark their articles

@@ -1,4 +1,4 @@
-"""Main text of web pages, with boilerplate found by structure and by host suffix arrays.
+"""Main text of web pages, with boilerplate found by host suffix arrays and held against the marks of the page.
 
 A page is cut into blocks by its block elements. Blocks lie in the article
 (article or main elements, or elements whose class, id or role says so),
@@ -6,36 +6,38 @@ in boilerplate (menus, headers, footers, sidebars, notices, adverts, forms,
 comments by element, class, id or role), or in neither. Scripts, styles, markup
 comments and the head are never text.
 
-A page that marks its article is settled: its text is that article, whole, for
-articles may share passages. What a class name only suggests is left open:
-blocks of an article under a doubtful name (DOUBTFUL), and articles inside an
-element whose class names boilerplate, where the page has no other article (a
-form around an article is no mark at all). Of a page without an article
-structure leaves open what the blocks outside boilerplate are. Whatever is
-open the suffix arrays of the host decide: the
-token streams of all blocks outside articles of the host's distinct pages are
-concatenated, their suffixes are ordered in full, and for each the longest
-prefix is measured that a page of another copy group has too. Blocks that lie
-whole in such repeats of LEAST_RUN tokens or more are boilerplate, and so are
-stretches of LEAST_RUN or more inside a block; all else stays, as unique runs
-of any length. (A repeat often reaches from one block some words into the
-next, where sentences begin alike; these words stay.) Blocks inside articles
-go whole or not at all.
-
-Pages are parsed once and written. Only blocks outside articles, of hosts that
-have an open page, are shuffled, once for each group of equal pages. A host of
-more than SHARD_TOKENS tokens is dealt into shards by a hash of its pages, so
-that no task holds an unbounded host. What repeats across its shards is found
-by digests (128 bits of host and words) of all windows of LEAST_RUN tokens:
-those that two copy groups share go back to the pages that hold them. A token
-lies in a repeat of LEAST_RUN or more if and only if it lies in such a window,
-so the result does not depend on the shards.
+Every page meets the suffix arrays of its host: the token streams of all blocks
+outside articles of the host's distinct pages are concatenated, their suffixes
+are ordered in full, and for each the longest prefix is measured that a page of
+another copy group has too. Blocks that lie whole in such repeats of LEAST_RUN
+tokens or more are boilerplate, and so are stretches of LEAST_RUN or more
+inside a block that neither article nor boilerplate marks; unique runs of any
+length stay. (A repeat often reaches from one block some words into the next,
+where sentences begin alike; these words stay.)
+
+What repeats leave is then held against the marks. Blocks that the page marks
+as boilerplate go, though no other page has them, and in a page with an article
+all that lies outside it. Text that is marked as article is kept whole, for
+articles may share passages, so it is in no stream. What a class name only
+suggests repeats alone decide: blocks of an article under a doubtful name
+(DOUBTFUL), and articles inside an element whose class names boilerplate, where
+the page has no other article (a form around an article is no mark at all);
+these go whole or not at all.
+
+Pages are shuffled once, with their articles, by host. A host of more than
+SHARD_TOKENS tokens, taken at BYTES each, is dealt into shards by a hash
+of its pages, so that no task holds an unbounded host. What repeats across its
+shards is found by digests (128 bits of host and words) of all windows of
+LEAST_RUN tokens, for which the pages of such hosts are parsed once more: those
+that two copy groups share go to the shards that hold them. A token lies in a
+repeat of LEAST_RUN or more if and only if it lies in such a window, so the
+result does not depend on the shards.
 
 Markup is read in one pass whose work grows with the page, however broken: a
 tag without end is text, an open comment or script takes the rest, and from a
 tag on whose quotes never close, quotes no longer hide the end of a tag.
 
-Cases: null html is empty; an open page without unique tokens has empty text;
+Cases: null html is empty; a page that marks nothing and has no unique tokens has empty text;
 null urls share the empty host; equal pages are distinct rows, and copies of a
 page are no evidence against each other; very long pages are parsed whole; an
 empty table gives an empty result; other columns are not read.
@@ -46,6 +48,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -58,8 +61,10 @@ from tidewheel.llm.common import keep_nothing, written
 
 LEAST_RUN = 8
 SHARD_TOKENS = 1 << 19
-#: Hosts with open pages that are sent to all tasks; more meet their pages in a shuffle. A host has 253 characters at most.
-FEW_HOSTS = 1 << 15
+#: Bytes of a page that count as a token outside articles: tokens have two or more, with the space, but most are tags and articles. Only the size of shards depends on it.
+BYTES = 4
+#: Bytes that a page without any counts as.
+ROW = 64
 #: Characters of markup whose blocks are handed on at once.
 PORTION = 4 << 20
 
@@ -338,38 +343,48 @@ def unique_runs(words: list[str], cover: np.ndarray) -> list[str]:
     return left + words[at:]
 
 
-#: places and outside hold the blocks outside articles and those in doubt, before how many blocks of the article precede each; settled pages are not open.
-PARSED = "page_id long, url string, host string, open boolean, main array<string>, places array<int>, outside array<string>, before array<int>, n_outside long, copy binary"
-PARSED_TYPES = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int64(), pa.binary()]
-DECIDED = "host string, copy binary, text string, n_covered long"
+#: main is the article, compressed as it is shuffled; places and outside hold the blocks outside articles and those in doubt, before how many blocks of the article precede each.
+PARSED = "page_id long, url string, host string, shard long, main binary, places array<int>, outside array<string>, before array<int>, copy binary"
+PARSED_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary()]
+WINDOWS = "host string, shard long, copy long, digest binary"
+DECIDED = "page_id long, url string, text string, n_covered long, n_named long"
+DECIDED_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _page(markup: str) -> tuple[list[str], list[int], list[str], list[int], bytes]:
+    """The blocks of the article, and what PARSED says of the page: places, outside, before and copy."""
+    found = blocks(markup)
+    main = [t for p, t in found if p == ARTICLE]
+    marked = bool(main) or any(p == DOUBT for p, _ in found)
+    places, outside, before, seen = [], [], [], 0
+    for p, t in found:
+        if p == ARTICLE:
+            seen += 1
+            continue
+        # In a page that has an article what lies outside, in whatever wrapper, is no text.
+        places.append(BOILERPLATE if marked and p != DOUBT else p)
+        outside.append(t)
+        before.append(seen)
+    copy = hashlib.blake2b(repr((main, places, outside, before)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return main, places, outside, before, copy
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keep_nothing()
-    names = [c.split()[0] for c in PARSED.split(", ")]
     for batch in batches:
         rows: list[tuple] = []
         size = 0
         for i in range(batch.num_rows):
-            page_id, url, host, markup = (column[i].as_py() for column in batch.columns)
-            found = blocks(markup)
-            main = [t for p, t in found if p == ARTICLE]
-            marked = bool(main) or any(p == DOUBT for p, _ in found)
-            places, outside, before, seen = [], [], [], 0
-            for p, t in found:
-                if p == ARTICLE:
-                    seen += 1
-                    continue
-                # In a page that has an article what lies outside, in whatever wrapper, is no text.
-                places.append(BOILERPLATE if marked and p != DOUBT else p)
-                outside.append(t)
-                before.append(seen)
-            is_open = not marked or DOUBT in places
-            copy = hashlib.blake2b(repr((main, places, outside, before)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            rows.append((page_id, url, host, is_open, main, places, outside, before, sum(t.count(" ") + 1 for t in outside), copy))
+            page_id, url, host, shard, markup = (column[i].as_py() for column in batch.columns)
+            main, *rest = _page(markup)
+            rows.append((page_id, url, host, shard, zlib.compress("\n".join(main).encode(), 1), *rest))
             size += len(markup)
             if size >= PORTION or i == batch.num_rows - 1:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), PARSED_TYPES, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), PARSED_TYPES, strict=True)], _names(PARSED))
                 rows, size = [], 0
 
 
@@ -387,67 +402,82 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct windows of each page, in bounded batches."""
     keep_nothing()
     for batch in batches:
-        for host, copy, outside in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for i in range(batch.num_rows):
+            host, shard, markup = (column[i].as_py() for column in batch.columns)
+            _, _, outside, _, copy = _page(markup)
             found = list(dict.fromkeys(_digests(host, _tokens(outside))))
+            owner = int.from_bytes(copy[:8], "little", signed=True)
             for low in range(0, len(found), 1 << 16):
                 part = found[low : low + (1 << 16)]
-                columns = [pa.array([host] * len(part), type=pa.string()), pa.array([copy] * len(part), type=pa.binary()), pa.array(part, type=pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["host", "copy", "digest"])
+                n = len(part)
+                columns = [pa.array([host] * n, type=pa.string()), pa.array([shard] * n, type=pa.int64()), pa.array([owner] * n, type=pa.int64()), pa.array(part, type=pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, _names(WINDOWS))
+
+
+def _fate(page: dict, cover: np.ndarray) -> tuple[str, int, int]:
+    """The text that repeats leave and marks allow, the tokens that repeat, and those that marks alone drop."""
+    text = zlib.decompress(page["main"]).decode()
+    main = text.split("\n") if text else []  # blocks are not empty and hold no line feed
+    kept, at, put, named = [], 0, 0, 0
+    for place, block, before in zip(page["places"], page["outside"], page["before"], strict=True):
+        words = block.split(" ")
+        own = cover[at : at + len(words)]
+        at += len(words)
+        left = unique_runs(words, own) if place == OPEN else [] if own.all() else words
+        if place == BOILERPLATE:
+            named += int((~own).sum())
+            left = []
+        if left:
+            kept += [*main[put:before], " ".join(left)]
+            put = before
+    kept += main[put:]
+    return "\n".join(kept), int(cover.sum()), named
+
+
+def _decide(group: pa.Table, repeats: pa.Table) -> pa.Table:
+    """The text of each page of a shard, from the suffix array of the shard's distinct pages and what other shards repeat."""
+    rows = group.to_pylist()
+    distinct = {r["copy"]: r for r in rows}
+    tokens = [_tokens(r["outside"]) for r in distinct.values()]
+    repeated = set(repeats["digest"].to_pylist())
+    fates = {}
+    for (copy, r), page, cover in zip(distinct.items(), tokens, covered(tokens, list(range(len(tokens)))), strict=True):
+        for i, digest in enumerate(_digests(r["host"], page) if repeated else []):
+            if digest in repeated:
+                cover[i : i + LEAST_RUN] = True
+        fates[copy] = _fate(r, cover)
+    columns = list(zip(*[(r["page_id"], r["url"], *fates[r["copy"]]) for r in rows], strict=True)) or [[]] * len(DECIDED_TYPES)
+    return pa.table({c: pa.array(v, type=t) for c, v, t in zip(_names(DECIDED), columns, DECIDED_TYPES, strict=True)})
 
 
-def _decide(group: pa.Table) -> pa.Table:
-    """The text of each open page of a shard, from the suffix array of the shard and what other shards repeat."""
-    rows = group.to_pylist()
-    tokens = [_tokens(r["outside"]) for r in rows]
-    out = []
-    for r, page, cover in zip(rows, tokens, covered(tokens, list(range(len(rows)))), strict=True):
-        if not r["open"]:
-            continue
-        if r["repeats"]:
-            repeats = set(r["repeats"])
-            for i, digest in enumerate(_digests(r["host"], page)):
-                if digest in repeats:
-                    cover[i : i + LEAST_RUN] = True
-        kept, at, put = [], 0, 0
-        for place, block, before in zip(r["places"], r["outside"], r["before"], strict=True):
-            words = block.split(" ")
-            own = cover[at : at + len(words)]
-            at += len(words)
-            left = unique_runs(words, own) if place == OPEN else words if place in (WRAPPED, DOUBT) and not own.all() else []
-            if left:
-                kept += [*r["main"][put:before], " ".join(left)]
-                put = before
-        kept += r["main"][put:]
-        out.append((r["host"], r["copy"], "\n".join(kept), int(cover.sum())))
-    columns = list(zip(*out, strict=True)) or [[]] * 4
-    types = [pa.string(), pa.binary(), pa.string(), pa.int64()]
-    return pa.table({c.split()[0]: pa.array(v, type=t) for c, v, t in zip(DECIDED.split(", "), columns, types, strict=True)})
-
-
-def _decided(parsed: DataFrame) -> DataFrame:
-    """The text of each distinct open page (host, copy), by suffix arrays over its host."""
-    hosts = written(parsed.where("open").select("host").distinct(), "html-hosts")
-    few = hosts.count() <= FEW_HOSTS
-    evidence = parsed.select("host", "copy", "places", "outside", "before", "open", F.when(F.col("open"), F.col("main")).alias("main"), "n_outside")
-    near = evidence.join(F.broadcast(hosts) if few else hosts, "host", "left_semi")  # only open pages need their articles here
-    sizes = near.select("host", "copy", "n_outside").distinct().groupBy("host").agg(F.sum("n_outside").alias("n"))
-    shards = sizes.select("host", F.greatest(F.ceil(F.col("n") / SHARD_TOKENS), F.lit(1)).cast("long").alias("shards"))
-    pages = near.groupBy("host", "copy").agg(*[F.first(c).alias(c) for c in ("places", "outside", "before", "open", "main")])
-    pages = pages.join(shards, "host")
-    windows = pages.where("shards > 1").select("host", "copy", "outside").mapInArrow(_windows, "host string, copy binary, digest binary")
-    both = windows.groupBy("digest").agg(F.min("copy").alias("low"), F.max("copy").alias("high")).where("low != high").select("digest")
-    repeats = windows.join(both, "digest").groupBy("host", "copy").agg(F.collect_list("digest").alias("repeats"))
-    shard = F.pmod(F.xxhash64("copy"), F.col("shards")).alias("shard")
-    evidence = pages.join(repeats, ["host", "copy"], "left").select("host", "copy", "places", "outside", "before", "open", "main", "repeats", shard)
-    return evidence.groupBy("host", "shard").applyInArrow(_decide, DECIDED)
+def _decide_whole(group: pa.Table) -> pa.Table:
+    """Of a host that is one shard."""
+    return _decide(group, pa.table({"digest": pa.array([], type=pa.binary())}))
+
+
+def _repeats(dealt: DataFrame) -> DataFrame:
+    """The windows that two copy groups of a host share, for each shard that holds them."""
+    windows = dealt.select("host", "shard", "html").mapInArrow(_windows, WINDOWS)
+    held = windows.groupBy("digest").agg(F.first("host").alias("host"), F.min("copy").alias("low"), F.max("copy").alias("high"), F.collect_set("shard").alias("shards"))
+    return held.where("low != high").select("host", F.explode("shards").alias("shard"), "digest")
+
+
+def _dealt(rows: DataFrame, large: DataFrame, how: str) -> DataFrame:
+    """Pages with their shard. Each large host has over SHARD_TOKENS * BYTES bytes, so there are few."""
+    shard = F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("shards", F.lit(1))).alias("shard")
+    return rows.join(F.broadcast(large), "host", how).select("page_id", "url", "host", shard, "html")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """Per row of pages: page_id, url, text, n_chars; by_repeats says that suffix arrays decided, n_covered the tokens that they found repeated."""
+    """Per row of pages: page_id, url, text, n_chars; n_covered counts tokens outside articles that repeats cover (by_repeats: any), n_named those that marks alone drop."""
     host = F.coalesce(F.lower(F.regexp_extract(pages["url"].cast("string"), r"^[^:]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), host.alias("host"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"))
-    parsed = written(rows.mapInArrow(_parse, PARSED), "html-blocks")
-    settled = parsed.where("not open").select("page_id", "url", F.array_join("main", "\n").alias("text"), F.lit(False).alias("by_repeats"), F.lit(0).cast("long").alias("n_covered"))
-    open_ = parsed.where("open").select("page_id", "url", "host", "copy").join(_decided(parsed), ["host", "copy"])
-    found = settled.unionByName(open_.select("page_id", "url", "text", F.lit(True).alias("by_repeats"), "n_covered"))
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "by_repeats", "n_covered")
+    size = F.octet_length("html") + F.coalesce(F.octet_length("url"), F.lit(0)) + F.lit(ROW)
+    sizes = rows.groupBy("host").agg(F.ceil(F.sum(size.cast("long")) / (SHARD_TOKENS * BYTES)).cast("long").alias("shards"))
+    large = written(sizes.where("shards > 1"), "html-hosts")
+    groups = _dealt(rows, large, "left").mapInArrow(_parse, PARSED).groupBy("host", "shard")
+    if large.isEmpty():
+        found = groups.applyInArrow(_decide_whole, DECIDED)
+    else:
+        found = groups.cogroup(_repeats(_dealt(rows, large, "inner")).groupBy("host", "shard")).applyInArrow(_decide, DECIDED)
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), (F.col("n_covered") > 0).alias("by_repeats"), "n_covered", "n_named")
