@@ -72,6 +72,15 @@ def test_links_lose_nothing(spark):
     assert {(r["a"], r["b"]) for r in found} == want and len(found) == len(want) > 50
 
 
+def test_links_are_not_broadcast(spark):
+    """Keys are 68 times the rows that Spark sizes them by, so the driver would hold far more than the threshold."""
+    prints = spark.range(200).select(F.xxhash64("id").alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    found = simhash.links(prints.select("fp"))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     found = {r["node"]: r["root"] for r in connected_components(edges, "a", "b").collect()}

@@ -106,8 +106,10 @@ def links(nodes: DataFrame) -> DataFrame:
     near = nodes.select(fp.alias("b"), F.explode(F.flatten(F.array(*[variants(i) for i in range(SEGMENTS)]))).alias("k"))
     differ = F.col("a").bitwiseXOR(F.col("b"))
     third = F.element_at(F.array(*[F.lit(_mask(i, 3)).cast("long") for i in range(SEGMENTS)]), F.col("i") + 1)
+    # Spark sizes an exploded table as the one before it, a 68th of what near is, and would
+    # broadcast it through the driver.
     return (
-        exact.join(near, "k")
+        exact.join(near.hint("merge"), "k")
         .where("a < b")
         .where(F.bit_count(differ.bitwiseAND(third)) <= 2)
         .where(F.bit_count(differ) <= BITS)
