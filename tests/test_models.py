@@ -4,9 +4,13 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import Imputer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tidewheel.operators import clusters, forest, ml, regress, search, similarity, stats
+from tidewheel.operators import clusters, forest, ml, regress, search, similarity, splits, stats, trials
+from tidewheel.operators.evaluation import average_precision
 
 rng = np.random.default_rng(3)
 
@@ -149,6 +153,26 @@ def test_search_over_families(spark):
     assert [r["setting"] for r in again.orderBy("place").collect()] == [r["setting"] for r in table]
 
 
+def test_search_prepares_once_a_fold_and_scores_as_cross_validation(spark, monkeypatch):
+    rows = [(i, int(rng.random() < (0.7 if i % 4 == 0 else 0.2)), None if i % 9 == 0 else float(i % 4 == 0) + float(rng.normal()) * 0.5, ["p", "q", None][i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, y int, a double, c string")
+    fits, fit = [], Imputer._fit
+    monkeypatch.setattr(Imputer, "_fit", lambda self, dataset: fits.append(1) or fit(self, dataset))
+    found, _ = search.search(df, "k", "y", ["a"], ["c"], draws=3, k=3, seed=5, families=("logistic", "bayes"))
+    assert len(fits) == 3 + 1
+    got = {(r["family"], r["setting"]): (r["average_precision"], r["deviation"]) for r in found.collect()}
+    dealt = splits.folds(df, "k", "y", 3, 5)
+    for name, (model, grid) in search.drawn("y", 3, 5).items():
+        for setting in grid if name in ("logistic", "bayes") else ():
+            each = []
+            for fold in range(3):
+                whole = Pipeline(stages=[*trials.mixed_stages(["a"], ["c"]), model.copy(setting)]).fit(dealt.where(F.col("fold") != fold))
+                held = whole.transform(dealt.where(F.col("fold") == fold)).select("y", vector_to_array("probability")[1].alias("p"))
+                each.append(average_precision(held, "y", "p").first()[0])
+            told = ", ".join(f"{p.name} {v:.4g}" for p, v in sorted(setting.items(), key=lambda x: x[0].name))
+            assert got[name, told] == pytest.approx((np.mean(each), np.std(each)), abs=1e-6)
+
+
 def test_exported_coefficients_score_alike(spark):
     rows = [(i, int(rng.random() < 1 / (1 + math.exp(-x))), float(x), None if i % 7 == 0 else float(rng.normal()), 1.0) for i, x in enumerate(rng.normal(size=200))]
     df = spark.createDataFrame(rows, "k long, y int, a double, b double, flat double")
