@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tidewheel.operators import clusters, forest, ml, regress, search, similarity, splits, stats, trials
 from tidewheel.operators.evaluation import average_precision
+from tidewheel.plans import mines
+from tidewheel.sources import scratch
 
 rng = np.random.default_rng(3)
 
@@ -136,6 +138,36 @@ def test_hash_family_keeps_to_the_law():
         assert np.sqrt(np.mean(np.square(gaps))) < 1.1 * math.sqrt(s * (1 - s) / 128)
 
 
+@pytest.mark.parametrize("name", ["similar_pairs", "similar_documents", "lsh_recall_sweep", "minhash_error_bands", "similar_top_pairs"])
+def test_similarity_writes_little_beside_its_shingles(spark, tmp_path, monkeypatch, name):
+    """Only sets of candidates, the first shingles of a set and signatures leave a task."""
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: f"{tmp_path}/shared")
+    words = np.random.default_rng(1).integers(0, 10**9, size=(200, 1000)).astype(str).tolist()
+    rows = [(i, " ".join(w), "en", "a", 1) for i, w in enumerate(words)] + [(900, " ".join([*words[0][:-9], "x"]), "en", "a", 1), (901, " ".join(words[0]), "en", "a", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = mines.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {"similar_pairs": lambda: [(r["a"], r["b"]) for r in found] == [(0, 900)], "similar_documents": lambda: sorted((r["doc_id"], r["class_id"]) for r in found if r["n_links"] == 1) == [(0, 0), (900, 900), (901, 0)],
+            "similar_top_pairs": lambda: [(r["a"], r["b"], r["n_a"], r["n_b"]) for r in found] == [(0, 900, 2, 1)]}.get(name, lambda: found)()
+    wrote = sum(f.stat().st_size for f in (tmp_path / "shared").rglob("*.parquet"))
+    assert wrote < 8 * 996 * len(rows) / 4
+
+
+def test_sets_tell_texts_apart_as_their_runs_do(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "HASHED_AT_ONCE", 40)
+    texts = ["", None, "a", "b", "a b", "b a", "ab", "a b c d", "a b c d e", "a b c d e f", "e d c b a", "!!", "A-B c.D", "\u212a \u00df", "k s", "a b c d e a b c d e", "a " * 50 + "b"]
+    found = similarity.sets(spark.createDataFrame(list(enumerate(texts)), "k long, t string").coalesce(1), "k", "t").orderBy("key").collect()
+
+    def runs(text):
+        w = similarity.WORD.findall((text or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    for text, r in zip(texts, found, strict=True):
+        assert len(r["grams"]) == len(runs(text)) and r["grams"] == sorted(set(r["grams"]))
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert len(set(found[i]["grams"]) & set(found[j]["grams"])) == len(runs(a) & runs(b)), (a, b)
+
+
 def test_products_by_nothing(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, None)], "a double, b double")
     assert regress.products(df, [], [F.col("a"), F.col("b")]).first()["m"] == [[10.0, 2.0], [2.0, 4.0]]
